@@ -56,7 +56,9 @@ def folded_slices(counts: DataFrame, name: str = "category", least: float = SMAL
     total = counts.agg(F.sum("n")).scalar()
     small = F.col("n") / total < least
     label = F.when(small, F.lit("other")).otherwise(F.col(name))
-    always = counts.sparkSession.createDataFrame([("other", 0)], "slice string, n long")
+    always = counts.sparkSession.range(1).select(
+        F.lit("other").alias("slice"), F.lit(0).cast("long").alias("n")
+    )
     return (
         counts.select(label.alias("slice"), F.col("n"))
         .unionByName(always)

@@ -173,3 +173,21 @@ def min_block_counts(df: DataFrame, thresholds: tuple[int, ...] = BLOCK_THRESHOL
         "n_records",
         F.round(F.try_divide(F.col("n_records") * 100.0, F.col("n_total")), 2).alias("percent"),
     )
+
+
+def row_flags(df: DataFrame) -> DataFrame:
+    """Every structural predicate of a record as a column."""
+    return df.select(
+        "idx",
+        many_instructions().alias("many_instructions"),
+        has_loops().alias("loops"),
+        has_calls().alias("calls"),
+        no_unused_args().alias("no_unused_args"),
+        uses_structs().alias("structs"),
+        leaves_struct_fields_unread().alias("unread_fields"),
+        more_blocks_than().alias("blocks"),
+        one_block().alias("one_block"),
+        some_function_at_most().alias("small_function"),
+        short_enough().alias("short"),
+        (last_code_present("asm") & code_array_present("llvm_ir")).alias("has_code"),
+    )

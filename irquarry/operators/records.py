@@ -26,13 +26,13 @@ def inst_count() -> Column:
     return F.aggregate(sizes, F.lit(0).cast("long"), lambda acc, x: acc + x)
 
 
-def training_pairs(functions: DataFrame, start: int = 0, end: int = 100) -> DataFrame:
+def training_pairs(functions: DataFrame, start: int = 0, end: int | None = 100) -> DataFrame:
     """Last assembly as input, first IR as output, for the positions ``[start, end)``.
 
     Positions are cut before the empty-IR filter, so fewer rows than ``end - start`` may remain.
     """
     return (
-        functions.where((F.col("idx") >= start) & (F.col("idx") < end))
+        row_range(functions, start, end)
         .where(F.size("llvm_ir.code") > 0)
         .select(
             "idx",
@@ -43,9 +43,13 @@ def training_pairs(functions: DataFrame, start: int = 0, end: int = 100) -> Data
     )
 
 
-def row_range(df: DataFrame, start: int, end: int) -> DataFrame:
-    """Rows of the positions ``[start, end)``; a pushed-down filter, not a limit."""
-    return df.where((F.col("idx") >= start) & (F.col("idx") < end))
+def row_range(df: DataFrame, start: int, end: int | None) -> DataFrame:
+    """Rows of the positions ``[start, end)``, to the last one without an ``end``.
+
+    It is a filter that reaches the scan, not a limit.
+    """
+    rows = df.where(F.col("idx") >= start) if start else df
+    return rows if end is None else rows.where(F.col("idx") < end)
 
 
 def normalize_record(raw: DataFrame) -> DataFrame:

@@ -95,6 +95,15 @@ def io_verdict(cases: DataFrame, record: str = "idx") -> DataFrame:
     return cases.select(record, F.coalesce(complete & equal, F.lit(False)).alias("io_success"))
 
 
+def io_verdict_rows(records: DataFrame, cases: DataFrame, record: str = "idx") -> DataFrame:
+    """The same verdict over one row per case; records without cases pass."""
+    equal = F.col("expected").eqNullSafe(F.col("observed"))
+    per_record = cases.groupBy(record).agg(F.bool_and(equal).alias("_ok"))
+    return records.join(per_record, record, "left").select(
+        record, F.coalesce("_ok", F.lit(True)).alias("io_success")
+    )
+
+
 def text_perfect(predictions: DataFrame) -> DataFrame:
     """Per choice: equal to the target as text, or equal after compilation of both."""
     same_text = F.col("predict_ir") == F.col("target_ir")
