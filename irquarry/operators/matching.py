@@ -64,6 +64,13 @@ def _search(probes: DataFrame, cells: DataFrame, step: int, with_blocks: bool, r
     )
 
 
+def _stored(df: DataFrame, name: str, ddl: str) -> DataFrame:
+    """The table written to the shared folder and read back."""
+    path = new_work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(ddl).parquet(path)
+
+
 def widening_match(
     probes: DataFrame,
     candidates: DataFrame,
@@ -80,7 +87,6 @@ def widening_match(
     only the cells still open, so dense tables are done after one or two joins.  Probes without
     tokens, and all probes when there is no candidate, get null.
     """
-    spark = probes.sparkSession
     block = F.col(bb) if with_blocks else F.lit(0)
     cells = candidates.groupBy(block.cast("long").alias("c_bb"), F.col(tok).cast("long").alias("c_tok")).agg(
         F.min(F.col(idx).cast("long")).alias("c_idx")
@@ -89,24 +95,20 @@ def widening_match(
         block.cast("long").alias("p_bb"), F.col(tok).cast("long").alias("p_tok")
     ).distinct()
     # Written once and read by every try: retries read files, not the lineage of the inputs.
-    cells_path = new_work_path(spark, "cells")
-    cells.write.parquet(cells_path)
-    cells = spark.read.schema("c_bb long, c_tok long, c_idx long").parquet(cells_path)
-    open_path = new_work_path(spark, "probes")
-    p_cells.where("p_tok > 0").write.parquet(open_path)
-    still_open = spark.read.schema("p_bb long, p_tok long").parquet(open_path)
-    found = None
-    if not cells.isEmpty():
-        reach = 1
-        while not still_open.isEmpty():
-            path = new_work_path(spark, "matched")
-            _search(still_open, cells, step, with_blocks, reach).write.parquet(path)
-            hit = spark.read.schema("p_bb long, p_tok long, best struct<level: long, idx: long>").parquet(path)
-            found = hit if found is None else found.unionByName(hit)
-            path = new_work_path(spark, "open")
-            still_open.join(hit, ["p_bb", "p_tok"], "left_anti").write.parquet(path)
-            still_open = spark.read.schema("p_bb long, p_tok long").parquet(path)
-            reach *= GROWTH
+    cells = _stored(cells, "cells", "c_bb long, c_tok long, c_idx long")
+    p_cells = _stored(p_cells.where("p_tok > 0"), "probes", "p_bb long, p_tok long")
+    n_open = 0 if cells.isEmpty() else p_cells.count()
+    found, still_open, reach = None, p_cells, 1
+    while n_open > 0:
+        hit = _stored(
+            _search(still_open, cells, step, with_blocks, reach),
+            "matched",
+            "p_bb long, p_tok long, best struct<level: long, idx: long>",
+        )
+        n_open -= hit.count()
+        found = hit if found is None else found.unionByName(hit)
+        still_open = p_cells.join(found, ["p_bb", "p_tok"], "left_anti")
+        reach *= GROWTH
     if found is None:
         return probes.withColumns(
             {"level": F.lit(None).cast("long"), "matched_idx": F.lit(None).cast("long")}

@@ -32,10 +32,10 @@ def chunked_rank(
         .drop("_n")
     )
     return (
-        rows.withColumn("_rank", F.row_number().over(in_chunk).cast("long"))
+        rows.withColumn("_place", F.row_number().over(in_chunk).cast("long"))
         .join(offsets, [*keys, "_chunk"])
-        .withColumn(name, F.col("_rank") + F.col("_offset"))
-        .drop("_chunk", "_rank", "_offset")
+        .withColumn(name, F.col("_place") + F.col("_offset"))
+        .drop("_chunk", "_place", "_offset")
     )
 
 

@@ -75,7 +75,7 @@ def run_command(
 
 def _with_column(df: DataFrame, name: str, ddl: str, compute: Callable[[pa.RecordBatch], list]) -> DataFrame:
     """Append a column computed from whole batches; None entries drop nothing."""
-    schema = StructType(df.schema.fields).add(name, struct(f"x {ddl}")["x"].dataType)
+    schema = StructType(list(df.schema.fields)).add(name, struct(f"x {ddl}")["x"].dataType)
     arrow_type = to_arrow_type(schema[name].dataType)
 
     def each(batches):
