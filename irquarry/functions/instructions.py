@@ -43,9 +43,9 @@ def arch_label(language_id: Column) -> Column:
 
 
 def byte_text(raw: Column) -> Column:
-    """Length, base64 and hex form of a block's bytes."""
+    """Length, base64 (on one line) and hex form of a block's bytes."""
     return F.struct(
         F.octet_length(raw).alias("bb_len"),
-        F.base64(raw).alias("b64_bytes"),
+        F.replace(F.base64(raw), F.lit("\r\n"), F.lit("")).alias("b64_bytes"),
         F.lower(F.hex(raw)).alias("hex_bytes"),
     )

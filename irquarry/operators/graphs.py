@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from irquarry.functions.instructions import byte_text, disassembly, normalize_instruction
 from irquarry.operators.ranking import chunked_rank
@@ -121,42 +122,53 @@ def block_labels(nodes: DataFrame) -> DataFrame:
     return ranked.select("graph_id", "node", label.alias("label"))
 
 
-def _digest(values: Column) -> list[Column]:
-    """Order-free digest of a group of hashes: two sums that cannot overflow, and the count."""
-    h = values.cast("decimal(38,0)")
-    swapped = F.xxhash64(values, F.lit("w")).cast("decimal(38,0)")
-    return [F.count(values).alias("_n"), F.sum(h).alias("_s"), F.sum(swapped).alias("_w")]
+def _digest(hashed: Column) -> list[Column]:
+    """Order-free digest of a group of 64-bit hashes: the count and the sums of both halves.
+
+    Half sums are plain longs that cannot overflow, and partial sums travel instead of lists.
+    """
+    return [
+        F.count(hashed).alias("_n"),
+        F.sum(hashed.bitwiseAND(F.lit(0xFFFFFFFF))).alias("_low"),
+        F.sum(F.shiftright(hashed, 32)).alias("_high"),
+    ]
 
 
 def refine_colours(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 3) -> DataFrame:
     """Label-free colours of the nodes of both sides after some refinement rounds.
 
-    A round joins edges with the colours of their far ends and hashes the two multisets.  Rounds
-    are written to the shared folder, so the plan does not grow and lost tasks re-read files.
+    A round joins every node's arcs (out, in, and one to itself) with the colours at their far
+    ends and hashes the multiset.  Rounds are written to the shared folder, so the plan does not
+    grow and lost tasks re-read files.
     """
     spark = edges.sparkSession
-    path = new_work_path(spark, "edges")
-    edges.select("graph_id", "side", "src", "dst").distinct().write.parquet(path)
-    unique = spark.read.parquet(path)
-    ends = unique.select("graph_id", "side", F.explode(F.array("src", "dst")).alias("node"))
+    out, back, own = (F.lit(way).cast("byte").alias("way") for way in (0, 1, 2))
+    src, dst = F.col("src"), F.col("dst")
+    arc = lambda node, far, way: F.struct(node.alias("node"), far.alias("far"), way)
+    arcs = edges.select(
+        "graph_id",
+        "side",
+        F.inline(F.array(arc(src, dst, out), arc(dst, src, back), arc(src, src, own), arc(dst, dst, own))),
+    )
     if nodes is not None:
-        ends = ends.unionByName(nodes.select("graph_id", "side", "node"))
-    colours = ends.distinct().withColumn("colour", F.lit(0).cast("long"))
-    out_end = unique.select("graph_id", "side", F.col("src").alias("node"), F.col("dst").alias("far"), F.lit("o").alias("way"))
-    in_end = unique.select("graph_id", "side", F.col("dst").alias("node"), F.col("src").alias("far"), F.lit("i").alias("way"))
-    arcs = out_end.unionByName(in_end)
+        node = F.col("node")
+        arcs = arcs.unionByName(nodes.select("graph_id", "side", node, node.alias("far"), own))
+    path = new_work_path(spark, "arcs")
+    arcs.distinct().write.parquet(path)
+    arcs = spark.read.parquet(path)
     key = ["graph_id", "side", "node"]
+    colours = None
     for _ in range(rounds):
-        far = colours.withColumnRenamed("node", "far").withColumnRenamed("colour", "far_colour")
-        seen = arcs.join(far, ["graph_id", "side", "far"]).withColumn(
-            "_h", F.xxhash64("way", "far_colour")
-        )
-        digest = seen.groupBy(*key).agg(*_digest(F.col("_h")))
-        refined = colours.join(digest, key, "left").select(
-            *key, F.xxhash64("colour", "_n", "_s", "_w").alias("colour")
-        )
+        if colours is None:
+            seen = arcs.withColumn("_h", F.xxhash64("way"))
+        else:
+            far = colours.withColumnsRenamed({"node": "far", "colour": "far_colour"})
+            seen = arcs.join(far, ["graph_id", "side", "far"]).withColumn(
+                "_h", F.xxhash64("way", "far_colour")
+            )
+        refined = seen.groupBy(*key).agg(*_digest(F.col("_h")))
         path = new_work_path(spark, "colours")
-        refined.write.parquet(path)
+        refined.select(*key, F.xxhash64("_n", "_low", "_high").alias("colour")).write.parquet(path)
         colours = spark.read.parquet(path)
     return colours
 
@@ -173,7 +185,7 @@ def _compare(coloured: DataFrame, value: Column) -> DataFrame:
     digests = coloured.groupBy("graph_id", "side").agg(*_digest(value))
     pair = digests.groupBy("graph_id").agg(
         *[
-            F.max(F.when(F.col("side") == s, F.struct("_n", "_s", "_w"))).alias(s)
+            F.max(F.when(F.col("side") == s, F.struct("_n", "_low", "_high"))).alias(s)
             for s in SIDES
         ]
     )
@@ -213,46 +225,56 @@ def isomorphic(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 3
         "_nodes",
     )
     to_search = decided.where(F.col("decided").isNull() & (F.col("_nodes") <= node_limit)).select("graph_id")
-    searched = (
+    # One row per graph; its lists are bounded by the square of the node limit.
+    arc = F.struct("src", "dst", "cs", "cd")
+    packed = (
         coloured.join(to_search, "graph_id", "left_semi")
         .groupBy("graph_id")
-        .applyInPandas(_search_mapping, "graph_id long, searched boolean")
+        .agg(*[F.collect_list(F.when(F.col("side") == s, arc)).alias(s) for s in SIDES])
     )
+    searched = packed.select("graph_id", _mapping_exists("predict", "target").alias("searched"))
     return decided.join(searched, "graph_id", "left").select(
         "graph_id", F.coalesce("decided", "searched").alias("isomorphic")
     )
 
 
-def _search_mapping(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Colour-respecting search for a mapping of one graph pair with equal colour counts."""
-    adjacency, colour = {}, {}
-    for side, part in pdf.groupby("side"):
-        adjacency[side] = set(zip(part["src"], part["dst"]))
-        colour[side] = dict(zip(part["src"], part["cs"])) | dict(zip(part["dst"], part["cd"]))
-    p_edges, t_edges = adjacency["predict"], adjacency["target"]
-    by_colour: dict = {}
-    for node, c in colour["target"].items():
-        by_colour.setdefault(c, []).append(node)
-    order = sorted(colour["predict"], key=lambda n: len(by_colour.get(colour["predict"][n], [])))
+@F.pandas_udf(BooleanType())
+def _mapping_exists(predict: pd.Series, target: pd.Series) -> pd.Series:
+    return pd.Series([_search_mapping(p, t) for p, t in zip(predict, target)])
+
+
+def _search_mapping(predict, target) -> bool:
+    """Colour-respecting search for a node mapping of one graph pair."""
 
-    def extend(mapping: dict, used: set) -> bool:
+    def unpack(arcs) -> tuple[set, dict]:
+        colours = {a["src"]: a["cs"] for a in arcs} | {a["dst"]: a["cd"] for a in arcs}
+        return {(a["src"], a["dst"]) for a in arcs}, colours
+
+    p_edges, p_colour = unpack(predict)
+    t_edges, t_colour = unpack(target)
+    images: dict = {}
+    for node, colour in t_colour.items():
+        images.setdefault(colour, []).append(node)
+    order = sorted(p_colour, key=lambda n: len(images.get(p_colour[n], [])))
+
+    def extend(mapping: dict) -> bool:
         if len(mapping) == len(order):
             return True
         node = order[len(mapping)]
-        for image in by_colour.get(colour["predict"][node], []):
-            if image in used:
+        taken = set(mapping.values())
+        for image in images.get(p_colour[node], []):
+            if image in taken:
                 continue
             trial = {**mapping, node: image}
-            fits = all(
+            if all(
                 ((a, b) in p_edges) == ((trial[a], trial[b]) in t_edges)
                 for other in trial
                 for a, b in ((node, other), (other, node))
-            )
-            if fits and extend(trial, used | {image}):
+            ) and extend(trial):
                 return True
         return False
 
-    return pd.DataFrame({"graph_id": [pdf["graph_id"].iloc[0]], "searched": [extend({}, set())]})
+    return extend({})
 
 
 def block_features(blocks: DataFrame, keys: list[str], instructions: str = "instructions") -> DataFrame:

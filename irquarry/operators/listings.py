@@ -73,13 +73,14 @@ def _last_spans(spans: Column) -> Column:
     return F.when(unique, spans).otherwise(F.filter(spans, lambda s: ~replaced(s)))
 
 
-def function_spans(text: Column) -> Column:
+def function_spans(text: Column, last_only: bool = True) -> Column:
     """Functions of a listing as (name, first, last) line numbers, counted from one.
 
     ``.globl S`` arms S; the next label S opens the function and disarms it; the function ends
     with its end marker, before the next opening, or with the listing.  Of a reopened name the
-    last span counts.
+    last span counts, unless ``last_only`` is off.
     """
+
     def closed(s: Column, last: Column) -> Column:
         span = F.struct(s["name"].alias("name"), s["start"].alias("first"), last.alias("last"))
         return F.when(s["name"].isNotNull(), F.concat(s["done"], F.array(span))).otherwise(s["done"])
@@ -118,9 +119,11 @@ def function_spans(text: Column) -> Column:
         F.lit(0).alias("line"),
         F.array().cast("array<struct<name:string,first:int,last:int>>").alias("done"),
     )
-    return F.aggregate(
-        split_lines(text), start.cast(_FOLD), step, lambda s: _last_spans(closed(s, s["line"]))
-    )
+    def finish(s: Column) -> Column:
+        spans = closed(s, s["line"])
+        return _last_spans(spans) if last_only else spans
+
+    return F.aggregate(split_lines(text), start.cast(_FOLD), step, finish)
 
 
 def split_functions(
@@ -192,8 +195,8 @@ def call_contexts(listings: DataFrame, doc: str, text: str, symbol: str, arch: s
 
 
 def _under_test(listing: str) -> Column:
-    """Name of the first function of the listing."""
-    return strip_plt(F.get(function_spans(F.col(listing)), F.lit(0))["name"])
+    """Name of the function that the listing opens first."""
+    return strip_plt(F.get(function_spans(F.col(listing), last_only=False), F.lit(0))["name"])
 
 
 def listing_report(records: DataFrame, doc: str, listing: str, wrapper: str) -> DataFrame:

@@ -7,7 +7,7 @@ Probes are reduced to distinct cells too, so a frequent value costs one row on e
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from irquarry.operators.ranking import chunked_rank
@@ -17,7 +17,7 @@ from irquarry.session import new_work_path
 TOKEN_STEP = 10  # thresholds grow by a tenth of the probe's tokens
 FINE_TOKEN_STEP = 100  # or by a hundredth
 MAX_BLOCK_DIFFERENCE = 2
-GROWTH = 4
+GROWTH = 8
 
 
 def _level(step: int, with_blocks: bool) -> Column:
@@ -64,11 +64,13 @@ def _search(probes: DataFrame, cells: DataFrame, step: int, with_blocks: bool, r
     )
 
 
-def _stored(df: DataFrame, name: str, ddl: str) -> DataFrame:
-    """The table written to the shared folder and read back."""
-    path = new_work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(ddl).parquet(path)
+def _stored(df: DataFrame, name: str, ddl: str) -> tuple[DataFrame, int]:
+    """The table written to the shared folder and read back, with its row count."""
+    spark = df.sparkSession
+    path = new_work_path(spark, name)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return spark.read.schema(ddl).parquet(path), seen.get["n"]
 
 
 def widening_match(
@@ -83,7 +85,7 @@ def widening_match(
     """Smallest-position candidate of the smallest level, per probe; candidates may repeat.
 
     Level k admits a block difference below 1 + k and a token difference below (1 + k)/step of
-    the probe's tokens.  The search tries levels below 1, 4, 16, ... and takes to the next try
+    the probe's tokens.  The search tries levels below 1, 8, 64, ... and takes to the next try
     only the cells still open, so dense tables are done after one or two joins.  Probes without
     tokens, and all probes when there is no candidate, get null.
     """
@@ -95,17 +97,16 @@ def widening_match(
         block.cast("long").alias("p_bb"), F.col(tok).cast("long").alias("p_tok")
     ).distinct()
     # Written once and read by every try: retries read files, not the lineage of the inputs.
-    cells = _stored(cells, "cells", "c_bb long, c_tok long, c_idx long")
-    p_cells = _stored(p_cells.where("p_tok > 0"), "probes", "p_bb long, p_tok long")
-    n_open = 0 if cells.isEmpty() else p_cells.count()
+    cells, n_cells = _stored(cells, "cells", "c_bb long, c_tok long, c_idx long")
+    p_cells, n_open = _stored(p_cells.where("p_tok > 0"), "probes", "p_bb long, p_tok long")
     found, still_open, reach = None, p_cells, 1
-    while n_open > 0:
-        hit = _stored(
+    while n_cells > 0 and n_open > 0:
+        hit, n_hit = _stored(
             _search(still_open, cells, step, with_blocks, reach),
             "matched",
             "p_bb long, p_tok long, best struct<level: long, idx: long>",
         )
-        n_open -= hit.count()
+        n_open -= n_hit
         found = hit if found is None else found.unionByName(hit)
         still_open = p_cells.join(found, ["p_bb", "p_tok"], "left_anti")
         reach *= GROWTH

@@ -169,7 +169,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def body(line: Column, i: Column) -> Column:
         words = _words(line)
-        name = F.concat(F.lit("f"), (words % 5).cast("string"), F.lit("_"), i.cast("string"))
+        name = F.concat(F.lit("f"), (words % 5).cast("string"), F.lit("_"), (i % 4).cast("string"))
         return F.concat(
             F.array(
                 F.concat(F.lit("\t.globl\t"), name),
@@ -274,13 +274,14 @@ raw_lines AS (
   SELECT doc_id, generate_subscripts(parts, 1) AS i, unnest(parts) AS line FROM raw),
 fun AS (
   SELECT doc_id, i, len(string_split(line, ' ')) AS w,
+         'f' || (len(string_split(line, ' ')) % 5) || '_' || ((i - 1) % 4) AS nm,
          'g_' || regexp_replace(string_split(line, ' ')[1], '[^A-Za-z]', '', 'g') AS callee
   FROM raw_lines),
 lst_lines AS (
-  SELECT doc_id, i, k, txt FROM (
-    SELECT doc_id, i, unnest([
-      {'k': 1, 'txt': chr(9) || '.globl' || chr(9) || 'f' || (w % 5) || '_' || (i - 1)},
-      {'k': 2, 'txt': 'f' || (w % 5) || '_' || (i - 1) || ':'},
+  SELECT doc_id, i, w, nm, callee, k, txt FROM (
+    SELECT doc_id, i, w, nm, callee, unnest([
+      {'k': 1, 'txt': chr(9) || '.globl' || chr(9) || nm},
+      {'k': 2, 'txt': nm || ':'},
       {'k': 3, 'txt': chr(9) || 'movl' || chr(9) || '$' || w || ', %edi'},
       {'k': 4, 'txt': CASE WHEN w % 2 = 0 THEN chr(9) || 'leaq' || chr(9) || '8(%rsp), %rsi' ELSE chr(9) || 'nop' END},
       {'k': 5, 'txt': CASE WHEN w % 2 = 0 THEN NULL ELSE chr(9) || 'movq' || chr(9) || '%rax, %rdx' END},

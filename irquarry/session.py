@@ -9,7 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def build_session(
-    app: str = "irquarry", master: str | None = None, shuffle_partitions: int | None = None
+    app: str = "irquarry",
+    master: str | None = None,
+    shuffle_partitions: int | None = None,
+    driver_memory: str | None = None,
 ) -> SparkSession:
     """A session with adaptive execution on; the cluster's own settings win where given."""
     builder = (
@@ -22,6 +25,8 @@ def build_session(
     )
     if master is not None:
         builder = builder.master(master)
+    if driver_memory is not None:
+        builder = builder.config("spark.driver.memory", driver_memory)
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()

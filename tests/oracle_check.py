@@ -68,7 +68,7 @@ def main(sf_dir: str, names: list[str]) -> int:
     import __spark_entry__ as contract
     from irquarry.session import build_session
 
-    spark = build_session("check", "local[8]", 8)
+    spark = build_session("check", "local[8]", 8, "8g")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     plans, sqls = contract.queries(), contract.oracle_sql()
