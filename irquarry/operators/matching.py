@@ -159,8 +159,11 @@ def replace_failed(sample: DataFrame, failed: DataFrame, candidates: DataFrame)
     Failed rows beyond the last unused candidate stay as they are.  Output: idx, path and whether
     the row was replaced.
     """
-    unused = candidates.select("idx", "path").join(sample.select("path"), "path", "left_anti")
-    firsts = unused.groupBy("path").agg(F.min("idx").alias("idx"))
+    firsts = (
+        candidates.groupBy("path")
+        .agg(F.min("idx").alias("idx"))
+        .join(sample.select("path").distinct(), "path", "left_anti")
+    )
     ranked = chunked_rank(firsts, "idx", "_k").select("_k", F.col("path").alias("_path"))
     broken = chunked_rank(sample.join(failed.select("idx"), "idx", "left_semi").select("idx"), "idx", "_k")
     swaps = broken.join(ranked, "_k").drop("_k")

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from irquarry.config import JobConfig
 from irquarry.functions.text import normalize_listing
 from irquarry.operators.prompts import candidate_preference
 from irquarry.operators.ranking import chunked_rank
@@ -119,7 +120,8 @@ def topk_blocks(
     """Best k per query among vectors equal in ``on``, by pairs of bounded blocks.
 
     Each ``on`` group is cut into query blocks and vector blocks by hash; a task multiplies one
-    pair of blocks.  A group holding a large part of all rows becomes many blocks.
+    pair of blocks.  A group holding a large part of all rows becomes many blocks.  The groups
+    themselves must be few (shards, or hash tables times buckets): their sizes are broadcast.
     """
     sizes = (
         vectors.groupBy(*on)
@@ -133,14 +135,17 @@ def topk_blocks(
     def blocks(df: DataFrame, id_col: str, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
         return (
             df.select(id_col, "embedding", *on)
-            .join(sizes, on)
+            .join(F.broadcast(sizes), on)
             .withColumn(own, F.pmod(F.xxhash64(id_col), F.col(n_own)).cast("int"))
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
             .drop("_nv", "_nq")
         )
 
     keys = [*on, "_qb", "_vb"]
-    left = blocks(queries, "query_id", "_qb", "_nq", "_vb", "_nv").groupBy(*keys)
+    left = blocks(queries, "query_id", "_qb", "_nq", "_vb", "_nv")
+    # Fresh names: both sides may come from one table.
+    left = left.select(*[F.col(c).alias(f"q_{c}") for c in left.columns])
+    left = left.groupBy(*[f"q_{c}" for c in keys])
     right = blocks(vectors, "point_id", "_vb", "_nv", "_qb", "_nq").groupBy(*keys)
     types = [f"{f.name} {f.dataType.simpleString()}" for f in vectors.select(*on).schema]
 
@@ -149,8 +154,8 @@ def topk_blocks(
             ids, points, scores = (np.array([], t) for t in (np.int64, np.int64, np.float64))
         else:
             ids, points, scores = _best(
-                q["query_id"].to_numpy(),
-                _matrix(q["embedding"]),
+                q["q_query_id"].to_numpy(),
+                _matrix(q["q_embedding"]),
                 v["point_id"].to_numpy(),
                 _matrix(v["embedding"]),
                 k,
@@ -169,11 +174,13 @@ def topk(
     shard: str | None = None,
     skip_self: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
+    num_shards: int = JobConfig.num_shards,
 ) -> DataFrame:
     """Exact top k per query, or per (query, shard) when ``shard`` is given.
 
-    ``queries(query_id, embedding)``, ``vectors(point_id, embedding[, shard])``.  Query sets below
-    ``broadcast_bytes`` are sent to the vectors; larger ones meet them in blocks.
+    ``queries(query_id, embedding)``, ``vectors(point_id, embedding[, shard])``, shards numbered
+    from zero.  Query sets below ``broadcast_bytes`` are sent to the vectors; larger ones meet
+    them in blocks.
     """
     queries = queries.select("query_id", "embedding").where(F.size("embedding") > 0)
     vectors = vectors.where(F.size("embedding") > 0)
@@ -182,10 +189,7 @@ def topk(
     if size <= broadcast_bytes:
         partial = _topk_broadcast(queries.toArrow(), vectors, k, shard, skip_self)
     elif shard:
-        shards = vectors.select(shard).distinct()
-        spread = queries.withColumn(
-            shard, F.explode(F.array(*[F.lit(r[0]) for r in shards.collect()]))
-        )  # the shards are few: a fixed number of folders
+        spread = queries.withColumn(shard, F.explode(F.sequence(F.lit(0), F.lit(num_shards - 1))))
         partial = topk_blocks(spread, vectors, k, [shard], skip_self)
     else:
         one = F.lit(0)

@@ -32,7 +32,8 @@ def match_predictions(predictions: DataFrame, functions: DataFrame) -> DataFrame
 def unmatched_predictions(predictions: DataFrame, functions: DataFrame) -> DataFrame:
     """Predictions, one per key, whose key the corpus does not hold."""
     left = keep_last(with_prediction_key(predictions), ["key"])
-    return left.join(with_corpus_key(functions).select("key"), "key", "left_anti")
+    known = with_corpus_key(functions).select("key").distinct()
+    return left.join(known, "key", "left_anti")
 
 
 def any_true(flags: Column) -> Column:
@@ -81,8 +82,8 @@ def shared_functions(sample: DataFrame, split: DataFrame, all_matches: bool) ->
     """Sample rows found in a split by path and head: once each, or once per match."""
     keys = ["path", "func_head"]
     if not all_matches:
-        return sample.join(split.select(*keys), keys, "left_semi")
-    # One counted row per key keeps a frequent key from multiplying rows in the join.
+        return sample.join(split.select(*keys).distinct(), keys, "left_semi")
+    # One row per key on the right: a frequent key neither multiplies rows nor fills a task.
     per_key = split.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_matches"))
     return sample.join(per_key, keys)
 
@@ -125,7 +126,9 @@ def program_totals(choices: DataFrame, program: str = "file") -> DataFrame:
     )
 
 
-def missing_positions(present: DataFrame, totals: DataFrame, shard: str = "shard") -> DataFrame:
+def missing_positions(
+    present: DataFrame, totals: DataFrame, shard: str = "shard"
+) -> DataFrame:
     """Positions ``0..n-1`` of each shard that the collection does not hold.
 
     The expected positions are generated in chunks inside the job, then anti-joined.

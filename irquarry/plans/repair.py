@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import string
 
 from pyspark.sql import functions as F
 
@@ -12,33 +11,14 @@ from irquarry.operators import prompt_texts as texts
 from irquarry.operators import prompts, repair, stages
 from irquarry.plans import views
 from irquarry.plans.registry import query
-from irquarry.plans.texts import _sql_strip
+from irquarry.plans.sqltext import UNCOMMENTED, quote, sql_render, sql_strip
 from irquarry.plans.views import ctes
 from irquarry.session import new_work_path
 
 
-def _quote(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-def _sql_render(template: str, **values: str) -> str:
-    """The SQL spelling of a rendered template."""
-    parts = []
-    for literal, name, _, _ in string.Formatter().parse(template):
-        if literal:
-            parts.append(_quote(literal))
-        if name:
-            parts.append(f"({values[name]})")
-    return " || ".join(parts)
-
-
-_UNCOMMENTED = (
-    "array_to_string(list_transform(string_split({0}, chr(10)), lambda l: "
-    "CASE WHEN contains(l, '#') THEN " + _sql_strip("string_split(l, '#')[1]") + " ELSE l END), chr(10))"
-)
-_SIMILAR = _sql_render(
+_SIMILAR = sql_render(
     texts.SIMILAR,
-    asm_code=_UNCOMMENTED.format("text"),
+    asm_code=UNCOMMENTED.format("text"),
     similar_asm_code="lang || ' listing'",
     similar_llvm_ir="source",
 )
@@ -46,10 +26,10 @@ _SIMILAR = _sql_render(
 
 @query(
     f"""
-SELECT doc_id AS idx, {_SIMILAR} AS similar, {_sql_render(texts.BASIC, asm_code="text")} AS basic,
-  {_sql_render(texts.PCODE, p_code="text")} AS pcode,
-  {_sql_render(texts.PCODE_SIMILAR, pcode="text", similar_pcode="lang || ' listing'", similar_llvm_ir="source")} AS pcode_similar,
-  {_sql_render(texts.WITH_C, asm_code="text", ghidra_c_code="source")} AS with_c
+SELECT doc_id AS idx, {_SIMILAR} AS similar, {sql_render(texts.BASIC, asm_code="text")} AS basic,
+  {sql_render(texts.PCODE, p_code="text")} AS pcode,
+  {sql_render(texts.PCODE_SIMILAR, pcode="text", similar_pcode="lang || ' listing'", similar_llvm_ir="source")} AS pcode_similar,
+  {sql_render(texts.WITH_C, asm_code="text", ghidra_c_code="source")} AS with_c
 FROM documents"""
 )
 def initial_prompts(spark, sf_dir):
@@ -74,14 +54,14 @@ def initial_prompts(spark, sf_dir):
     return rows.select("idx", *[prompts.initial_prompt(c).alias(n) for n, c in strategies.items()])
 
 
-_FIX_COMPILE = _sql_render(texts.COMPILE_ERROR, predict="fp", error_msg="fe")
-_FIX_RUN = _sql_render(texts.EXECUTION_ERROR, predict="bp", predict_assembly="'asm'")
+_FIX_COMPILE = sql_render(texts.COMPILE_ERROR, predict="fp", error_msg="fe")
+_FIX_RUN = sql_render(texts.EXECUTION_ERROR, predict="bp", predict_assembly="'asm'")
 
 
 @query(
     ctes("ev")
     + f"""
-, p AS (SELECT *, {_sql_strip("error_msg")} AS msg FROM ev WHERE retry = 2),
+, p AS (SELECT *, {sql_strip("error_msg")} AS msg FROM ev WHERE retry = 2),
 g AS (SELECT idx, count(*) FILTER (comp) AS n,
   arg_min(msg, choice) FILTER (msg <> '') AS fe,
   coalesce(arg_min(llvm_ir, choice) FILTER (msg <> ''), arg_min(llvm_ir, choice)) AS fp,
@@ -100,12 +80,12 @@ def fix_prompts(spark, sf_dir):
     )
 
 
-_ANALYSIS = f"""{_quote(texts.ANALYSIS_ROLE)} ||
-  CASE WHEN idx % 2 = 0 THEN {_quote(chr(10) * 2 + texts.ANALYSIS_REFERENCE)} || 'target' || idx ELSE '' END ||
-  {_quote(chr(10) * 2 + texts.ANALYSIS_PREDICTED)} || llvm_ir ||
-  {_quote(chr(10) * 2 + texts.ANALYSIS_ASSEMBLY)} || assembly ||
-  CASE WHEN error_msg <> '' THEN {_quote(chr(10) * 2 + texts.ANALYSIS_DIAGNOSTICS)} || error_msg ELSE '' END ||
-  {_quote(chr(10) * 2 + texts.ANALYSIS_INSTRUCTIONS)}"""
+_ANALYSIS = f"""{quote(texts.ANALYSIS_ROLE)} ||
+  CASE WHEN idx % 2 = 0 THEN {quote(chr(10) * 2 + texts.ANALYSIS_REFERENCE)} || 'target' || idx ELSE '' END ||
+  {quote(chr(10) * 2 + texts.ANALYSIS_PREDICTED)} || llvm_ir ||
+  {quote(chr(10) * 2 + texts.ANALYSIS_ASSEMBLY)} || assembly ||
+  CASE WHEN error_msg <> '' THEN {quote(chr(10) * 2 + texts.ANALYSIS_DIAGNOSTICS)} || error_msg ELSE '' END ||
+  {quote(chr(10) * 2 + texts.ANALYSIS_INSTRUCTIONS)}"""
 
 
 @query(ctes("ev") + f" SELECT idx, retry, choice, {_ANALYSIS} AS prompt FROM ev")
@@ -128,8 +108,8 @@ _TEMPLATE = {
 
 @query(
     f"""
-SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN {_sql_render(_TEMPLATE["prompt_input"], instruction="role", input="text")}
-    ELSE {_sql_render(_TEMPLATE["prompt_no_input"], instruction="role")} END || 'yes ' AS prompt,
+SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN {sql_render(_TEMPLATE["prompt_input"], instruction="role", input="text")}
+    ELSE {sql_render(_TEMPLATE["prompt_no_input"], instruction="role")} END || 'yes ' AS prompt,
   'yes' AS response FROM conversations"""
 )
 def instruction_prompts(spark, sf_dir):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from irquarry.operators import retrieval, scoring, stages
 from irquarry.plans import views
 from irquarry.plans.registry import query
+from irquarry.plans.sqltext import UNCOMMENTED
 
 _PAIRS = """
 WITH v AS (SELECT vec_id AS id, CAST(vec_id % 8 AS INTEGER) AS shard, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -180,6 +181,15 @@ def build_points(spark, sf_dir):
     return points.select("shard", "record_id", "point_id", F.get("embedding", F.lit(0)).cast("long").alias("n_text"))
 
 
+@query(
+    f"""
+SELECT CAST(doc_id % 8 AS INTEGER) AS shard, doc_id AS record_id, {UNCOMMENTED.format("text")} AS text FROM documents"""
+)
+def embedding_input(spark, sf_dir):
+    """Texts to embed: listings without comments."""
+    return retrieval.embedding_input(views.functions(spark, sf_dir)).drop("path")
+
+
 @query()
 def approx_topk_recall(spark, sf_dir):
     """How many of the exact hits the hashed search finds."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from irquarry.functions.code import dependency_text
 from irquarry.operators import dedup, histograms, predicates, records
 from irquarry.plans import views
 from irquarry.plans.registry import query
@@ -241,3 +242,56 @@ FROM fn WHERE bbcount = 1 AND inst BETWEEN 1 AND 400 GROUP BY inst, md5(code)"""
 )
 def class_sizes(spark, sf_dir):
     return dedup.class_sizes(views.functions(spark, sf_dir), **DEDUP_BOUNDS)
+
+
+def _with_info(spark, sf_dir):
+    """Records with analysis output as text; every eleventh one could not be parsed."""
+    rows = views.functions(spark, sf_dir)
+    text = F.when(F.col("idx") % 11 == 0, F.lit("parser stopped")).otherwise(F.to_json("func_info"))
+    return records.attach_func_info(rows.withColumn("info", text), "info")
+
+
+@query(
+    ctes("fn")
+    + """
+SELECT idx, CASE WHEN idx % 11 = 0 THEN '' ELSE 'f' || idx END AS func_name,
+  CASE WHEN idx % 11 = 0 THEN 0 ELSE n_called END AS n_called, CASE WHEN idx % 11 = 0 THEN 0 ELSE num_loops END AS num_loops,
+  CASE WHEN idx % 11 = 0 THEN 0 ELSE n_unused END AS n_unused, idx % 11 <> 0 AND has_structs AS has_structs,
+  CAST(NULL AS VARCHAR) AS quarantine FROM fn"""
+)
+def function_info(spark, sf_dir):
+    """Typed view of the parsed analysis output, the default entry where parsing failed."""
+    rows = records.single_function_view(_with_info(spark, sf_dir))
+    return rows.select(
+        "idx",
+        "func_name",
+        F.size("called_functions").cast("long").alias("n_called"),
+        F.col("num_loops").cast("long").alias("num_loops"),
+        F.size("unused_args").cast("long").alias("n_unused"),
+        F.col("has_defined_structs").alias("has_structs"),
+        "quarantine",
+    )
+
+
+@query(
+    """
+SELECT d.doc_id AS idx, CASE WHEN l.doc_id IS NOT NULL THEN quality + 2 END AS bbcount,
+  text || chr(10) || source || chr(10) AS deps FROM documents d LEFT JOIN labels l USING (doc_id)"""
+)
+def attached_counts(spark, sf_dir):
+    """Block counts attached by position, null where there is none, and the dependency text."""
+    counts = views.table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("idx"),
+        F.struct(
+            F.lit("f").alias("func_name"),
+            (F.col("quality") + 2).cast("int").alias("bbcount"),
+            F.array(F.lit(1)).alias("bb_list_size"),
+        ).alias("bb_count"),
+    )
+    source = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), "source")
+    rows = records.attach_bb_count(views.functions(spark, sf_dir), counts).join(source, "idx")
+    return rows.select(
+        "idx",
+        F.col("llvm_ir.bb_count.bbcount").cast("long").alias("bbcount"),
+        dependency_text(F.concat(F.lit("typedef int bool;"), "func_def"), F.array("source")).alias("deps"),
+    )

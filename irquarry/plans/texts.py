@@ -9,15 +9,9 @@ from irquarry.operators import error_stats
 from irquarry.operators.records import training_pairs
 from irquarry.plans import views
 from irquarry.plans.registry import query
+from irquarry.plans.sqltext import sql_strip
 from irquarry.plans.views import ctes
 
-_WS = "[ \t\n\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]"
-
-
-def _sql_strip(expr: str) -> str:
-    return f"regexp_replace({expr}, '^{_WS}+|{_WS}+$', '', 'g')"
-
-
 @query(
     """
 SELECT doc_id AS idx, text AS input, text AS output, 'corpus/' || md5(text) || '.c' AS file FROM documents
@@ -34,7 +28,7 @@ WITH t AS (SELECT doc_id, list_filter(string_split(
     lambda l: NOT (contains(l, '.ident') AND contains(l, 'clang version'))) AS ls FROM documents)
 SELECT doc_id, array_to_string(list_transform(ls, lambda l:
     CASE WHEN contains(l, '.file') THEN '.file   "-"'
-         WHEN contains(l, '#') THEN {_sql_strip("string_split(l, '#')[1]")} ELSE l END), chr(10)) AS listing
+         WHEN contains(l, '#') THEN {sql_strip("string_split(l, '#')[1]")} ELSE l END), chr(10)) AS listing
 FROM t"""
 )
 def normalize_listing(spark, sf_dir):
@@ -70,7 +64,7 @@ def extract_fenced_code(spark, sf_dir):
 
 @query(
     f"""
-SELECT conv_id AS idx, CAST(turn AS INTEGER) AS choice, {_sql_strip('''CASE turn % 4
+SELECT conv_id AS idx, CAST(turn AS INTEGER) AS choice, {sql_strip('''CASE turn % 4
   WHEN 0 THEN '```llvm' || chr(10) || text || chr(10) || '```'
   WHEN 1 THEN '<code>' || text || '</code>'
   WHEN 2 THEN text
