@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from irquarry.functions.text import strip
+from irquarry.functions.text import let, strip
 
 # Patterns and markers that decide what is extracted.
 FENCE_BLOCK = r"(?s)```llvm\n(.*?)\n```"
@@ -95,16 +95,18 @@ def strip_static(func_def: Column) -> Column:
 
 def suite_counts(output: Column) -> Column:
     """``# KEY:  n`` lines as a map; the last value of a repeated key wins."""
-    keys = F.regexp_extract_all(output, F.lit(SUITE_LINE), F.lit(1))
-    values = F.regexp_extract_all(output, F.lit(SUITE_LINE), F.lit(2))
-    pairs = F.reverse(F.arrays_zip(keys.alias("k"), values.alias("v")))
-    # Of a repeated key the first entry of the reversed list is the last one of the text.
-    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    last = F.transform(
-        names,
-        lambda n: _first(F.filter(pairs, lambda p: p["k"] == n))["v"].try_cast("int"),
-    )
-    return F.map_from_arrays(names, last)
+    hits = F.reverse(F.regexp_extract_all(output, F.lit(SUITE_LINE), F.lit(0)))
+    pairs = F.transform(hits, lambda h: F.split(F.substr(h, F.lit(3)), r":\s+", 2))
+
+    def to_map(found: Column) -> Column:
+        # Of a repeated key the first entry of the reversed list is the last one of the text.
+        keys = F.transform(found, lambda p: p[0])
+        kept = F.filter(found, lambda p, i: F.array_position(keys, p[0]) == i + 1)
+        return F.map_from_arrays(
+            F.transform(kept, lambda p: p[0]), F.transform(kept, lambda p: p[1].try_cast("int"))
+        )
+
+    return let(pairs, to_map)
 
 
 def suite_passed(counts: Column) -> Column:

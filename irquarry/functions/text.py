@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,15 @@ SOURCE_MARKER, SOURCE_LINE = "source_filename", 'source_filename = "-"'
 COMMENT = "#"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, with ``value`` computed once.
+
+    Inside higher-order functions Spark evaluates a repeated expression as often as it is
+    written; a lambda variable is evaluated once.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def newline_split(text: Column) -> Column:
     """Split on newline only, keeping trailing empty lines."""
     return F.split(text, "\n", -1)
@@ -28,9 +39,12 @@ def newline_split(text: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Split at every line boundary; a final boundary starts no new line."""
-    parts = F.split(text, LINE_BREAK, -1)
-    last_is_empty = F.element_at(parts, -1) == ""
-    return F.when(last_is_empty, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+    def cut(parts: Column) -> Column:
+        last_is_empty = F.element_at(parts, -1) == ""
+        return F.when(last_is_empty, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+    return let(F.split(text, LINE_BREAK, -1), cut)
 
 
 def strip(text: Column) -> Column:

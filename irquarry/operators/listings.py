@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from irquarry.functions.code import strip_plt
-from irquarry.functions.text import WHITESPACE, split_lines, strip
+from irquarry.functions.text import WHITESPACE, let, split_lines, strip
 
 # Line patterns of the listing format.
 GLOBL_LINE = r"^\s*\.globl\s+(\S+)"
@@ -34,9 +34,11 @@ SETUP_OPCODES = (
     r"(?:v?mov(?:b|l|q|sd|ss|ups|aps|shdup|pd|ps|aps)|lea|push|or|shl|vshuf|vextract|vcvt|vzeroupper)"
 )
 
+_GLOBL, _END = ".globl", ".cfi_endproc"
+
 
 def _symbol_of_call(line: Column) -> Column:
-    """Second token of a call line, cut at its parenthesis and comma."""
+    """Second token of a call line, cut at its parenthesis and comma; null without one."""
     token = F.get(F.split(strip(line), f"{WHITESPACE}+"), F.lit(1))
     return F.regexp_replace(F.regexp_replace(token, r"\(.*\)", ""), r",.*", "")
 
@@ -73,8 +75,12 @@ def _last_spans(spans: Column) -> Column:
     return F.when(unique, spans).otherwise(F.filter(spans, lambda s: ~replaced(s)))
 
 
-def function_spans(text: Column, last_only: bool = True) -> Column:
-    """Functions of a listing as (name, first, last) line numbers, counted from one.
+def _is_globl(line: Column) -> Column:
+    return line.contains(_GLOBL) & line.rlike(GLOBL_LINE)
+
+
+def function_spans(lines: Column, last_only: bool = True) -> Column:
+    """Functions of a listing's lines as (name, first, last) line numbers, counted from one.
 
     ``.globl S`` arms S; the next label S opens the function and disarms it; the function ends
     with its end marker, before the next opening, or with the listing.  Of a reopened name the
@@ -98,10 +104,10 @@ def function_spans(text: Column, last_only: bool = True) -> Column:
 
     def step(s: Column, line: Column) -> Column:
         number = s["line"] + 1
-        is_globl = line.rlike(GLOBL_LINE)
+        is_globl = _is_globl(line)
         label = F.regexp_extract(line, LABEL_LINE, 1)
         opens = s["pending"].isNotNull() & (label == s["pending"])
-        ends = s["name"].isNotNull() & line.rlike(END_LINE)
+        ends = s["name"].isNotNull() & line.contains(_END) & line.rlike(END_LINE)
         return (
             F.when(
                 is_globl,
@@ -121,37 +127,40 @@ def function_spans(text: Column, last_only: bool = True) -> Column:
     )
     def finish(s: Column) -> Column:
         spans = closed(s, s["line"])
-        return _last_spans(spans) if last_only else spans
+        return let(spans, _last_spans) if last_only else spans
 
-    return F.aggregate(split_lines(text), start.cast(_FOLD), step, finish)
+    return F.aggregate(lines, start.cast(_FOLD), step, finish)
 
 
-def split_functions(
-    listings: DataFrame, doc: str, text: str, keep: list[str] | None = None
-) -> DataFrame:
+def _function_bodies(text: Column) -> Column:
+    """Functions of a listing with their lines, ``.globl`` lines left out."""
+
+    def cut(lines: Column) -> Column:
+        def body(span: Column) -> Column:
+            whole = F.slice(lines, span["first"], span["last"] - span["first"] + 1)
+            return F.struct(
+                span["name"].alias("name"),
+                span["first"].alias("first_line"),
+                span["last"].alias("last_line"),
+                F.filter(whole, lambda line: ~_is_globl(line)).alias("lines"),
+            )
+
+        return F.transform(function_spans(lines), body)
+
+    return let(split_lines(text), cut)
+
+
+def split_functions(listings: DataFrame, doc: str, text: str) -> DataFrame:
     """One row per (listing, function): name, place and body lines without ``.globl`` lines."""
-    kept = list(keep or [])
-    spans = listings.select(
-        doc, *kept, split_lines(F.col(text)).alias("_lines"), F.explode(function_spans(F.col(text))).alias("_span")
-    )
-    length = F.col("_span.last") - F.col("_span.first") + 1
-    body = F.slice("_lines", F.col("_span.first"), length)
-    return spans.select(
-        doc,
-        *kept,
-        F.col("_span.name").alias("name"),
-        F.col("_span.first").alias("first_line"),
-        F.col("_span.last").alias("last_line"),
-        F.filter(body, lambda line: ~line.rlike(GLOBL_LINE)).alias("lines"),
-    )
+    return listings.select(doc, F.inline(_function_bodies(F.col(text))))
 
 
 def setup_pattern(arch: str) -> str:
-    """Lines that set an argument of ``arch``, as one pattern over lower-case stripped lines."""
+    """Lines that set an argument of ``arch``, as one pattern that ignores case."""
     if arch == "x86":
-        return r"^push "
+        return r"(?i)^\s*push \s*\S"
     registers = "|".join(ARGUMENT_REGISTERS[arch])
-    return rf"^\s*{SETUP_OPCODES}[a-z]*\s+.*,\s*%(?:{registers}|ymm[0-9]+)\b"
+    return rf"(?i)^\s*{SETUP_OPCODES}[a-z]*\s+.*,\s*%(?:{registers}|ymm[0-9]+)\b"
 
 
 def call_pattern(symbol: Column) -> Column:
@@ -165,64 +174,87 @@ def call_context(lines: Column, symbol: Column, arch: str = "amd64_sysv") -> Col
 
     They are the calls and the unbroken run of argument set-up lines directly above each.
     """
-    calls = call_pattern(symbol)
     setup = setup_pattern(arch)
+    marker = "%" if arch in ARGUMENT_REGISTERS else " "
     empty = F.array().cast("array<int>")
     start = F.struct(F.lit(0).alias("line"), F.lit(1).alias("run"), empty.alias("hits"))
 
-    def step(s: Column, line: Column) -> Column:
-        number = s["line"] + 1
-        related = F.when(
-            F.regexp_like(line, calls), F.concat(s["hits"], F.sequence(s["run"], number))
-        ).otherwise(s["hits"])
-        is_setup = F.lower(strip(line)).rlike(setup)
-        return F.struct(
-            number.alias("line"),
-            F.when(is_setup, s["run"]).otherwise(number + 1).alias("run"),
-            related.alias("hits"),
-        )
+    def fold(calls: Column) -> Column:
+        def step(s: Column, line: Column) -> Column:
+            number = s["line"] + 1
+            related = F.when(
+                F.regexp_like(line, calls), F.concat(s["hits"], F.sequence(s["run"], number))
+            ).otherwise(s["hits"])
+            is_setup = line.contains(marker) & line.rlike(setup)
+            return F.struct(
+                number.alias("line"),
+                F.when(is_setup, s["run"]).otherwise(number + 1).alias("run"),
+                related.alias("hits"),
+            )
 
-    return F.array_distinct(F.aggregate(lines, start, step, lambda s: s["hits"]))
+        return F.array_distinct(F.aggregate(lines, start, step, lambda s: s["hits"]))
 
+    return let(call_pattern(symbol), fold)
 
-def call_contexts(listings: DataFrame, doc: str, text: str, symbol: str, arch: str = "amd64_sysv") -> DataFrame:
+
+def _related_lines(lines: Column, symbol: Column, arch: str) -> Column:
+    """The related lines as (line_no, line) entries."""
+    return let(
+        lines,
+        lambda ls: F.transform(
+            call_context(ls, symbol, arch),
+            lambda n: F.struct(n.alias("line_no"), F.element_at(ls, n).alias("line")),
+        ),
+    )
+
+
+def call_contexts(
+    listings: DataFrame, doc: str, text: str, symbol: str, arch: str = "amd64_sysv"
+) -> DataFrame:
     """(listing, symbol, line number, line) rows related to calls of each listing's ``symbol``."""
-    lines = split_lines(F.col(text))
-    numbers = call_context(lines, F.col(symbol), arch)
-    return listings.select(
-        doc, symbol, lines.alias("_lines"), F.explode(numbers).alias("line_no")
-    ).select(doc, symbol, "line_no", F.element_at("_lines", F.col("line_no")).alias("line"))
+    related = _related_lines(split_lines(F.col(text)), F.col(symbol), arch)
+    return listings.select(doc, symbol, F.inline(related))
+
+
+def _names(text: Column, last_only: bool = True) -> Column:
+    return F.transform(function_spans(split_lines(text), last_only), lambda s: s["name"])
 
 
 def _under_test(listing: str) -> Column:
     """Name of the function that the listing opens first."""
-    return strip_plt(F.get(function_spans(F.col(listing), last_only=False), F.lit(0))["name"])
+    return strip_plt(F.get(_names(F.col(listing), last_only=False), F.lit(0)))
 
 
 def listing_report(records: DataFrame, doc: str, listing: str, wrapper: str) -> DataFrame:
     """Per record that calls something: callees, wrapper functions, undefined callees, the
     function under test, and whether the wrapper defines ``main``."""
-    callees = called_symbols(F.col(listing))
-    defined = F.array_distinct(F.transform(function_spans(F.col(wrapper)), lambda s: s["name"]))
-    return records.select(
+    parsed = records.select(
         doc,
-        callees.alias("callees"),
-        defined.alias("wrapper_functions"),
-        F.array_except(F.transform(callees, strip_plt), defined).alias("undefined"),
+        called_symbols(F.col(listing)).alias("callees"),
+        F.array_distinct(_names(F.col(wrapper))).alias("wrapper_functions"),
         _under_test(listing).alias("under_test"),
-        F.array_contains(defined, "main").alias("has_main"),
+    )
+    return parsed.select(
+        "*",
+        F.array_except(F.transform("callees", strip_plt), "wrapper_functions").alias("undefined"),
+        F.array_contains("wrapper_functions", "main").alias("has_main"),
     ).where(F.size("callees") > 0)
 
 
-def callers_of(records: DataFrame, doc: str, listing: str, wrapper: str, arch: str = "amd64_sysv") -> DataFrame:
+def callers_of(
+    records: DataFrame, doc: str, listing: str, wrapper: str, arch: str = "amd64_sysv"
+) -> DataFrame:
     """How the wrapper's functions call the function under test: one row per related line."""
-    functions = split_functions(
-        records.select(doc, _under_test(listing).alias("symbol"), F.col(wrapper).alias("_wrapper")),
-        doc,
-        "_wrapper",
-        keep=["symbol"],
-    )
-    related = F.explode(call_context(F.col("lines"), F.col("symbol"), arch))
-    return functions.select(doc, "name", "symbol", "lines", related.alias("_no")).select(
-        doc, F.col("name").alias("caller"), "symbol", F.element_at("lines", F.col("_no")).alias("line")
-    )
+
+    def calls(symbol: Column) -> Column:
+        def of_function(f: Column) -> Column:
+            return F.transform(
+                _related_lines(f["lines"], symbol, arch),
+                lambda r: F.struct(
+                    f["name"].alias("caller"), symbol.alias("symbol"), r["line"].alias("line")
+                ),
+            )
+
+        return F.flatten(F.transform(_function_bodies(F.col(wrapper)), of_function))
+
+    return records.select(doc, F.inline(let(_under_test(listing), calls)))

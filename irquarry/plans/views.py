@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from irquarry.functions.text import newline_split
+from irquarry.functions.text import let, newline_split
 from irquarry.schemas import FUNC_INFO
 
 
@@ -17,6 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores when the scan has fewer splits than that; large scans stay as they are.
+
+    For jobs that spend long on each row, on a table of a few files.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def _words(line: Column) -> Column:
     return F.size(F.split(line, " ", -1))
 
@@ -162,13 +171,15 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as assembly listings: one function per line, calling the line's first word."""
-    doc = table(spark, sf_dir, "documents").select("doc_id", "text")
+    doc = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
     def callee(line: Column) -> Column:
         return F.concat(F.lit("g_"), F.regexp_replace(F.split_part(line, F.lit(" "), F.lit(1)), "[^A-Za-z]", ""))
 
     def body(line: Column, i: Column) -> Column:
-        words = _words(line)
+        return let(_words(line), lambda words: function(line, i, words))
+
+    def function(line: Column, i: Column, words: Column) -> Column:
         name = F.concat(F.lit("f"), (words % 5).cast("string"), F.lit("_"), (i % 4).cast("string"))
         return F.concat(
             F.array(

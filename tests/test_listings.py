@@ -32,7 +32,7 @@ def context_by_lines(lines, symbol, setup):
         if calls.search(line):
             j = i
             hits.add(i)
-            while j > 0 and re.match(setup, lines[j - 1].strip().lower()):
+            while j > 0 and re.match(setup, lines[j - 1].strip().lower() or "-"):
                 j -= 1
                 hits.add(j)
     return sorted(hits)
