@@ -134,29 +134,31 @@ def _digest(hashed: Column) -> list[Column]:
     ]
 
 
+def _coded(df: DataFrame) -> DataFrame:
+    """The side as one byte, its place in ``SIDES``: narrow keys for the shuffles."""
+    return df.withColumn("side", (F.col("side") == SIDES[1]).cast("byte"))
+
+
 def refine_colours(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 3) -> DataFrame:
     """Label-free colours of the nodes of both sides after some refinement rounds.
 
-    A round joins every node's arcs (out, in, and one to itself) with the colours at their far
-    ends and hashes the multiset.  Rounds are written to the shared folder, so the plan does not
-    grow and lost tasks re-read files.
+    ``edges`` are distinct and coded.  A round joins every node's arcs (out, in, and one to
+    itself) with the colours at their far ends and hashes the multiset.  Rounds are written to the
+    shared folder, so the plan does not grow and lost tasks re-read files.
     """
     spark = edges.sparkSession
+    key = ["graph_id", "side", "node"]
     out, back, own = (F.lit(way).cast("byte").alias("way") for way in (0, 1, 2))
-    src, dst = F.col("src"), F.col("dst")
-    arc = lambda node, far, way: F.struct(node.alias("node"), far.alias("far"), way)
-    arcs = edges.select(
-        "graph_id",
-        "side",
-        F.inline(F.array(arc(src, dst, out), arc(dst, src, back), arc(src, src, own), arc(dst, dst, own))),
-    )
+    src, dst, node = F.col("src"), F.col("dst"), F.col("node")
+    arc = lambda a, far, way: F.struct(a.alias("node"), far.alias("far"), way)
+    arcs = edges.select("graph_id", "side", F.inline(F.array(arc(src, dst, out), arc(dst, src, back))))
+    all_nodes = arcs.select(*key)
     if nodes is not None:
-        node = F.col("node")
-        arcs = arcs.unionByName(nodes.select("graph_id", "side", node, node.alias("far"), own))
+        all_nodes = all_nodes.unionByName(_coded(nodes).select(*key))
+    arcs = arcs.unionByName(all_nodes.distinct().select(*key, node.alias("far"), own))
     path = new_work_path(spark, "arcs")
-    arcs.distinct().write.parquet(path)
-    arcs = spark.read.parquet(path)
-    key = ["graph_id", "side", "node"]
+    arcs.write.parquet(path)
+    arcs = spark.read.schema(arcs.schema).parquet(path)
     colours = None
     for _ in range(rounds):
         if colours is None:
@@ -167,26 +169,36 @@ def refine_colours(edges: DataFrame, nodes: DataFrame | None = None, rounds: int
                 "_h", F.xxhash64("way", "far_colour")
             )
         refined = seen.groupBy(*key).agg(*_digest(F.col("_h")))
+        refined = refined.select(*key, F.xxhash64("_n", "_low", "_high").alias("colour"))
         path = new_work_path(spark, "colours")
-        refined.select(*key, F.xxhash64("_n", "_low", "_high").alias("colour")).write.parquet(path)
-        colours = spark.read.parquet(path)
+        refined.write.parquet(path)
+        colours = spark.read.schema(refined.schema).parquet(path)
     return colours
 
 
+def _stored_edges(edges: DataFrame) -> DataFrame:
+    """Distinct coded edges, written once for all rounds and comparisons."""
+    spark = edges.sparkSession
+    unique = _coded(edges.select("graph_id", "side", "src", "dst")).distinct()
+    path = new_work_path(spark, "edges")
+    unique.write.parquet(path)
+    return spark.read.schema(unique.schema).parquet(path)
+
+
 def wl_equal(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 3) -> DataFrame:
     """Per graph: the colour multisets of both sides agree.
 
     Agreement is necessary for isomorphism, not sufficient.
     """
-    return _compare(refine_colours(edges, nodes, rounds), F.col("colour"))
+    return _compare(refine_colours(_stored_edges(edges), nodes, rounds), F.col("colour"))
 
 
 def _compare(coloured: DataFrame, value: Column) -> DataFrame:
     digests = coloured.groupBy("graph_id", "side").agg(*_digest(value))
     pair = digests.groupBy("graph_id").agg(
         *[
-            F.max(F.when(F.col("side") == s, F.struct("_n", "_low", "_high"))).alias(s)
-            for s in SIDES
+            F.max(F.when(F.col("side") == code, F.struct("_n", "_low", "_high"))).alias(side)
+            for code, side in enumerate(SIDES)
         ]
     )
     return pair.select("graph_id", F.coalesce(F.col("predict") == F.col("target"), F.lit(False)).alias("wl_equal"))
@@ -199,7 +211,8 @@ def isomorphic(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 3
     exactly when their coloured edges are.  The rest, symmetric graphs, are searched one by one up
     to ``node_limit`` nodes; above it the answer stays null and is never guessed.
     """
-    colours = refine_colours(edges, nodes, rounds)
+    unique = _stored_edges(edges)
+    colours = refine_colours(unique, nodes, rounds)
     equal = _compare(colours, F.col("colour"))
     per_graph = (
         colours.groupBy("graph_id", "side", "colour")
@@ -209,7 +222,6 @@ def isomorphic(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 3
         .groupBy("graph_id")
         .agg(F.max("_most").alias("_most"), F.max("_nodes").alias("_nodes"))
     )
-    unique = edges.select("graph_id", "side", "src", "dst").distinct()
     src = colours.select("graph_id", "side", F.col("node").alias("src"), F.col("colour").alias("cs"))
     dst = colours.select("graph_id", "side", F.col("node").alias("dst"), F.col("colour").alias("cd"))
     coloured = unique.join(src, ["graph_id", "side", "src"]).join(dst, ["graph_id", "side", "dst"])
@@ -230,7 +242,9 @@ def isomorphic(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 3
     packed = (
         coloured.join(to_search, "graph_id", "left_semi")
         .groupBy("graph_id")
-        .agg(*[F.collect_list(F.when(F.col("side") == s, arc)).alias(s) for s in SIDES])
+        .agg(
+            *[F.collect_list(F.when(F.col("side") == code, arc)).alias(side) for code, side in enumerate(SIDES)]
+        )
     )
     searched = packed.select("graph_id", _mapping_exists("predict", "target").alias("searched"))
     return decided.join(searched, "graph_id", "left").select(

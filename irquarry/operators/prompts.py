@@ -154,6 +154,7 @@ def fix_basis(previous: DataFrame) -> DataFrame:
     with_error = F.when(message != "", F.col("choice"))
     chosen = F.struct("choice", "llvm_ir", "assembly")
     return previous.groupBy("idx").agg(
+        F.count_if(F.coalesce("execution_success", F.lit(False))).alias("n_executed"),
         F.count_if(ok).alias("n_compiled"),
         F.min_by(F.struct(message.alias("error"), F.col("llvm_ir").alias("predict")), with_error).alias("failed"),
         F.min_by("llvm_ir", "choice").alias("first_predict"),

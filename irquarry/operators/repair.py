@@ -48,12 +48,17 @@ class RepairRun:
         return f"{self.store.rstrip('/')}/{table}"
 
 
-def _run_round(run: RepairRun, prompts: DataFrame, retry: int) -> DataFrame:
-    """Store a round's prompts, responses and evaluations; what is stored already is kept."""
+def _run_round(run: RepairRun, prompts: DataFrame, retry: int) -> DataFrame | None:
+    """Store a round's prompts, responses and evaluations; what is stored already is kept.
+
+    Without any prompt there is no round.
+    """
     now = F.col("retry") == retry
     kept = cached_stage(
         prompts, RECORD_ROUND, run.path("prompts"), PROMPTS, lambda df: df, ROUND, now
     )
+    if kept.isEmpty():
+        return None
     responses = cached_stage(
         kept.select("idx", "retry", "prompt"),
         RECORD_ROUND,
@@ -83,11 +88,18 @@ def evaluations(spark, run: RepairRun) -> DataFrame:
     return read_store(spark, run.path("evaluations"), EVALUATIONS)
 
 
-def _with_embeddings(run: RepairRun, rows: DataFrame) -> DataFrame:
+def _failed_basis(run: RepairRun, previous: DataFrame) -> DataFrame:
+    """What the fix prompts need, for the records whose previous round has no executed choice.
+
+    Embeddings cost external calls, so solved records are dropped before them.
+    """
     if run.embed is not None:
-        return run.embed(rows)
-    unknown = F.lit(None).cast("array<double>")
-    return rows.withColumns({"embedding": unknown, "target_embedding": unknown})
+        failed = round_summary(previous).where("n_executed = 0").select("idx")
+        rows = run.embed(previous.join(failed, "idx", "left_semi"))
+    else:
+        unknown = F.lit(None).cast("array<double>")
+        rows = previous.withColumns({"embedding": unknown, "target_embedding": unknown})
+    return fix_basis(rows).where("n_executed = 0")
 
 
 def _analysis_prompts(run: RepairRun, records: DataFrame, failed: DataFrame, spark, retry: int) -> DataFrame:
@@ -128,13 +140,12 @@ def repair_loop(records: DataFrame, run: RepairRun) -> DataFrame:
     )
     previous = _run_round(run, first, -1)
     for retry in range(config.num_retry):
-        failed = round_summary(previous).where("n_executed = 0").select("idx")
-        if failed.isEmpty():
+        if previous is None:
             break
-        basis = fix_basis(_with_embeddings(run, previous.join(failed, "idx", "left_semi")))
+        basis = _failed_basis(run, previous)
         rows = records.join(basis, "idx")
         if config.fix_prompt_type == "llm-fix":
-            analysed = _analysis_prompts(run, records, failed, spark, retry)
+            analysed = _analysis_prompts(run, records, basis.select("idx"), spark, retry)
             rows = rows.join(analysed, "idx", "left")
             # Records without any compiled candidate get the compile fix.
             prompt = F.coalesce("next_prompt", fix_prompt(config, F.col("prompt")))

@@ -208,8 +208,14 @@ def generation_stage(
     prompts: DataFrame,
     generate: Callable[[list[str]], list[list[str]]],
     batch_size: int = 64,
+    tasks: int | None = None,
 ) -> DataFrame:
-    """Generate choices per prompt: ``prompts(idx, retry, prompt)`` to one row per choice."""
+    """Generate choices per prompt: ``prompts(idx, retry, prompt)`` to one row per choice.
+
+    ``tasks`` spreads the slow calls by hash of the record first.
+    """
+    if tasks:
+        prompts = prompts.repartition(tasks, "idx")
 
     def compute(batch: pa.RecordBatch) -> list:
         texts = batch.column("prompt").to_pylist()

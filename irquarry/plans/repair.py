@@ -197,7 +197,7 @@ def repair_loop(spark, sf_dir):
     run = repair.RepairRun(
         store=new_work_path(spark, "repair"),
         config=config,
-        generate=lambda df: stages.generation_stage(df, generate),
+        generate=lambda df: stages.generation_stage(df, generate, tasks=_tasks(spark)),
         evaluate=evaluate,
     )
     rows = repair.repair_loop(records, run)
