@@ -123,19 +123,18 @@ def topk_blocks(
     pair of blocks.  A group holding a large part of all rows becomes many blocks.  The groups
     themselves must be few (shards, or hash tables times buckets): their sizes are broadcast.
     """
-    sizes = (
-        vectors.groupBy(*on)
-        .agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_nv"))
-        .join(
-            queries.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_nq")),
-            on,
-        )
-    )
+    n_blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.lit(1)).cast("int")
+    counts = {"_nv": vectors.groupBy(*on).agg(n_blocks.alias("_nv"))}
+    counts["_nq"] = queries.groupBy(*on).agg(n_blocks.alias("_nq"))
+
+    def sized(df: DataFrame) -> DataFrame:
+        if not on:
+            return df.withColumns({n: counts[n].scalar() for n in counts})
+        return df.join(F.broadcast(counts["_nv"].join(counts["_nq"], on)), on)
 
     def blocks(df: DataFrame, id_col: str, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
         return (
-            df.select(id_col, "embedding", *on)
-            .join(F.broadcast(sizes), on)
+            sized(df.select(id_col, "embedding", *on))
             .withColumn(own, F.pmod(F.xxhash64(id_col), F.col(n_own)).cast("int"))
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
             .drop("_nv", "_nq")
@@ -192,10 +191,7 @@ def topk(
         spread = queries.withColumn(shard, F.explode(F.sequence(F.lit(0), F.lit(num_shards - 1))))
         partial = topk_blocks(spread, vectors, k, [shard], skip_self)
     else:
-        one = F.lit(0)
-        partial = topk_blocks(
-            queries.withColumn("_all", one), vectors.withColumn("_all", one), k, ["_all"], skip_self
-        ).drop("_all")
+        partial = topk_blocks(queries, vectors, k, [], skip_self)
     return _final(partial, k, by)
 
 def shard_winners(queries: DataFrame, vectors: DataFrame, skip_self: bool = False) -> DataFrame:

@@ -43,9 +43,8 @@ def rows_of(columns: list[str], rows) -> list[tuple]:
     return sorted(tuple(_cell(r[i]) for i in order) for r in rows)
 
 
-def compare(spark, con, plan, sql: str | None, sf_dir: str) -> str:
+def compare(df, con, sql: str | None) -> str:
     """Empty when equal, else what differs."""
-    df = plan(spark, sf_dir)
     got = rows_of(df.columns, df.collect())
     if sql is None:
         return "" if got else "no rows"
@@ -76,7 +75,7 @@ def main(sf_dir: str, names: list[str]) -> int:
     for name in names or plans:
         start = time.time()
         try:
-            problem = compare(spark, con, plans[name], sqls.get(name), sf_dir)
+            problem = compare(plans[name](spark, sf_dir), con, sqls.get(name))
         except Exception:
             problem = traceback.format_exc()[-1800:]
         kind = "sql" if name in sqls else "rows"
