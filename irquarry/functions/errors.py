@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from irquarry.functions.text import newline_split, squeeze, strip
+from irquarry.functions.text import let, newline_split, squeeze, strip
 
 # Message markers.
 TOOL_ERROR = "llc: error:"
@@ -63,14 +63,16 @@ def error_type(message: Column) -> Column:
     """Type of a message: that of its first tool-error line which can be typed, else null."""
 
     def line_type(line: Column) -> Column:
-        pieces = F.split(line, ANY_ERROR, -1)
-        hits = F.size(pieces) - 1
-        return F.when(
-            line.contains(TOOL_ERROR) & (hits == 1) & line.contains(UNVERIFIED), F.lit(UNVERIFIED)
-        ).when(line.contains(TOOL_ERROR) & (hits == 2), strip(F.element_at(pieces, -1)))
-
-    typed = F.transform(newline_split(message), line_type)
-    return F.get(F.filter(typed, lambda t: t.isNotNull()), F.lit(0))
+        def of_pieces(pieces: Column) -> Column:
+            unverified = (F.size(pieces) == 2) & line.contains(UNVERIFIED)
+            return F.when(unverified, F.lit(UNVERIFIED)).when(
+                F.size(pieces) == 3, strip(F.element_at(pieces, -1))
+            )
+
+        return let(F.split(line, ANY_ERROR, -1), of_pieces)
+
+    lines = F.filter(newline_split(message), lambda line: line.contains(TOOL_ERROR))
+    return F.get(F.filter(F.transform(lines, line_type), lambda t: t.isNotNull()), F.lit(0))
 
 
 def category(error: Column) -> Column:

@@ -143,17 +143,18 @@ def candidate_preference() -> Column:
     )
 
 
-def fix_basis(previous: DataFrame) -> DataFrame:
+def fix_basis(previous: DataFrame, by: tuple[str, ...] = ("idx",)) -> DataFrame:
     """One row per record with all a fix prompt needs of the previous round.
 
     ``previous`` holds the round's evaluations with columns embedding and target_embedding
-    (null where unknown).  Groups are bounded by the number of generated choices.
+    (null where unknown).  Groups are bounded by the number of generated choices.  Several rounds
+    at once are told apart by ``by``.
     """
     ok = F.coalesce("compile_success", F.lit(False))
     message = strip(F.coalesce("error_msg", F.lit("")))
     with_error = F.when(message != "", F.col("choice"))
     chosen = F.struct("choice", "llvm_ir", "assembly")
-    return previous.groupBy("idx").agg(
+    return previous.groupBy(*by).agg(
         F.count_if(F.coalesce("execution_success", F.lit(False))).alias("n_executed"),
         F.count_if(ok).alias("n_compiled"),
         F.min_by(F.struct(message.alias("error"), F.col("llvm_ir").alias("predict")), with_error).alias("failed"),

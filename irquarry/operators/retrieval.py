@@ -38,26 +38,34 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     with np.errstate(divide="ignore", invalid="ignore"):
         return rows / norms
 
+def _first_k(q, p, s, k: int):
+    """The best k rows per query: higher score first, then smaller id."""
+    order = np.lexsort((p, -s, q))
+    q, p, s = q[order], p[order], s[order]
+    starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.array([], int)
+    rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
+    return q[rank < k], p[rank < k], s[rank < k]
+
+
 def _best(q_ids, q_mat, v_ids, v_mat, k: int, skip_self: bool):
-    """Best k (query, point, score) of one block pair, in tiles of queries."""
-    order = np.argsort(v_ids, kind="stable")
-    v_ids, v_mat = v_ids[order], v_mat[order]
-    out_q, out_p, out_s = [], [], []
-    for start in range(0, len(q_ids), TILE_ROWS):
+    """Best k (query, point, score) of one block pair, in tiles of queries.
+
+    Every score that ties with the k-th stays in until ids decide, so copies cannot push each
+    other out at random.
+    """
+    found = [(np.array([], np.int64), np.array([], np.int64), np.array([], np.float64))]
+    last = max(len(v_ids) - k, 0)
+    for start in range(0, len(q_ids) if len(v_ids) else 0, TILE_ROWS):
         ids = q_ids[start : start + TILE_ROWS]
         scores = np.round(q_mat[start : start + TILE_ROWS] @ v_mat.T, DIGITS)
-        scores = np.where(np.isnan(scores), -np.inf, scores)
+        scores[np.isnan(scores)] = -np.inf
         if skip_self:
             scores[ids[:, None] == v_ids[None, :]] = -np.inf
-        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        kept = np.take_along_axis(scores, top, axis=1)
-        valid = np.isfinite(kept)
-        out_q.append(np.repeat(ids, top.shape[1])[valid.ravel()])
-        out_p.append(v_ids[top][valid])
-        out_s.append(kept[valid])
-    if not out_q:
-        return np.array([], np.int64), np.array([], np.int64), np.array([], np.float64)
-    return np.concatenate(out_q), np.concatenate(out_p), np.concatenate(out_s)
+        kth = np.partition(scores, last, axis=1)[:, last]
+        rows, cols = np.nonzero((scores >= kth[:, None]) & np.isfinite(scores))
+        found.append(_first_k(ids[rows], v_ids[cols], scores[rows, cols], k))
+    return tuple(np.concatenate(part) for part in zip(*found))
+
 
 def _final(partial: DataFrame, k: int, by: list[str]) -> DataFrame:
     order = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "point_id")
@@ -102,12 +110,8 @@ def _merge(held, found, k: int):
     """Best k per query of two partial results."""
     if held is None:
         return found
-    q, p, s = (np.concatenate([a, b]) for a, b in zip(held, found))
-    order = np.lexsort((p, -s, q))
-    q, p, s = q[order], p[order], s[order]
-    starts = np.r_[0, np.flatnonzero(np.diff(q)) + 1] if len(q) else np.array([], int)
-    rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
-    return q[rank < k], p[rank < k], s[rank < k]
+    return _first_k(*(np.concatenate(pair) for pair in zip(held, found)), k)
+
 
 def topk_blocks(
     queries: DataFrame,

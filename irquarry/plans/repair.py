@@ -61,22 +61,24 @@ _FIX_RUN = sql_render(texts.EXECUTION_ERROR, predict="bp", predict_assembly="'as
 @query(
     ctes("ev")
     + f"""
-, p AS (SELECT *, {sql_strip("error_msg")} AS msg FROM ev WHERE retry = 2),
-g AS (SELECT idx, count(*) FILTER (comp) AS n,
+, p AS (SELECT *, {sql_strip("error_msg")} AS msg FROM ev),
+g AS (SELECT idx, retry, count(*) FILTER (comp) AS n,
   arg_min(msg, choice) FILTER (msg <> '') AS fe,
   coalesce(arg_min(llvm_ir, choice) FILTER (msg <> ''), arg_min(llvm_ir, choice)) AS fp,
-  arg_min(llvm_ir, choice) FILTER (comp) AS bp FROM p GROUP BY 1)
-SELECT idx, 'P' || idx || CASE WHEN n = 0 THEN {_FIX_COMPILE} ELSE {_FIX_RUN} END AS prompt FROM g"""
+  arg_min(llvm_ir, choice) FILTER (comp) AS bp FROM p GROUP BY 1, 2)
+SELECT idx, retry + 1 AS retry, 'P' || idx || CASE WHEN n = 0 THEN {_FIX_COMPILE} ELSE {_FIX_RUN} END AS prompt FROM g"""
 )
 def fix_prompts(spark, sf_dir):
-    """The prompts of round 3, from the evaluations of round 2."""
+    """The prompt that would follow every round of every record."""
     unknown = F.lit(None).cast("array<double>")
-    previous = views.evaluations(spark, sf_dir).where("retry = 2").withColumns(
+    rounds = views.evaluations(spark, sf_dir).withColumns(
         {"embedding": unknown, "target_embedding": unknown}
     )
     initial = F.concat(F.lit("P"), F.col("idx").cast("string"))
-    return prompts.fix_basis(previous).select(
-        "idx", prompts.fix_prompt(JobConfig(), initial).alias("prompt")
+    return prompts.fix_basis(rounds, ("idx", "retry")).select(
+        "idx",
+        (F.col("retry") + 1).alias("retry"),
+        prompts.fix_prompt(JobConfig(), initial).alias("prompt"),
     )
 
 

@@ -292,6 +292,6 @@ def attached_counts(spark, sf_dir):
     rows = records.attach_bb_count(views.functions(spark, sf_dir), counts).join(source, "idx")
     return rows.select(
         "idx",
-        F.col("llvm_ir.bb_count.bbcount").cast("long").alias("bbcount"),
+        F.col("llvm_ir.bb_count.bbcount").alias("bbcount"),
         dependency_text(F.concat(F.lit("typedef int bool;"), "func_def"), F.array("source")).alias("deps"),
     )

@@ -4,7 +4,6 @@ import itertools
 import json
 import random
 
-from pyspark.sql import functions as F
 
 from irquarry.operators import graphs
 

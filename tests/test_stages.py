@@ -3,7 +3,6 @@
 import shutil
 
 import pytest
-from pyspark.sql import functions as F
 
 from irquarry.operators import stages
 
