@@ -139,50 +139,51 @@ def _coded(df: DataFrame) -> DataFrame:
     return df.withColumn("side", (F.col("side") == SIDES[1]).cast("byte"))
 
 
-def refine_colours(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 3) -> DataFrame:
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read back."""
+    spark = df.sparkSession
+    path = new_work_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def refine_colours(
+    edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 3, store_last: bool = True
+) -> DataFrame:
     """Label-free colours of the nodes of both sides after some refinement rounds.
 
-    ``edges`` are distinct and coded.  A round joins every node's arcs (out, in, and one to
-    itself) with the colours at their far ends and hashes the multiset.  Rounds are written to the
-    shared folder, so the plan does not grow and lost tasks re-read files.
+    ``edges`` are distinct and coded.  In a round every node hashes the multiset of the colours at
+    the far ends of its arcs and its own colour: one join and one aggregate.  Rounds are written to
+    the shared folder, so the plan does not grow and lost tasks re-read files.
     """
-    spark = edges.sparkSession
     key = ["graph_id", "side", "node"]
-    out, back, own = (F.lit(way).cast("byte").alias("way") for way in (0, 1, 2))
-    src, dst, node = F.col("src"), F.col("dst"), F.col("node")
+    out, back = (F.lit(way).cast("byte").alias("way") for way in (0, 1))
+    src, dst = F.col("src"), F.col("dst")
     arc = lambda a, far, way: F.struct(a.alias("node"), far.alias("far"), way)
     arcs = edges.select("graph_id", "side", F.inline(F.array(arc(src, dst, out), arc(dst, src, back))))
-    all_nodes = arcs.select(*key)
+    # Nodes without edges enter with a null hash, which counts for nothing.
+    seen = arcs.select(*key, F.xxhash64("way").alias("_h"))
     if nodes is not None:
-        all_nodes = all_nodes.unionByName(_coded(nodes).select(*key))
-    arcs = arcs.unionByName(all_nodes.distinct().select(*key, node.alias("far"), own))
-    path = new_work_path(spark, "arcs")
-    arcs.write.parquet(path)
-    arcs = spark.read.schema(arcs.schema).parquet(path)
+        seen = seen.unionByName(_coded(nodes).select(*key, F.lit(None).cast("long").alias("_h")))
     colours = None
-    for _ in range(rounds):
-        if colours is None:
-            seen = arcs.withColumn("_h", F.xxhash64("way"))
-        else:
+    for number in range(1, rounds + 1):
+        if colours is not None:
             far = colours.withColumnsRenamed({"node": "far", "colour": "far_colour"})
-            seen = arcs.join(far, ["graph_id", "side", "far"]).withColumn(
-                "_h", F.xxhash64("way", "far_colour")
+            seen = arcs.join(far, ["graph_id", "side", "far"]).select(
+                *key, F.xxhash64("way", "far_colour").alias("_h")
             )
+            own = colours.select(*key, F.xxhash64(F.lit(2).cast("byte"), "colour").alias("_h"))
+            seen = seen.unionByName(own)
         refined = seen.groupBy(*key).agg(*_digest(F.col("_h")))
-        refined = refined.select(*key, F.xxhash64("_n", "_low", "_high").alias("colour"))
-        path = new_work_path(spark, "colours")
-        refined.write.parquet(path)
-        colours = spark.read.schema(refined.schema).parquet(path)
+        colours = refined.select(*key, F.xxhash64("_n", "_low", "_high").alias("colour"))
+        if store_last or number < rounds:
+            colours = _stored(colours, "colours")
     return colours
 
 
 def _stored_edges(edges: DataFrame) -> DataFrame:
     """Distinct coded edges, written once for all rounds and comparisons."""
-    spark = edges.sparkSession
-    unique = _coded(edges.select("graph_id", "side", "src", "dst")).distinct()
-    path = new_work_path(spark, "edges")
-    unique.write.parquet(path)
-    return spark.read.schema(unique.schema).parquet(path)
+    return _stored(_coded(edges.select("graph_id", "side", "src", "dst")).distinct(), "edges")
 
 
 def wl_equal(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 3) -> DataFrame:
@@ -190,18 +191,28 @@ def wl_equal(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 3)
 
     Agreement is necessary for isomorphism, not sufficient.
     """
-    return _compare(refine_colours(_stored_edges(edges), nodes, rounds), F.col("colour"))
+    colours = refine_colours(_stored_edges(edges), nodes, rounds, store_last=False)
+    return _compare(colours, F.col("colour")).select("graph_id", "wl_equal")
 
 
 def _compare(coloured: DataFrame, value: Column) -> DataFrame:
-    digests = coloured.groupBy("graph_id", "side").agg(*_digest(value))
-    pair = digests.groupBy("graph_id").agg(
-        *[
-            F.max(F.when(F.col("side") == code, F.struct("_n", "_low", "_high"))).alias(side)
-            for code, side in enumerate(SIDES)
-        ]
+    """Per graph: equal value multisets, the largest multiplicity of a value, and their number."""
+    classes = coloured.groupBy("graph_id", "side", value.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    low, high = F.col("_v").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright("_v", 32)
+    per_side = classes.groupBy("graph_id", "side").agg(
+        F.sum("_c").alias("_n"),
+        F.sum(F.col("_c") * low).alias("_low"),
+        F.sum(F.col("_c") * high).alias("_high"),
+        F.max("_c").alias("_most"),
     )
-    return pair.select("graph_id", F.coalesce(F.col("predict") == F.col("target"), F.lit(False)).alias("wl_equal"))
+    digest = F.struct("_n", "_low", "_high")
+    pair = per_side.groupBy("graph_id").agg(
+        *[F.max(F.when(F.col("side") == code, digest)).alias(side) for code, side in enumerate(SIDES)],
+        F.max("_most").alias("_most"),
+        F.max("_n").alias("_size"),
+    )
+    same = F.coalesce(F.col("predict") == F.col("target"), F.lit(False))
+    return pair.select("graph_id", same.alias("wl_equal"), "_most", "_size")
 
 
 def isomorphic(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 3, node_limit: int = 64) -> DataFrame:
@@ -213,20 +224,14 @@ def isomorphic(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 3
     """
     unique = _stored_edges(edges)
     colours = refine_colours(unique, nodes, rounds)
-    equal = _compare(colours, F.col("colour"))
-    per_graph = (
-        colours.groupBy("graph_id", "side", "colour")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .groupBy("graph_id", "side")
-        .agg(F.max("_c").alias("_most"), F.sum("_c").alias("_nodes"))
-        .groupBy("graph_id")
-        .agg(F.max("_most").alias("_most"), F.max("_nodes").alias("_nodes"))
+    key = ["graph_id", "side"]
+    src = colours.select(*key, F.col("node").alias("src"), F.col("colour").alias("cs"))
+    dst = colours.select(*key, F.col("node").alias("dst"), F.col("colour").alias("cd"))
+    coloured = _stored(unique.join(src, [*key, "src"]).join(dst, [*key, "dst"]), "coloured")
+    edge_equal = _compare(coloured, F.xxhash64("cs", "cd")).select(
+        "graph_id", F.col("wl_equal").alias("edges_equal")
     )
-    src = colours.select("graph_id", "side", F.col("node").alias("src"), F.col("colour").alias("cs"))
-    dst = colours.select("graph_id", "side", F.col("node").alias("dst"), F.col("colour").alias("cd"))
-    coloured = unique.join(src, ["graph_id", "side", "src"]).join(dst, ["graph_id", "side", "dst"])
-    edge_equal = _compare(coloured, F.xxhash64("cs", "cd")).withColumnRenamed("wl_equal", "edges_equal")
-    state = equal.join(per_graph, "graph_id").join(edge_equal, "graph_id", "left")
+    state = _compare(colours, F.col("colour")).join(edge_equal, "graph_id", "left")
     decided = state.select(
         "graph_id",
         F.when(~F.col("wl_equal"), F.lit(False))
@@ -234,7 +239,7 @@ def isomorphic(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 3
         .when(~F.col("edges_equal"), F.lit(False))
         .when(F.col("_most") == 1, F.lit(True))
         .alias("decided"),
-        "_nodes",
+        F.col("_size").alias("_nodes"),
     )
     to_search = decided.where(F.col("decided").isNull() & (F.col("_nodes") <= node_limit)).select("graph_id")
     # One row per graph; its lists are bounded by the square of the node limit.
