@@ -147,6 +147,11 @@ def function_name() -> Column:
     return F.coalesce(name, F.concat(F.lit("func_"), F.col("idx").cast("string")))
 
 
+def function_names() -> Column:
+    """Names of all functions of a module."""
+    return F.transform(F.col("func_info.functions"), lambda f: f["name"])
+
+
 def normalize_predictions(predictions: DataFrame) -> DataFrame:
     return predictions.withColumn("predict", normalize_prediction(F.col("predict")))
 

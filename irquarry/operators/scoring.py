@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +55,30 @@ def guard_target(predictions: DataFrame) -> DataFrame:
     )
 
 
+def evaluate_predictions(
+    matched: DataFrame, evaluate: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Flags of every prediction of matched records, evaluated one choice per row.
+
+    ``evaluate`` adds compile_success and execution_success to (idx, choice, llvm_ir) rows.  Code
+    for the other architecture is not evaluated and counts as failed.  The flag lists are as long
+    as the record's own prediction list.
+    """
+    choices = matched.select("idx", F.posexplode("predict").alias("choice", "llvm_ir"))
+    runnable = choices.where(~targets_aarch64(F.col("llvm_ir")))
+    done = evaluate(runnable).select("idx", "choice", "compile_success", "execution_success")
+    flags = choices.select("idx", "choice").join(done, ["idx", "choice"], "left")
+    names = ("compile_success", "execution_success")
+    cell = F.struct("choice", *[F.coalesce(n, F.lit(False)).alias(n) for n in names])
+    lists = flags.groupBy("idx").agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
+    return (
+        matched.drop(*[f"predict_{n}" for n in names])
+        .join(lists, "idx", "left")
+        .withColumns({f"predict_{n}": F.col(f"_cells.{n}") for n in names})
+        .drop("_cells")
+    )
+
+
 def score_totals(scored: DataFrame) -> DataFrame:
     """Records whose any choice compiled or executed, and the same for the targets.
 

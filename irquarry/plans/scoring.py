@@ -22,10 +22,15 @@ SELECT count(*) AS n_records,
 FROM pred_last JOIN corpus USING (key)"""
 )
 def score_predictions(spark, sf_dir):
-    """The scoring job: normalise, join by key, count any-choice successes."""
+    """The scoring job: normalise, guard, join by key, count any-choice successes.
+
+    Texts are judged before the join, so only keys and flags are shuffled.
+    """
     predictions = records.normalize_predictions(views.predictions(spark, sf_dir))
-    matched = scoring.match_predictions(predictions, views.functions(spark, sf_dir))
-    return scoring.score_totals(scoring.guard_target(matched))
+    matched = scoring.match_predictions(
+        scoring.guard_target(predictions), views.functions(spark, sf_dir)
+    )
+    return scoring.score_totals(matched)
 
 
 @query(ctes("pred", "corpus") + " SELECT idx, row_idx, key, text AS first_predict FROM pred_last JOIN corpus USING (key)")

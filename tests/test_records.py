@@ -183,3 +183,26 @@ def test_missing_positions(spark):
     present = spark.createDataFrame([(0, 0), (0, 2), (1, 0)], "shard int, record_id long")
     totals = spark.createDataFrame([(0, 4), (1, 1), (2, 0)], "shard int, n long")
     assert sorted(tuple(r) for r in scoring.missing_positions(present, totals).collect()) == [(0, 1), (0, 3)]
+
+
+def test_evaluate_predictions(spark):
+    aarch = 'target triple = "aarch64-linux"'
+    rows = [(0, "p", "t", ["good", aarch, "bad"], None, None, True, True), (1, "q", "t", [], None, None, True, True)]
+
+    def evaluate(choices):
+        good = F.col("llvm_ir") == "good"
+        return choices.withColumns({"compile_success": F.lit(True), "execution_success": good})
+
+    done = scoring.evaluate_predictions(spark.createDataFrame(rows, PRED), evaluate)
+    got = {r["idx"]: (r["predict_compile_success"], r["predict_execution_success"]) for r in done.collect()}
+    assert got == {0: ([True, False, True], [True, False, False]), 1: (None, None)}
+    assert tuple(scoring.score_totals(done).head())[:3] == (2, 1, 1)
+
+
+def test_choice_rows_and_names(spark, functions):
+    responses = spark.createDataFrame([(0, -1, 0, "a"), (0, -1, 1, "b")], "idx long, retry int, choice int, content string")
+    evaluations = spark.createDataFrame([(0, -1, 1, True)], "idx long, retry int, choice int, compile_success boolean")
+    records_ = functions(_record(0, [_entry(name="g"), _entry(name="h")]))
+    row = scoring.choice_rows(responses, evaluations, records_).head()
+    assert (row["content"], row["path"]) == ("b", "p0")
+    assert records_.select(records.function_names()).head()[0] == ["g", "h"]
