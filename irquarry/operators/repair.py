@@ -128,10 +128,13 @@ def repair_loop(records: DataFrame, run: RepairRun) -> DataFrame:
     """Run the first attempt and up to ``num_retry`` repair rounds; returns all evaluations.
 
     ``records(idx, prompt, target_assembly[, c_code])``.  A record leaves the loop when a choice
-    executed, in whichever round, the last one included.
+    executed, in whichever round, the last one included.  The records are stored first: their
+    prompts may come from a search, which must not run again in every round.
     """
     spark = records.sparkSession
     config = run.config
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in records.schema)
+    records = cached_stage(records, ["idx"], run.path("records"), ddl, lambda df: df)
     first = records.select(
         "idx",
         F.lit(-1).alias("retry"),
