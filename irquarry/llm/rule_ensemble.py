@@ -12,7 +12,7 @@ label 1 (0.5 if there are no labels).  An empty table gives an empty result.
 from __future__ import annotations
 
 import math
-import re
+import string
 from collections import Counter
 from dataclasses import dataclass
 
@@ -38,8 +38,15 @@ STATISTICS = (
 )
 FIELDS = ", ".join(f"{s} double" for s in STATISTICS)
 
-_ODD = re.compile(rb"[#*$%&|<>{}\\^~=@_]")
-_MARKS = re.compile(rb"[!-/:-@\[-`{-~]")
+_ODD = b"#*$%&|<>{}\\^~=@_"
+_MARKS = string.punctuation.encode()
+_DIGITS = string.digits.encode()
+_UPPER = string.ascii_uppercase.encode()
+_NO_LETTERS = string.whitespace.encode() + _DIGITS + _MARKS
+
+
+def _number_of(body: bytes, chars: bytes) -> int:
+    return len(body) - len(body.translate(None, chars))
 
 
 def statistics(body: bytes) -> tuple[float, ...]:
@@ -50,18 +57,16 @@ def statistics(body: bytes) -> tuple[float, ...]:
         return (0.0,) * len(STATISTICS)
     size = len(body)
     counts = Counter(words)
-    letters = body.translate(None, b" \t\n\r\x0b\x0c0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
-    plain = max(len(letters), 1)
-    marks = _MARKS.findall(body)
+    letters = max(size - _number_of(body, _NO_LETTERS), 1)
     lines = [line for line in body.split(b"\n") if line.strip()]
     pairs = Counter(zip(words, words[1:]))
     return (
         math.log1p(n),
         sum(map(len, words)) / n,
-        len(_ODD.findall(body)) / n,
-        sum(1 for c in letters if 65 <= c <= 90) / plain,
-        sum(1 for c in body if 48 <= c <= 57) / size,
-        len(marks) / n,
+        _number_of(body, _ODD) / n,
+        _number_of(body, _UPPER) / letters,
+        _number_of(body, _DIGITS) / size,
+        _number_of(body, _MARKS) / n,
         body.count(b"!") / n,
         body.count(b"|") / n,
         len(counts) / n,

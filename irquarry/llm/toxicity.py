@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ SAMPLE = 12000
 ORDERS = (3, 4, 5)
 LONGEST_WORD = 64
 MIN_TEXTS = 4
-FEATURES = 20000
+FEATURES = 1000
 SMOOTHING = 1.0
 PENALTY = 2.0
 STEPS = 250
@@ -37,14 +38,15 @@ STEPS = 250
 REMEMBERED = 200_000
 
 
-def grams(word: bytes) -> set[bytes]:
+@lru_cache(maxsize=20_000)
+def grams(word: bytes) -> frozenset[bytes]:
     """Character n-grams of a word between its marked edges; a word longer than LONGEST_WORD is cut into such parts."""
     found = set()
     for at in range(0, len(word), LONGEST_WORD):
         marked = b" " + word[at : at + LONGEST_WORD + 4] + b" "
         for n in ORDERS:
             found.update([marked[i : i + n] for i in range(len(marked) - n + 1)])
-    return found
+    return frozenset(found)
 
 
 @dataclass
