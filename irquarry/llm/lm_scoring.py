@@ -19,6 +19,7 @@ documents only the uniform estimate is left.  An empty table gives an empty resu
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,8 @@ from irquarry.llm.common import named, sliced, stored, texts, total_bytes
 ORDER = 2
 #: Bytes of text per chunk and per range of keys.
 CHUNK_BYTES = 8 << 20
+#: Tokens of a chunk that are scored at a time.
+SLICE_TOKENS = 1 << 18
 BUCKETS = 24
 EM_ROUNDS = 60
 #: Ratios of estimates are rounded to this share of an octave before the weights are learned.
@@ -144,6 +147,22 @@ class _Grams:
         """How often each asked key occurs here."""
         return np.bincount(np.searchsorted(self.asked[k], self.keys[k]), minlength=len(self.asked[k]))
 
+    def slices(self) -> Iterator[_Grams]:
+        """The same texts in parts of about SLICE_TOKENS tokens, each with the chunk's asked keys."""
+        pads = len(self.keys) - 1
+        starts = np.unique(np.searchsorted(self.bounds, np.arange(0, self.lengths.sum(), SLICE_TOKENS)))
+        starts = starts[starts < len(self.bounds)]
+        for i, j in zip(starts, [*starts[1:], len(self.lengths)]):
+            part = copy.copy(self)
+            part.lengths = self.lengths[i:j]
+            part.bounds = self.bounds[i:j] - self.bounds[i]
+            first = self.bounds[i] + pads * i
+            last = first + part.lengths.sum() + pads * (j - i)
+            part.keys = [k[first:last] for k in self.keys]
+            lo, hi = np.searchsorted(self.real, (first, last))
+            part.real = self.real[lo:hi] - first
+            yield part
+
     def counts(self, answers: list[np.ndarray]) -> list[np.ndarray]:
         """Per order the corpus count at every place, from the counts of the asked keys."""
         return [c[np.searchsorted(a, k)] for a, k, c in zip(self.asked, self.keys, answers)]
@@ -278,18 +297,19 @@ def _cells(chunks: DataFrame, answers: DataFrame, order: int, tokens: int, types
     schema = StructType.fromDDL("bucket int, ratios array<int>, tokens long")
 
     def run(held: pa.Table, replies: pa.Table) -> pa.Table:
-        cells, number = np.zeros((0, order + 1), np.int64), np.zeros(0, np.int64)
-        for row in held.to_pylist():
-            grams = _Grams(row["sizes"], row["body"], order)
-            at = grams.counts(_answered(replies, order, "counted"))
-            estimates, bucket = _estimates(grams, at, tokens)
-            with np.errstate(divide="ignore"):
-                ratios = [np.rint(np.log2(e * (types + 1)) * OCTAVE_STEPS) for e in estimates]
-            marks = np.stack([bucket, *[np.where(np.isfinite(r), r, 1 << 20) for r in ratios]], axis=1)
-            cells, number = np.unique(marks.astype(np.int64), axis=0, return_counts=True)
-        lists = [[None if r == 1 << 20 else r for r in c[1:]] for c in cells.tolist()]
-        columns = [pa.array(cells[:, 0], pa.int32()), pa.array(lists, pa.list_(pa.int32())), pa.array(number)]
-        return pa.table(columns, names=schema.fieldNames())
+        found = []
+        counted = _answered(replies, order, "counted")
+        for i in range(held.num_rows):
+            for grams in _Grams(held["sizes"][i].as_py(), held["body"][i].as_py(), order).slices():
+                estimates, bucket = _estimates(grams, grams.counts(counted), tokens)
+                with np.errstate(divide="ignore"):
+                    ratios = [np.rint(np.log2(e * (types + 1)) * OCTAVE_STEPS) for e in estimates]
+                marks = np.stack([bucket, *[np.where(np.isfinite(r), r, 1 << 20) for r in ratios]], axis=1)
+                cells, number = np.unique(marks.astype(np.int64), axis=0, return_counts=True)
+                lists = [[None if r == 1 << 20 else r for r in c[1:]] for c in cells.tolist()]
+                columns = [pa.array(cells[:, 0], pa.int32()), pa.array(lists, pa.list_(pa.int32())), pa.array(number)]
+                found.append(pa.table(columns, names=schema.fieldNames()))
+        return pa.concat_tables(found) if found else to_arrow_schema(schema).empty_table()
 
     held = chunks.where(F.col("part") == HELD).select("chunk", "sizes", "body")
     replies = answers.where(F.col("part") == HELD).select("chunk", "gram_order", "key_range", "counted")
@@ -308,32 +328,28 @@ def _scores(
 
     def run(texts_of: pa.Table, replies: pa.Table) -> pa.Table:
         made = []
+        counts = [a.astype(np.int64) + b for a, b in zip(*(_answered(replies, order, c) for c in ("counted", "held")))]
         for i in range(texts_of.num_rows):
             grams = _Grams(texts_of["sizes"][i].as_py(), texts_of["body"][i].as_py(), order)
-            parts = [_answered(replies, order, c) for c in ("counted", "held")]
-            at = grams.counts([a.astype(np.int64) + b for a, b in zip(*parts)])
-            count = at[0][grams.real]
-            base = np.log10((count + 0.5) / (tokens + 0.5 * (types + 1)))
-            estimates, bucket = _estimates(grams, at, tokens)
-            mixture = weights[bucket]
-            chance = mixture[:, 0] / (types + 1)
-            for k, estimate in enumerate(estimates):
-                chance = chance + mixture[:, k + 1] * estimate
-            known = (count > 0).astype(np.int64)
-            made.append(
-                pa.table(
-                    [
-                        texts_of["ids"].slice(i, 1).combine_chunks().flatten(),
-                        pa.array(grams.lengths),
-                        pa.array(np.add.reduceat(known, grams.bounds)),
-                        pa.array(np.full(len(grams.lengths), tokens)),
-                        pa.array(np.add.reduceat(base, grams.bounds)),
-                        pa.array(np.add.reduceat(np.log10(chance), grams.bounds)),
-                    ],
-                    names=schema.fieldNames(),
-                )
-            )
-        return pa.concat_tables(made) if made else pa.table([[] for _ in schema], schema=to_arrow_schema(schema))
+            columns = [scores_of(part, part.counts(counts)) for part in grams.slices()]
+            ids = texts_of["ids"].slice(i, 1).combine_chunks().flatten()
+            train = pa.array(np.full(len(ids), tokens))
+            known, base, score = (pa.array(np.concatenate(c)) for c in zip(*columns))
+            values = [ids, pa.array(grams.lengths), known, train, base, score]
+            made.append(pa.table(values, names=schema.fieldNames()))
+        return pa.concat_tables(made) if made else to_arrow_schema(schema).empty_table()
+
+    def scores_of(grams: _Grams, at: list[np.ndarray]) -> list[np.ndarray]:
+        """Per text the known tokens, the base score and the model's."""
+        count = at[0][grams.real]
+        base = np.log10((count + 0.5) / (tokens + 0.5 * (types + 1)))
+        estimates, bucket = _estimates(grams, at, tokens)
+        mixture = weights[bucket]
+        chance = mixture[:, 0] / (types + 1)
+        for k, estimate in enumerate(estimates):
+            chance = chance + mixture[:, k + 1] * estimate
+        values = ((count > 0).astype(np.int64), base, np.log10(chance))
+        return [np.add.reduceat(v, grams.bounds) for v in values]
 
     replies = answers.select("chunk", "gram_order", "key_range", "counted", "held")
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)
