@@ -135,7 +135,8 @@ class _Grams:
             flat.append(-1)
             lengths.append(len(words) + 1)
         hashes = [xxhash.xxh64_intdigest(w) for w in known] + [int(_START), int(_END)]
-        place = np.array(flat, dtype=np.int64)
+        place = np.array(flat, dtype=np.int32)
+        del flat, plain, known
         self.real = np.flatnonzero(place != -2)
         self.lengths = np.array(lengths, dtype=np.int64)
         self.bounds = np.cumsum(self.lengths) - self.lengths
@@ -194,6 +195,7 @@ def _requests(chunks: DataFrame, order: int, ranges: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [same[0], pa.array(full, pa.int32()), same[1], same[2], *lists], names=schema.fieldNames()
                     )
+                del grams  # before the next chunk's are made
 
     return chunks.select("chunk", "part", "sizes", "body").mapInArrow(run, schema)
 
