@@ -37,7 +37,7 @@ def named(column: str) -> Column:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The table written below the shared folder and read back: lineage ends here."""
     path = new_work_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:6]}")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

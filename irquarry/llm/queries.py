@@ -24,7 +24,7 @@ from irquarry.llm import (
     toxicity,
     warc,
 )
-from irquarry.llm.common import crc_remainder, measured, sliced, stored, table, texts
+from irquarry.llm.common import crc_remainder, measured, sliced, table, texts
 from irquarry.session import new_work_path
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -182,14 +182,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = quality_statistics(docs, ["doc_id"]).select("row.doc_id", "out.*")
-    model = rule_ensemble.fit(rows, learnable(table(spark, sf_dir, "labels"), "quality"))
-    return rows.select(_judged(model.score(F.col), GOOD_FROM))
-
-
-def quality_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The statistics of all documents, measured once and stored: the fit and the scores read them."""
-    return stored(rule_ensemble.with_statistics(docs, keep), "quality-statistics")
+    model = rule_ensemble.fit(docs, learnable(table(spark, sf_dir, "labels"), "quality"))
+    rows = rule_ensemble.with_statistics(docs, ["doc_id"])
+    scored = rows.select("row.doc_id", model.score(lambda name: F.col(f"out.{name}")).alias("score"))
+    return scored.select(_judged(F.col("score"), GOOD_FROM))
 
 
 QUERIES: dict[str, Plan] = {

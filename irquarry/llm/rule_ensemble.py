@@ -21,7 +21,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from irquarry.llm.common import measured, stored
+from irquarry.llm.common import measured, named, stored
 
 #: Labelled texts the model is fitted on, at most.
 SAMPLE = 20000
@@ -138,13 +138,18 @@ def _tightest(terms: tuple[tuple[str, bool, float], ...]) -> tuple[tuple[str, bo
     return tuple(sorted((name, at_most, threshold) for (name, at_most), threshold in kept.items()))
 
 
-def fit(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ensemble:
-    """``rows``: doc_id and the statistics; ``labels``: doc_id and label (0 or 1, others left out)."""
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Ensemble:
+    """The ensemble from labelled texts; ``labels`` has doc_id and label (0 or 1, others left out).
+
+    Only the chosen texts are measured here.
+    """
     marked = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     chosen = marked.groupBy("doc_id").agg(F.max("label").cast("double").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded: may be broadcast
-    drawn = rows.join(F.broadcast(chosen), "doc_id").select("label", *STATISTICS)
-    known = stored(drawn.repartition(FIT_PARTITIONS), "rules-sample")
+    rows = docs.select(named(doc_id).alias("doc_id"), named(text).alias("text"))
+    drawn = rows.join(F.broadcast(chosen), "doc_id").select("label", "text")
+    known = stored(with_statistics(drawn, ["label"]).select("row.label", "out.*"), "rules-sample")
+    known = known.coalesce(FIT_PARTITIONS)  # bounded as well
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     zeros, ones = sizes.get(0.0, 0), sizes.get(1.0, 0)
     if not zeros or not ones:
