@@ -14,12 +14,9 @@ from irquarry.llm.common import stored, table
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the rule ensemble, fitted on the labels that may be learned from, takes for good."""
-    rows = queries.quality_statistics(docs, docs.columns)
-    model = rule_ensemble.fit(
-        rows.select("row.doc_id", "out.*"), queries.learnable(table(spark, sf_dir, "labels"), "quality")
-    )
-    statistic = lambda name: F.col("out").getField(name)
-    return rows.where(model.score(statistic) >= queries.GOOD_FROM).select("row.*")
+    model = rule_ensemble.fit(docs, queries.learnable(table(spark, sf_dir, "labels"), "quality"))
+    rows = rule_ensemble.with_statistics(docs, docs.columns)
+    return rows.where(model.score(lambda name: F.col(f"out.{name}")) >= queries.GOOD_FROM).select("row.*")
 
 
 def compression_bands(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
