@@ -14,6 +14,7 @@ from pyspark.sql.types import BooleanType
 from irquarry.functions.instructions import byte_text, disassembly, normalize_instruction
 from irquarry.operators.ranking import chunked_rank
 from irquarry.schemas import CFG_FUNCTION
+from irquarry.operators.outcomes import first_executed
 from irquarry.session import new_work_path
 
 SIDES = ("predict", "target")
@@ -313,7 +314,12 @@ def block_features(blocks: DataFrame, keys: list[str], instructions: str = "inst
 
 
 def compare_first_executed(evaluations: DataFrame, targets: DataFrame, cfg_json: str, target_json: str) -> DataFrame:
-    """Both parsed graphs of each record's first executed candidate, as an edge table with sides."""
+    """Both parsed graphs of each record's first executed candidate, as an edge table with sides.
+
+    Evaluations without rounds and choices hold one candidate per record already.
+    """
+    if {"retry", "choice", "execution_success"} <= set(evaluations.columns):
+        evaluations = first_executed(evaluations)
     predicted = parse_cfg(evaluations, cfg_json)
     truth = parse_cfg(targets, target_json)
     rows = [

@@ -87,7 +87,8 @@ def widening_match(
     Level k admits a block difference below 1 + k and a token difference below (1 + k)/step of
     the probe's tokens.  The search tries levels below 1, 8, 64, ... and takes to the next try
     only the cells still open, so dense tables are done after one or two joins.  Probes without
-    tokens, and all probes when there is no candidate, get null.
+    tokens or block count, and all probes when there is no candidate, get null; candidates without
+    either match nothing.
     """
     block = F.col(bb) if with_blocks else F.lit(0)
     cells = candidates.groupBy(block.cast("long").alias("c_bb"), F.col(tok).cast("long").alias("c_tok")).agg(
@@ -96,9 +97,10 @@ def widening_match(
     p_cells = probes.select(
         block.cast("long").alias("p_bb"), F.col(tok).cast("long").alias("p_tok")
     ).distinct()
+    cells = cells.where("c_bb IS NOT NULL AND c_tok IS NOT NULL")
     # Written once and read by every try: retries read files, not the lineage of the inputs.
     cells, n_cells = _stored(cells, "cells", "c_bb long, c_tok long, c_idx long")
-    p_cells, n_open = _stored(p_cells.where("p_tok > 0"), "probes", "p_bb long, p_tok long")
+    p_cells, n_open = _stored(p_cells.where("p_tok > 0 AND p_bb IS NOT NULL"), "probes", "p_bb long, p_tok long")
     found, still_open, reach = None, p_cells, 1
     while n_cells > 0 and n_open > 0:
         hit, n_hit = _stored(

@@ -26,7 +26,7 @@ def inst_count() -> Column:
     return F.aggregate(sizes, F.lit(0).cast("long"), lambda acc, x: acc + x)
 
 
-def training_pairs(functions: DataFrame, start: int = 0, end: int | None = 100) -> DataFrame:
+def training_pairs(functions: DataFrame, start: int = 0, end: int | None = None) -> DataFrame:
     """Last assembly as input, first IR as output, for the positions ``[start, end)``.
 
     Positions are cut before the empty-IR filter, so fewer rows than ``end - start`` may remain.

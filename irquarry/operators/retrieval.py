@@ -16,6 +16,7 @@ from irquarry.config import JobConfig
 from irquarry.functions.text import normalize_listing
 from irquarry.operators.prompts import candidate_preference
 from irquarry.operators.ranking import chunked_rank
+from irquarry.session import new_work_path
 from irquarry.operators.records import last_code
 
 BLOCK_ROWS = 8192
@@ -250,9 +251,15 @@ def embedding_input(functions: DataFrame) -> DataFrame:
     )
 
 def build_points(metadata: DataFrame, embedded: DataFrame) -> DataFrame:
-    """Points of the rows that were embedded; point ids are compacted positions per shard."""
+    """Points of the rows that were embedded; point ids are compacted positions per shard.
+
+    The embedded rows are stored first: the rank reads its input twice, the model runs once.
+    """
     joined = metadata.join(embedded.select("shard", "record_id", "embedding"), ["shard", "record_id"])
-    ranked = chunked_rank(joined, "record_id", "_rank", by=["shard"])
+    path = new_work_path(joined.sparkSession, "points")
+    joined.write.parquet(path)
+    stored = joined.sparkSession.read.schema(joined.schema).parquet(path)
+    ranked = chunked_rank(stored, "record_id", "_rank", by=["shard"])
     return ranked.select(
         "shard", (F.col("_rank") - 1).alias("point_id"), "record_id", "path", "embedding"
     )

@@ -185,6 +185,14 @@ def command_chain(
     return out
 
 
+def _isolated(call: Callable[[list[str]], list], texts: list[str]) -> list:
+    """Results of a batched call; a failing batch is repeated one by one, and what still fails is null."""
+    try:
+        return list(call(texts))
+    except Exception:
+        return [None] if len(texts) == 1 else [r for t in texts for r in _isolated(call, [t])]
+
+
 def embedding_stage(
     df: DataFrame,
     text: str,
@@ -192,13 +200,16 @@ def embedding_stage(
     batch_size: int = 64,
     out: str = "embedding",
 ) -> DataFrame:
-    """Embed a text column in calls of ``batch_size``; rows the model gives no vector are dropped."""
+    """Embed a text column in calls of ``batch_size``; rows the model gives no vector are dropped.
+
+    A call that fails is repeated text by text, so only the texts that fail alone are lost.
+    """
 
     def compute(batch: pa.RecordBatch) -> list:
         texts = batch.column(text).to_pylist()
         vectors: list = []
         for start in range(0, len(texts), batch_size):
-            vectors.extend(embed(texts[start : start + batch_size]))
+            vectors.extend(_isolated(embed, texts[start : start + batch_size]))
         return vectors
 
     return _with_column(df, out, "ARRAY<FLOAT>", compute).where(F.col(out).isNotNull())
@@ -212,7 +223,8 @@ def generation_stage(
 ) -> DataFrame:
     """Generate choices per prompt: ``prompts(idx, retry, prompt)`` to one row per choice.
 
-    ``tasks`` spreads the slow calls by hash of the record first.
+    ``tasks`` spreads the slow calls by hash of the record first.  A prompt whose call fails, alone too, gives no row,
+    so a later run of the stage asks again.
     """
     if tasks:
         prompts = prompts.repartition(tasks, "idx")
@@ -221,7 +233,7 @@ def generation_stage(
         texts = batch.column("prompt").to_pylist()
         answers: list = []
         for start in range(0, len(texts), batch_size):
-            answers.extend(generate(texts[start : start + batch_size]))
+            answers.extend(_isolated(generate, texts[start : start + batch_size]))
         return answers
 
     answered = _with_column(prompts, "_choices", "ARRAY<STRING>", compute)

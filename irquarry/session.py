@@ -44,7 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
     already_set = spark.sparkContext.getCheckpointDir()
     if already_set:
         return already_set
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):  # local-cluster has processes of its own
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     folder = tempfile.mkdtemp(prefix="irquarry-")
     spark.sparkContext.setCheckpointDir(folder)

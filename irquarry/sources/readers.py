@@ -80,25 +80,29 @@ def merged(sharded: DataFrame, shard: str = "shard") -> DataFrame:
 
 
 def _as_array(text: Column, element: str) -> Column:
-    """A value that is a JSON list or a single JSON value, as an array."""
+    """A value that is a JSON list or a single value, as an array; a text that only starts like a list is single."""
     many = F.from_json(text, f"array<{element}>")
     one = F.array(text.cast(element) if element != "string" else text)
-    return F.when(text.startswith("["), many).when(text.isNotNull(), one)
+    return F.when(text.startswith("["), F.coalesce(many, one)).when(text.isNotNull(), one)
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Prediction files holding one JSON array each; scalars and lists become arrays."""
+    """Prediction files holding one JSON array each; scalars and lists become arrays.
+
+    ``idx`` counts through all files, in name order.
+    """
     fields = "file STRING, func_head_types STRING, input STRING, instruction STRING, output STRING, "
     fields += "predict STRING, predict_compile_success STRING, predict_execution_success STRING, "
     fields += "target_compile_success BOOLEAN, target_execution_success BOOLEAN"
     documents = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("_file"), "value"
     )
-    rows = documents.select(
-        "_file",
-        F.posexplode(F.from_json("value", f"array<struct<{_colons(fields)}>>")).alias("_pos", "_r"),
-    )
-    return _unioned(rows.select("_file", F.col("_pos").cast("long").alias("idx"), "_r.*"))
+    parsed = documents.select("_file", F.from_json("value", f"array<struct<{_colons(fields)}>>").alias("_rows"))
+    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parsed.select("_file", F.coalesce(F.size("_rows"), F.lit(0)).cast("long").alias("_n"))
+    offsets = sizes.select("_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    rows = parsed.join(offsets, "_file").select("_offset", F.posexplode("_rows").alias("_pos", "_r"))
+    return _unioned(rows.select((F.col("_offset") + F.col("_pos")).alias("idx"), "_r.*"))
 
 
 def predictions_lines(spark: SparkSession, path: str) -> DataFrame:
