@@ -6,6 +6,9 @@ that holds a large part of the edges is aggregated in the map tasks.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -210,18 +213,17 @@ def _compare(coloured: DataFrame, value: Column) -> DataFrame:
     pair = per_side.groupBy("graph_id").agg(
         *[F.max(F.when(F.col("side") == code, digest)).alias(side) for code, side in enumerate(SIDES)],
         F.max("_most").alias("_most"),
-        F.max("_n").alias("_size"),
     )
     same = F.coalesce(F.col("predict") == F.col("target"), F.lit(False))
-    return pair.select("graph_id", same.alias("wl_equal"), "_most", "_size")
+    return pair.select("graph_id", same.alias("wl_equal"), "_most")
 
 
-def isomorphic(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 3, node_limit: int = 64) -> DataFrame:
-    """Exact label-free equality where it can be decided.
+def isomorphic(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 3) -> DataFrame:
+    """Exact label-free equality.
 
     Graphs with different colour multisets differ.  Graphs whose colours are all unique are equal
-    exactly when their coloured edges are.  The rest, symmetric graphs, are searched one by one up
-    to ``node_limit`` nodes; above it the answer stays null and is never guessed.
+    exactly when their coloured edges are.  The rest, symmetric graphs, are searched one by one,
+    whatever their size.
     """
     unique = _stored_edges(edges)
     colours = refine_colours(unique, nodes, rounds)
@@ -240,10 +242,9 @@ def isomorphic(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 3
         .when(~F.col("edges_equal"), F.lit(False))
         .when(F.col("_most") == 1, F.lit(True))
         .alias("decided"),
-        F.col("_size").alias("_nodes"),
     )
-    to_search = decided.where(F.col("decided").isNull() & (F.col("_nodes") <= node_limit)).select("graph_id")
-    # One row per graph; its lists are bounded by the square of the node limit.
+    to_search = decided.where(F.col("decided").isNull()).select("graph_id")
+    # One row per graph: the arcs of one function on both sides.
     arc = F.struct("src", "dst", "cs", "cd")
     packed = (
         coloured.join(to_search, "graph_id", "left_semi")
@@ -263,38 +264,107 @@ def _mapping_exists(predict: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([_search_mapping(p, t) for p, t in zip(predict, target)])
 
 
-def _search_mapping(predict, target) -> bool:
-    """Colour-respecting search for a node mapping of one graph pair."""
-
-    def unpack(arcs) -> tuple[set, dict]:
-        colours = {a["src"]: a["cs"] for a in arcs} | {a["dst"]: a["cd"] for a in arcs}
-        return {(a["src"], a["dst"]) for a in arcs}, colours
-
-    p_edges, p_colour = unpack(predict)
-    t_edges, t_colour = unpack(target)
-    images: dict = {}
-    for node, colour in t_colour.items():
-        images.setdefault(colour, []).append(node)
-    order = sorted(p_colour, key=lambda n: len(images.get(p_colour[n], [])))
-
-    def extend(mapping: dict) -> bool:
-        if len(mapping) == len(order):
-            return True
-        node = order[len(mapping)]
-        taken = set(mapping.values())
-        for image in images.get(p_colour[node], []):
-            if image in taken:
+class _Pair:
+    """Two graphs over nodes (side, name), with colourings that mean the same on both sides."""
+
+    def __init__(self, predict, target):
+        self.out: dict = {}
+        self.into: dict = {}
+        self.first: dict = {}
+        for side, arcs in enumerate((predict, target)):
+            for a in arcs:
+                src, dst = (side, a["src"]), (side, a["dst"])
+                for node, colour in ((src, a["cs"]), (dst, a["cd"])):
+                    self.first[node] = colour
+                    self.out.setdefault(node, set())
+                    self.into.setdefault(node, set())
+                self.out[src].add(dst)
+                self.into[dst].add(src)
+
+    def components(self) -> list[tuple[int, list]]:
+        """(side, nodes) of each connected piece, directions ignored."""
+        seen: set = set()
+        found = []
+        for start in self.out:
+            if start in seen:
+                continue
+            seen.add(start)
+            piece = [start]
+            for node in piece:
+                for near in self.out[node] | self.into[node]:
+                    if near not in seen:
+                        seen.add(near)
+                        piece.append(near)
+            found.append((start[0], piece))
+        return found
+
+    def refined(self, colour: dict) -> dict:
+        """The coarsest stable colouring below the given one."""
+        classes = len(set(colour.values()))
+        while True:
+            numbers: dict = {}
+            signed = {
+                n: (
+                    c,
+                    tuple(sorted(colour[m] for m in self.out[n])),
+                    tuple(sorted(colour[m] for m in self.into[n])),
+                )
+                for n, c in colour.items()
+            }
+            colour = {n: numbers.setdefault(s, len(numbers)) for n, s in signed.items()}
+            if len(numbers) == classes:
+                return colour
+            classes = len(numbers)
+
+    def same(self, left: list, right: list) -> bool:
+        """Two connected pieces are equal: single out a node on the left, try each like it on the right, refine.
+
+        Nodes with the same neighbours are interchangeable, so classes of such nodes need no trial.
+        """
+        stack: list[Iterator[dict]] = [iter([{n: self.first[n] for n in [*left, *right]}])]
+        while stack:
+            colour = next(stack[-1], None)
+            if colour is None:
+                stack.pop()
+                continue
+            colour = self.refined(colour)
+            if Counter(colour[n] for n in left) != Counter(colour[n] for n in right):
                 continue
-            trial = {**mapping, node: image}
-            if all(
-                ((a, b) in p_edges) == ((trial[a], trial[b]) in t_edges)
-                for other in trial
-                for a, b in ((node, other), (other, node))
-            ) and extend(trial):
+            classes: dict = {}
+            for n in [*left, *right]:
+                classes.setdefault(colour[n], ([], []))[n[0]].append(n)
+            open_classes = [c for c in classes.values() if not (self._twins(c[0]) and self._twins(c[1]))]
+            if not open_classes:
                 return True
+            own, others = min(open_classes, key=lambda c: len(c[0]))
+            stack.append(({**colour, own[0]: -1, other: -1} for other in others))
         return False
 
-    return extend({})
+    def _twins(self, nodes: list) -> bool:
+        out, into = self.out[nodes[0]], self.into[nodes[0]]
+        return all(self.out[n] == out and self.into[n] == into for n in nodes)
+
+
+def _search_mapping(predict, target) -> bool:
+    """Exact equality of one graph pair: every piece of one side finds an equal piece of the other."""
+    pair = _Pair(predict, target)
+    colour = pair.refined(pair.first)
+    free: dict = {}
+    wanted = []
+    for side, piece in pair.components():
+        sign = tuple(sorted(Counter(colour[n] for n in piece).items()))
+        if side:
+            free.setdefault(sign, []).append(piece)
+        else:
+            wanted.append((sign, piece))
+    # equality is an equivalence, so the first equal piece is as good as any
+    for sign, piece in wanted:
+        others = free.get(sign, [])
+        match = next((i for i, other in enumerate(others) if pair.same(piece, other)), None)
+        if match is None:
+            return False
+        others.pop(match)
+    return not any(free.values())
 
 
 def block_features(blocks: DataFrame, keys: list[str], instructions: str = "instructions") -> DataFrame:

@@ -12,7 +12,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from irquarry.config import JobConfig
 from irquarry.functions.text import normalize_listing
 from irquarry.operators.prompts import candidate_preference
 from irquarry.operators.ranking import chunked_rank
@@ -21,7 +20,7 @@ from irquarry.operators.records import last_code
 
 BLOCK_ROWS = 8192
 TILE_ROWS = 512
-BROADCAST_BYTES = 64 << 20
+BUCKET_ROWS = 2048
 DIGITS = 9
 COVERAGE_SCORE = 0.9
 SELF_SCORE = 0.95
@@ -68,52 +67,11 @@ def _best(q_ids, q_mat, v_ids, v_mat, k: int, skip_self: bool):
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
-def _final(partial: DataFrame, k: int, by: list[str]) -> DataFrame:
+def best_of(partial: DataFrame, k: int, by: list[str]) -> DataFrame:
+    """The best k of what the blocks found, per query and ``by``."""
     order = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "point_id")
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-def _topk_broadcast(queries: pa.Table, vectors: DataFrame, k: int, shard: str | None, skip_self: bool) -> DataFrame:
-    """Queries travel to the vectors: the collection is scanned once and not shuffled."""
-    q_ids = queries["query_id"].to_numpy()
-    q_mat = _matrix(queries["embedding"])
-    shared = vectors.sparkSession.sparkContext.broadcast((q_ids, q_mat))
-    columns = ["point_id", "embedding"] + ([shard] if shard else [])
-
-    def scan(batches):
-        ids, mat = shared.value
-        best: dict = {}
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            v_ids = batch.column("point_id").to_numpy(zero_copy_only=False)
-            v_mat = _matrix(batch.column("embedding"))
-            groups = (
-                batch.column(shard).to_numpy(zero_copy_only=False)
-                if shard
-                else np.zeros(len(v_ids), np.int64)
-            )
-            for g in np.unique(groups):
-                mine = groups == g
-                found = _best(ids, mat, v_ids[mine], v_mat[mine], k, skip_self)
-                best[g] = _merge(best.get(g), found, k)
-        for g, (q, p, s) in best.items():
-            cols = [pa.array(q), pa.array(p), pa.array(s)]
-            names = ["query_id", "point_id", "score"]
-            if shard:
-                cols.append(pa.array(np.full(len(q), g)).cast(pa.int32()))
-                names.append(shard)
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    schema = _OUT + (f", {shard} int" if shard else "")
-    return vectors.select(*columns).mapInArrow(scan, schema)
-
-def _merge(held, found, k: int):
-    """Best k per query of two partial results."""
-    if held is None:
-        return found
-    return _first_k(*(np.concatenate(pair) for pair in zip(held, found)), k)
-
-
 def topk_blocks(
     queries: DataFrame,
     vectors: DataFrame,
@@ -125,8 +83,8 @@ def topk_blocks(
     """Best k per query among vectors equal in ``on``, by pairs of bounded blocks.
 
     Each ``on`` group is cut into query blocks and vector blocks by hash; a task multiplies one
-    pair of blocks.  A group holding a large part of all rows becomes many blocks.  The groups
-    themselves must be few (shards, or hash tables times buckets): their sizes are broadcast.
+    pair of blocks.  A group holding a large part of all rows becomes many blocks.  For a given
+    query set the copies grow in proportion to the vectors.
     """
     n_blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.lit(1)).cast("int")
     counts = {"_nv": vectors.groupBy(*on).agg(n_blocks.alias("_nv"))}
@@ -135,7 +93,7 @@ def topk_blocks(
     def sized(df: DataFrame) -> DataFrame:
         if not on:
             return df.withColumns({n: counts[n].scalar() for n in counts})
-        return df.join(F.broadcast(counts["_nv"].join(counts["_nq"], on)), on)
+        return df.join(counts["_nv"].join(counts["_nq"], on), on)
 
     def blocks(df: DataFrame, id_col: str, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
         return (
@@ -177,27 +135,20 @@ def topk(
     k: int = 3,
     shard: str | None = None,
     skip_self: bool = False,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    num_shards: int = JobConfig.num_shards,
 ) -> DataFrame:
     """Exact top k per query, or per (query, shard) when ``shard`` is given.
 
     ``queries(query_id, embedding)``, ``vectors(point_id, embedding[, shard])``, shards numbered
-    from zero.  Query sets below ``broadcast_bytes`` are sent to the vectors; larger ones meet
-    them in blocks.
+    from zero.  Both sides meet in pairs of bounded blocks, whatever their sizes.
     """
     queries = queries.select("query_id", "embedding").where(F.size("embedding") > 0)
     vectors = vectors.where(F.size("embedding") > 0)
     by = [shard] if shard else []
-    size = queries.agg(F.sum(F.size("embedding").cast("long") * 8 + 8)).head()[0] or 0
-    if size <= broadcast_bytes:
-        partial = _topk_broadcast(queries.toArrow(), vectors, k, shard, skip_self)
-    elif shard:
-        spread = queries.withColumn(shard, F.explode(F.sequence(F.lit(0), F.lit(num_shards - 1))))
-        partial = topk_blocks(spread, vectors, k, [shard], skip_self)
-    else:
-        partial = topk_blocks(queries, vectors, k, [], skip_self)
-    return _final(partial, k, by)
+    if shard:
+        last = vectors.agg(F.max(shard)).scalar()
+        queries = queries.withColumn("_last", last)
+        queries = queries.withColumn(shard, F.explode(F.sequence(F.lit(0), F.col("_last")))).drop("_last")
+    return best_of(topk_blocks(queries, vectors, k, by, skip_self), k, by)
 
 def shard_winners(queries: DataFrame, vectors: DataFrame, skip_self: bool = False) -> DataFrame:
     """The best point of every shard, per query."""
@@ -270,42 +221,57 @@ def approximate_topk(
     k: int,
     dim: int,
     tables: int = 8,
-    bits: int = 6,
+    bucket_rows: int = BUCKET_ROWS,
+    probes: int = 3,
     seed: int = 7,
     skip_self: bool = False,
 ) -> DataFrame:
     """Approximate top k: exact top k inside the buckets of random hyperplane hashes.
 
-    Buckets are joined by blocks, so a bucket of many copies is split and never paired in one
-    task.  No candidate of a bucket is dropped.
+    The hash gets a bit more each time the vectors double, so buckets keep about ``bucket_rows``
+    vectors.  A query also looks into the ``probes`` neighbouring buckets of each table across the planes it
+    lies nearest to.  Buckets are joined by blocks, so a bucket of many copies is split and never paired in
+    one task.  No candidate of a bucket is dropped.
     """
+    bits = max(0, (vectors.count() // bucket_rows).bit_length())
     planes = np.random.default_rng(seed).standard_normal((tables * bits, dim))
-    weights = 1 << np.arange(bits)
-
-    def signatures(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            sides = (np.nan_to_num(_matrix(batch.column("embedding"))) @ planes.T) >= 0
-            codes = sides.reshape(batch.num_rows, tables, bits) @ weights
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(list(codes.astype(np.int64)))],
-                names=["id", "embedding", "codes"],
-            )
-
-    def hashed(df: DataFrame, id_col: str) -> DataFrame:
+    weights = 1 << np.arange(bits, dtype=np.int64)
+
+    def signatures(probes: int):
+        def sign(batches):
+            for batch in batches:
+                if batch.num_rows == 0:
+                    continue
+                margins = np.nan_to_num(_matrix(batch.column("embedding"))) @ planes.T
+                margins = margins.reshape(batch.num_rows, tables, bits)
+                own = ((margins >= 0) @ weights)[:, :, None]
+                nearest = np.argsort(np.abs(margins), axis=2, kind="stable")[:, :, :probes]
+                codes = np.concatenate([own, own ^ weights[nearest]], axis=2)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(codes.tolist(), pa.list_(pa.list_(pa.int64())))],
+                    names=["id", "embedding", "codes"],
+                )
+
+        return sign
+
+    def hashed(df: DataFrame, id_col: str, probes: int) -> DataFrame:
         coded = df.select(F.col(id_col).cast("long").alias("id"), "embedding").mapInArrow(
-            signatures, "id long, embedding array<float>, codes array<long>"
+            signatures(probes), "id long, embedding array<float>, codes array<array<long>>"
         )
-        return coded.select(
-            F.col("id").alias(id_col), "embedding", F.posexplode("codes").alias("_table", "_bucket")
+        per_table = coded.select("id", "embedding", F.posexplode("codes").alias("_table", "_buckets"))
+        return per_table.select(
+            F.col("id").alias(id_col), "embedding", "_table", F.explode("_buckets").alias("_bucket")
         )
 
     partial = topk_blocks(
-        hashed(queries, "query_id"), hashed(vectors, "point_id"), k, ["_table", "_bucket"], skip_self
+        hashed(queries, "query_id", min(probes, bits)),
+        hashed(vectors, "point_id", 0),
+        k,
+        ["_table", "_bucket"],
+        skip_self,
     )
     distinct = partial.select("query_id", "point_id", "score").distinct()
-    return _final(distinct, k, [])
+    return best_of(distinct, k, [])
 
 def recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
     """Share of the exact hits that the approximate search found."""

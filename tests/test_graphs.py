@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+import time
 
 
 from irquarry.operators import graphs
@@ -44,8 +45,31 @@ def test_isomorphic(table):
     assert got == {g: same_shape(*ab) for g, ab in pairs.items()}
     wl = {r["graph_id"]: r["wl_equal"] for r in graphs.wl_equal(df).collect()}
     assert wl[500] and all(wl[g] for g, same in got.items() if same)
-    undecided = {r["graph_id"]: r["isomorphic"] for r in graphs.isomorphic(df.where("graph_id = 500"), node_limit=2).collect()}
-    assert undecided == {500: None}
+
+
+def test_symmetric_graphs_of_any_size(table):
+    ring = lambda ns: {(x, y) for x, y in zip(ns, ns[1:] + ns[:1])}
+    numbers = lambda a, b: list(range(a, b))
+    fan = lambda start, n: {(start, start + i) for i in range(1, n)} | {(start + i, start + n) for i in range(1, n)}
+    cube = {(x, x ^ (1 << b)) for x in range(16) for b in range(4)}
+    renamed = {(3 * x % 16 + 100, 3 * y % 16 + 100) for x, y in cube}
+    # 4-regular on 16 nodes as well, but a torus whose rows are shifted
+    torus = {(4 * r + c, t) for r in range(4) for c in range(4) for t in (4 * r + (c + 1) % 4, 4 * r + (c + 3) % 4)}
+    shifted = lambda r, c, up: 4 * ((r + up) % 4) + (c + (up if (r, up) in ((3, 1), (0, -1)) else 0)) % 4
+    torus |= {(4 * r + c, shifted(r, c, up)) for r in range(4) for c in range(4) for up in (1, -1)}
+    pairs = {
+        0: (ring(numbers(0, 70)), ring(numbers(200, 270))),
+        1: (ring(numbers(0, 12)) | ring(numbers(20, 32)), ring(numbers(0, 10)) | ring(numbers(20, 34))),
+        2: (ring(numbers(0, 40)) | ring(numbers(50, 90)), ring(numbers(300, 340)) | ring(numbers(500, 540))),
+        3: (fan(0, 300), fan(1000, 300)),
+        4: (cube, renamed),
+        5: (cube, torus),
+    }
+    rows = [(g, s, x, y) for g, ab in pairs.items() for s, edges in zip(graphs.SIDES, ab) for x, y in edges]
+    start = time.monotonic()
+    got = {r["graph_id"]: r["isomorphic"] for r in graphs.isomorphic(table(rows, EDGES)).collect()}
+    assert got == {0: True, 1: False, 2: True, 3: True, 4: True, 5: False}
+    assert time.monotonic() - start < 120
 
 
 def test_edgeless_graphs(table):
