@@ -6,8 +6,9 @@ by a large part of the rows costs one row per task, and everything behind that i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from irquarry.operators.records import inst_count
 from irquarry.operators.scoring import any_true
@@ -16,6 +17,8 @@ from irquarry.operators.scoring import any_true
 LENGTH_BUCKET, MAX_LENGTH = 256, 4096
 BLOCK_SUPPORT, INST_SUPPORT = 2, 4
 CLIP = 20
+# Values of an axis made from one row.
+AXIS_CHUNK = 1 << 16
 
 
 def value_counts(df: DataFrame, value: Column, name: str, more_than: int = 0) -> DataFrame:
@@ -47,26 +50,29 @@ def length_buckets(
 ) -> DataFrame:
     """Total, compiled and executed rows per length bucket, empty buckets included.
 
-    Rows longer than ``longest`` are not charted.  The columns below them split each bucket into
-    executable, compilable only, and error.
+    Rows longer than ``longest`` are counted in one more bucket that starts at ``longest + 1``; rows
+    without a length are not counted.  The last columns split each bucket into executable, compilable only,
+    and error.
     """
+    last = longest // width
+    place = F.when(F.col(length) > longest, F.lit(last + 1)).otherwise(F.expr(f"cast(div({length}, {width}) as int)"))
     compiled = any_true(F.col("predict_compile_success"))
     executed = any_true(F.col("predict_execution_success"))
     counted = (
-        predictions.where(F.col(length) <= longest)
-        .groupBy(F.expr(f"cast(div({length}, {width}) as int)").alias("bucket"))
+        predictions.where(F.col(length).isNotNull())
+        .groupBy(place.alias("bucket"))
         .agg(
             F.count(F.lit(1)).alias("total"),
             F.count_if(compiled).alias("compiled"),
             F.count_if(executed).alias("executed"),
         )
     )
-    axis = predictions.sparkSession.range(longest // width + 1).select(
+    axis = predictions.sparkSession.range(last + 2).select(
         F.col("id").cast("int").alias("bucket")
     )
     filled = axis.join(counted, "bucket", "left").na.fill(0)
     return filled.select(
-        (F.col("bucket") * width).alias("length_from"),
+        F.when(F.col("bucket") > last, F.lit(longest + 1)).otherwise(F.col("bucket") * width).alias("length_from"),
         "total",
         "compiled",
         "executed",
@@ -93,24 +99,35 @@ def equal_width(df: DataFrame, value: Column, bins: int, density: bool = False)
     A single distinct value is charted over a range of one around it.
     """
     counts = value_counts(df, value.cast("double"), "v")
-    low_raw, high_raw = counts.agg(F.min("v")).scalar(), counts.agg(F.max("v")).scalar()
-    total = counts.agg(F.sum("n")).scalar()
-    flat = low_raw == high_raw
-    low = F.when(flat, low_raw - 0.5).otherwise(low_raw)
-    width = F.when(flat, F.lit(1.0)).otherwise(high_raw - low_raw) / bins
+    # one value read by both sides: first edge, width, and the number of rows
+    ends = counts.agg(F.min("v").alias("_low"), F.max("v").alias("_high"), F.sum("n").alias("_total"))
+    flat = F.col("_low") == F.col("_high")
+    first = F.when(flat, F.col("_low") - 0.5).otherwise(F.col("_low"))
+    step = F.when(flat, F.lit(1.0)).otherwise(F.col("_high") - F.col("_low")) / bins
+    frame = ends.select(F.struct(first.alias("low"), step.alias("width"), F.col("_total").alias("total"))).scalar()
+    low, width, total = (F.col("_frame").getField(f) for f in ("low", "width", "total"))
     placed = (
-        counts.select(
-            F.least(F.floor((F.col("v") - low) / width), F.lit(bins - 1)).cast("int").alias("bin"), "n"
-        )
+        counts.withColumn("_frame", frame)
+        .select(F.least(F.floor((F.col("v") - low) / width), F.lit(bins - 1)).cast("int").alias("bin"), "n")
         .groupBy("bin")
         .agg(F.sum("n").alias("n"))
     )
     axis = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    filled = axis.join(placed, "bin", "left").na.fill(0, ["n"])
-    out = filled.select("bin", F.round(low + F.col("bin") * width, 6).alias("bin_from"), "n")
+    filled = axis.join(placed, "bin", "left").na.fill(0, ["n"]).withColumn("_frame", frame)
+    shown = [F.col("bin"), F.round(low + F.col("bin") * width, 6).alias("bin_from"), F.col("n")]
     if density:
-        out = out.withColumn("density", F.round(F.try_divide(F.col("n"), total * width), 9))
-    return out
+        shown.append(F.round(F.try_divide(F.col("n"), total * width), 9).alias("density"))
+    return filled.select(shown)
+
+
+def _axis(ends: DataFrame, value: str, keep: list[str]) -> DataFrame:
+    """Every integer from ``_low`` to ``_high`` of each row, made in chunks."""
+    kind = ends.schema["_low"].dataType
+    low, high = F.col("_low").cast("long"), F.col("_high").cast("long")
+    starts = F.explode(F.sequence(low, high, F.lit(AXIS_CHUNK).cast("long")))
+    chunks = ends.where(low.isNotNull() & (low <= high)).select(*keep, high.alias("_high"), starts.alias("_start"))
+    steps = F.sequence(F.col("_start"), F.least(F.col("_start") + AXIS_CHUNK - 1, F.col("_high")))
+    return chunks.select(*keep, F.explode(steps.cast(ArrayType(kind))).alias(value))
 
 
 def joint_histogram(df: DataFrame, dataset: str, value: str, names: list[str]) -> DataFrame:
@@ -121,32 +138,30 @@ def joint_histogram(df: DataFrame, dataset: str, value: str, names: list[str]) -
         .pivot(dataset, names)
         .agg(F.count(F.lit(1)))
     )
-    low, high = counts.agg(F.min(value)).scalar(), counts.agg(F.max(value)).scalar()
-    axis = df.sparkSession.range(1).select(F.explode(F.sequence(low, high)).alias(value))
+    axis = _axis(counts.agg(F.min(value).alias("_low"), F.max(value).alias("_high")), value, [])
     return axis.join(counts, value, "left").na.fill(0, names)
 
 
 def clipped_percent(df: DataFrame, dataset: str, value: str, clip: int = CLIP) -> DataFrame:
-    """Rows per integer value up to ``clip`` and dataset, and percent of the clipped dataset."""
+    """Rows per integer value and dataset, and percent of the dataset.
+
+    Values above ``clip`` are counted together under ``clip + 1``; null values are skipped.
+    """
+    kind = df.schema[value].dataType
     counts = (
-        df.where(F.col(value) <= clip)
-        .groupBy(dataset, value)
+        df.where(F.col(value).isNotNull())
+        .groupBy(dataset, F.least(F.col(value), F.lit(clip + 1)).cast(kind).alias(value))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     low = counts.agg(F.min(value)).scalar()
-    axis = (
-        counts.select(dataset)
-        .distinct()
-        .select(dataset, F.explode(F.sequence(low, F.lit(clip))).alias(value))
-    )
-    within = Window.partitionBy(dataset)
-    return (
-        axis.join(counts, [dataset, value], "left")
-        .na.fill(0, ["n"])
-        .withColumn(
-            "percent",
-            F.coalesce(F.round(F.try_divide(F.col("n") * 100.0, F.sum("n").over(within)), 6), F.lit(0.0)),
-        )
+    ends = counts.select(dataset).distinct().withColumns({"_low": low, "_high": F.lit(clip + 1).cast(kind)})
+    axis = _axis(ends, value, [dataset])
+    totals = counts.groupBy(F.col(dataset).alias("_of")).agg(F.sum("n").alias("_total"))
+    held = counts.select(F.col(dataset).alias("_set"), F.col(value).alias("_value"), "n")
+    same = F.col(dataset).eqNullSafe(F.col("_set")) & (F.col(value) == F.col("_value"))
+    filled = axis.join(held, same, "left").na.fill(0, ["n"])
+    return filled.join(totals, F.col(dataset).eqNullSafe(F.col("_of"))).select(
+        dataset, value, "n", F.round(F.try_divide(F.col("n") * 100.0, "_total"), 6).alias("percent")
     )
 
 

@@ -112,8 +112,8 @@ def joint_histogram(spark, sf_dir):
 @query(
     ctes("fn")
     + """
-, c AS (SELECT is_valid, bbcount FROM fn WHERE bbcount <= 20),
-axis AS (SELECT unnest(range(lo, 21)) AS bbcount FROM (SELECT min(bbcount) AS lo FROM c)),
+, c AS (SELECT is_valid, least(bbcount, 21) AS bbcount FROM fn),
+axis AS (SELECT unnest(range(lo, 22)) AS bbcount FROM (SELECT min(bbcount) AS lo FROM c)),
 g AS (SELECT d.is_valid, a.bbcount, count(c.bbcount) AS n
   FROM axis a CROSS JOIN (SELECT DISTINCT is_valid FROM c) d
   LEFT JOIN c ON c.bbcount = a.bbcount AND c.is_valid = d.is_valid GROUP BY 1, 2)
@@ -159,10 +159,10 @@ def sorted_values(spark, sf_dir):
 _LENGTHS = """
 WITH p AS (SELECT n_chars AS len, quality = 1 AS c, quality = 1 AND toxic <> 1 AND doc_id % 3 = 0 AS e
   FROM documents JOIN labels USING (doc_id)),
-axis AS (SELECT unnest(range(17)) AS bucket),
-b AS (SELECT len // 256 AS bucket, count(*) AS total, count(*) FILTER (c) AS compiled, count(*) FILTER (e) AS executed
-  FROM p WHERE len <= 4096 GROUP BY 1),
-h AS (SELECT CAST(a.bucket * 256 AS INTEGER) AS length_from, coalesce(total, 0) AS total,
+axis AS (SELECT unnest(range(18)) AS bucket),
+b AS (SELECT CASE WHEN len > 4096 THEN 17 ELSE len // 256 END AS bucket, count(*) AS total, count(*) FILTER (c) AS compiled, count(*) FILTER (e) AS executed
+  FROM p WHERE len IS NOT NULL GROUP BY 1),
+h AS (SELECT CAST(CASE WHEN a.bucket = 17 THEN 4097 ELSE a.bucket * 256 END AS INTEGER) AS length_from, coalesce(total, 0) AS total,
   coalesce(compiled, 0) AS compiled, coalesce(executed, 0) AS executed FROM axis a LEFT JOIN b USING (bucket))"""
 
 

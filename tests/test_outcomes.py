@@ -158,7 +158,8 @@ def test_length_buckets(spark):
         "predict_length int, predict_compile_success array<boolean>, predict_execution_success array<boolean>",
     )
     rows = {r["length_from"]: tuple(r)[1:] for r in histograms.length_buckets(df).collect()}
-    assert len(rows) == 17
+    assert len(rows) == 18 and rows[4097] == (1, 1, 1, 0, 0)
+    assert histograms.length_rates(histograms.length_buckets(df)).head()["total"] == 5
     assert rows[0] == (2, 1, 1, 0, 1) and rows[256] == (1, 1, 0, 1, 0) and rows[4096] == (1, 1, 0, 1, 0)
 
 
@@ -173,8 +174,16 @@ def test_equal_width(spark):
 def test_clipped_percent(spark):
     df = spark.createDataFrame([("a", 18), ("a", 20), ("a", 21), ("b", 19)], "dataset string, v int")
     rows = {(r["dataset"], r["v"]): (r["n"], r["percent"]) for r in histograms.clipped_percent(df, "dataset", "v").collect()}
-    assert rows[("a", 18)] == (1, 50.0) and rows[("a", 19)] == (0, 0.0) and rows[("b", 19)] == (1, 100.0)
-    assert len(rows) == 6
+    assert rows[("a", 18)] == (1, 33.333333) and rows[("a", 19)] == (0, 0.0) and rows[("b", 19)] == (1, 100.0)
+    assert rows[("a", 21)] == (1, 33.333333) and rows[("b", 21)] == (0, 0.0)
+    assert len(rows) == 8
+
+
+def test_joint_histogram_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(histograms, "AXIS_CHUNK", 4)
+    df = spark.createDataFrame([("a", 3), ("a", 3), ("b", 14), ("c", 90)], "dataset string, v int")
+    rows = {r["v"]: (r["a"], r["b"]) for r in histograms.joint_histogram(df, "dataset", "v", ["a", "b"]).collect()}
+    assert rows == {v: (2 * (v == 3), int(v == 14)) for v in range(3, 15)}
 
 
 def test_running_max(spark):
