@@ -25,7 +25,13 @@ def match_predictions(predictions: DataFrame, functions: DataFrame) -> DataFrame
     Both sides hold one row per key when they meet, so no key can multiply rows.
     """
     left = keep_last(with_prediction_key(predictions), ["key"])
-    right = keep_last(with_corpus_key(functions), ["key"]).select(
+    corpus = with_corpus_key(functions)
+    # keys and positions alone decide which rows are fetched; the others' texts stay where they are
+    last = corpus.groupBy(F.col("key").alias("_key")).agg(F.max("idx").alias("_idx"))
+    asked = with_prediction_key(predictions).select(F.col("key").alias("_key"))
+    wanted = last.join(asked, "_key", "left_semi")
+    same = (F.col("key") == F.col("_key")) & F.col("idx").eqNullSafe(F.col("_idx"))
+    right = keep_last(corpus.join(wanted, same, "left_semi"), ["key"]).select(
         "key", F.struct(*[c for c in functions.columns]).alias("row")
     )
     return left.join(right, "key")

@@ -87,7 +87,7 @@ def isomorphic_graphs(spark, sf_dir):
 
 
 def _cfg_json(spark, sf_dir):
-    doc = views.spread(views.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    doc = views.table(spark, sf_dir, "documents").select("doc_id", "text")
     lines = newline_split(F.col("text"))
     n = F.size(lines)
     nodes = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: i.cast("string")), ",")
@@ -137,8 +137,7 @@ SELECT doc_id, node, strlen(replace(line, ' ', '')) AS bb_len, array_to_string(w
 )
 def block_features(spark, sf_dir):
     """Feature rows of blocks made of text lines, an instruction per word."""
-    doc = views.table(spark, sf_dir, "documents")
-    doc = views.spread(doc.select("doc_id", "text"), "doc_id")
+    doc = views.table(spark, sf_dir, "documents").select("doc_id", "text")
     blocks = doc.select("doc_id", F.posexplode(newline_split(F.col("text"))).alias("node", "line"))
     instructions = F.transform(
         F.split("line", " ", -1),

@@ -194,5 +194,5 @@ def approx_topk_recall(spark, sf_dir):
     """How many of the exact hits the hashed search finds."""
     vectors, queries = views.vectors(spark, sf_dir), _queries(spark, sf_dir)
     exact = retrieval.topk(queries, vectors, 3, skip_self=True)
-    found = retrieval.approximate_topk(queries, vectors, 3, dim=64, skip_self=True)
+    found = retrieval.approximate_topk(queries, vectors, 3, dim=64, bucket_rows=125, skip_self=True)
     return retrieval.recall(exact, found)
