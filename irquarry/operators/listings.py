@@ -1,11 +1,13 @@
 """Assembly listings: callees, functions, call sites.
 
-A listing is one text cell.  Its lines are folded inside the row with higher-order functions, so
+A listing is one text cell.  Its lines are searched inside the row with higher-order functions, so
 these jobs are scans: nothing is shuffled, and no listing meets another one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,18 +22,18 @@ END_LINE = r"^\s*\.cfi_endproc"
 # Registers that carry call arguments, per calling convention.
 ARGUMENT_REGISTERS = {
     "amd64_sysv": (
-        "rdi rsi rdx rcx r8 r9 r10 r11 r12 r13 r14 r15 "
-        "edi esi edx ecx r8d r9d r10d r11d r12d r13d r14d r15d "
-        "di si dx cx r8w r9w r10w r11w r12w r13w r14w r15w "
-        "dil sil dl cl r8b r9b r10b r11b r12b r13b r14b r15b "
-        "xmm0 xmm1 xmm2 xmm3 xmm4 xmm5 xmm6 xmm7 al"
-    ).split(),
-    "amd64_win": "rcx rdx r8 r9".split(),
+        "rdi", "rsi", "rdx", "rcx", "r8", "r9", "r10", "r11", "r12", "r13", "r14", "r15",
+        "edi", "esi", "edx", "ecx", "r8d", "r9d", "r10d", "r11d", "r12d", "r13d", "r14d", "r15d",
+        "di", "si", "dx", "cx", "r8w", "r9w", "r10w", "r11w", "r12w", "r13w", "r14w", "r15w",
+        "dil", "sil", "dl", "cl", "r8b", "r9b", "r10b", "r11b", "r12b", "r13b", "r14b", "r15b",
+        "xmm0", "xmm1", "xmm2", "xmm3", "xmm4", "xmm5", "xmm6", "xmm7", "al",
+    ),
+    "amd64_win": ("rcx", "rdx", "r8", "r9"),
 }
 
 # Instructions that set up arguments.
 SETUP_OPCODES = (
-    r"(?:v?mov(?:b|l|q|sd|ss|ups|aps|shdup|pd|ps|aps)|lea|push|or|shl|vshuf|vextract|vcvt|vzeroupper)"
+    r"(?:v?mov(?:b|l|q|sd|ss|ups|aps|shdup|pd|ps)|lea|push|or|shl|vshuf|vextract|vcvt|vzeroupper)"
 )
 
 _GLOBL, _END = ".globl", ".cfi_endproc"
@@ -59,77 +61,80 @@ def call_edges(listings: DataFrame, doc: str, text: str) -> DataFrame:
     return listings.select(doc, F.explode(called_symbols(F.col(text))).alias("callee"))
 
 
-_FOLD = (
-    "STRUCT<pending: STRING, name: STRING, start: INT, line: INT, "
-    "done: ARRAY<STRUCT<name: STRING, first: INT, last: INT>>>"
-)
+def _last_spans(spans: Column) -> Column:
+    """Spans without those a later one of the same name replaces, in order of place."""
 
+    def of_sorted(by_name: Column) -> Column:
+        def is_last(s: Column, k: Column) -> Column:
+            return ~F.coalesce(F.get(by_name, k + 1)["name"] == s["name"], F.lit(False))
 
-def _last_spans(spans: Column) -> Column:
-    """Spans without those a later one of the same name replaces."""
-    names = F.transform(spans, lambda s: s["name"])
-    replaced = lambda s: F.exists(
-        spans, lambda o: (o["name"] == s["name"]) & (o["first"] > s["first"])
-    )
-    unique = F.size(F.array_distinct(names)) == F.size(names)
-    return F.when(unique, spans).otherwise(F.filter(spans, lambda s: ~replaced(s)))
+        placed = F.transform(
+            F.filter(by_name, is_last),
+            lambda s: F.struct(s["first"].alias("first"), s["name"].alias("name"), s["last"].alias("last")),
+        )
+        return F.transform(
+            F.array_sort(placed),
+            lambda s: F.struct(s["name"].alias("name"), s["first"].alias("first"), s["last"].alias("last")),
+        )
+
+    return let(F.array_sort(spans), of_sorted)
 
 
 def _is_globl(line: Column) -> Column:
     return line.contains(_GLOBL) & line.rlike(GLOBL_LINE)
 
 
+def _place(values: Column, test: Callable[[Column], Column]) -> Column:
+    """Place of the first value that passes, counted from one; 0 where none does."""
+    passes = F.transform(values, lambda v: F.coalesce(test(v), F.lit(False)))
+    return F.coalesce(F.array_position(passes, True), F.lit(0)).cast("int")
+
+
+def _between(lines: Column, first: Column, last: Column) -> Column:
+    return F.slice(lines, first, F.greatest(last - first + 1, F.lit(0)))
+
+
 def function_spans(lines: Column, last_only: bool = True) -> Column:
     """Functions of a listing's lines as (name, first, last) line numbers, counted from one.
 
     ``.globl S`` arms S; the next label S opens the function and disarms it; the function ends
     with its end marker, before the next opening, or with the listing.  Of a reopened name the
     last span counts, unless ``last_only`` is off.
+
+    Each ``.globl`` line is looked at with the lines up to the next one, and each opening with the lines up to the
+    next one, so the work grows with the lines.
     """
 
-    def closed(s: Column, last: Column) -> Column:
-        span = F.struct(s["name"].alias("name"), s["start"].alias("first"), last.alias("last"))
-        return F.when(s["name"].isNotNull(), F.concat(s["done"], F.array(span))).otherwise(s["done"])
-
-    def state(pending, name, start, line, done) -> Column:
-        return F.struct(
-            pending.cast("string").alias("pending"),
-            name.cast("string").alias("name"),
-            start.cast("int").alias("start"),
-            line.alias("line"),
-            done.alias("done"),
-        )
+    def numbered(line: Column, i: Column) -> Column:
+        armed = F.regexp_extract(line, GLOBL_LINE, 1)
+        return F.when(_is_globl(line), F.struct(armed.alias("name"), (i + 1).alias("line")))
+
+    def opened(globls: Column) -> Column:
+        def opening(g: Column, k: Column) -> Column:
+            until = F.coalesce(F.get(globls, k + 1)["line"] - 1, F.size(lines))
+            label = F.concat(g["name"], F.lit(":"))
+            at = _place(
+                _between(lines, g["line"] + 1, until),
+                lambda line: line.contains(label) & (F.regexp_extract(line, LABEL_LINE, 1) == g["name"]),
+            )
+            return let(at, lambda n: F.when(n > 0, F.struct(g["name"].alias("name"), (g["line"] + n).alias("first"))))
 
-    none = F.lit(None)
-
-    def step(s: Column, line: Column) -> Column:
-        number = s["line"] + 1
-        is_globl = _is_globl(line)
-        label = F.regexp_extract(line, LABEL_LINE, 1)
-        opens = s["pending"].isNotNull() & (label == s["pending"])
-        ends = s["name"].isNotNull() & line.contains(_END) & line.rlike(END_LINE)
-        return (
-            F.when(
-                is_globl,
-                state(F.regexp_extract(line, GLOBL_LINE, 1), s["name"], s["start"], number, s["done"]),
+        return F.filter(F.transform(globls, opening), lambda o: o.isNotNull())
+
+    def closed(openings: Column) -> Column:
+        def span(o: Column, k: Column) -> Column:
+            until = F.coalesce(F.get(openings, k + 1)["first"] - 1, F.size(lines))
+            at = _place(
+                _between(lines, o["first"] + 1, until), lambda line: line.contains(_END) & line.rlike(END_LINE)
             )
-            .when(opens, state(none, label, number, number, closed(s, s["line"])))
-            .when(ends, state(s["pending"], none, none, number, closed(s, number)))
-            .otherwise(state(s["pending"], s["name"], s["start"], number, s["done"]))
-        )
+            last = let(at, lambda n: F.when(n > 0, o["first"] + n).otherwise(until))
+            return F.struct(o["name"].alias("name"), o["first"].alias("first"), last.alias("last"))
 
-    start = F.struct(
-        F.lit(None).cast("string").alias("pending"),
-        F.lit(None).cast("string").alias("name"),
-        F.lit(None).cast("int").alias("start"),
-        F.lit(0).alias("line"),
-        F.array().cast("array<struct<name:string,first:int,last:int>>").alias("done"),
-    )
-    def finish(s: Column) -> Column:
-        spans = closed(s, s["line"])
-        return let(spans, _last_spans) if last_only else spans
+        return F.transform(openings, span)
 
-    return F.aggregate(lines, start.cast(_FOLD), step, finish)
+    globls = F.filter(F.transform(lines, numbered), lambda g: g.isNotNull())
+    found = let(let(globls, opened), closed)
+    return let(found, _last_spans) if last_only else found
 
 
 def _function_bodies(text: Column) -> Column:
@@ -172,29 +177,30 @@ def call_pattern(symbol: Column) -> Column:
 def call_context(lines: Column, symbol: Column, arch: str = "amd64_sysv") -> Column:
     """Numbers of the lines related to calls of ``symbol``, counted from one, ascending.
 
-    They are the calls and the unbroken run of argument set-up lines directly above each.
+    They are the calls and the unbroken run of argument set-up lines directly above each.  The run is sought between a
+    call and the one before it, whose own run lies above it.
     """
     setup = setup_pattern(arch)
     marker = "%" if arch in ARGUMENT_REGISTERS else " "
-    empty = F.array().cast("array<int>")
-    start = F.struct(F.lit(0).alias("line"), F.lit(1).alias("run"), empty.alias("hits"))
-
-    def fold(calls: Column) -> Column:
-        def step(s: Column, line: Column) -> Column:
-            number = s["line"] + 1
-            related = F.when(
-                F.regexp_like(line, calls), F.concat(s["hits"], F.sequence(s["run"], number))
-            ).otherwise(s["hits"])
-            is_setup = line.contains(marker) & line.rlike(setup)
-            return F.struct(
-                number.alias("line"),
-                F.when(is_setup, s["run"]).otherwise(number + 1).alias("run"),
-                related.alias("hits"),
-            )
 
-        return F.array_distinct(F.aggregate(lines, start, step, lambda s: s["hits"]))
+    def not_setup(line: Column) -> Column:
+        return ~(line.contains(marker) & line.rlike(setup))
+
+    def related(calls: Column) -> Column:
+        def run(call: Column, k: Column) -> Column:
+            before = F.when(k > 0, F.get(calls, k - 1)).otherwise(F.lit(0))
+            above = F.reverse(_between(lines, before + 1, call - 1))
+            at = _place(above, not_setup)
+            first = let(at, lambda n: F.when(n > 0, call - n + 1).otherwise(before + 1))
+            return F.sequence(first, call)
+
+        return F.flatten(F.transform(calls, run))
+
+    def found(pattern: Column) -> Column:
+        numbers = F.transform(lines, lambda line, i: F.when(F.regexp_like(line, pattern), i + 1))
+        return let(F.filter(numbers, lambda n: n.isNotNull()), related)
 
-    return let(call_pattern(symbol), fold)
+    return let(call_pattern(symbol), found)
 
 
 def _related_lines(lines: Column, symbol: Column, arch: str) -> Column:

@@ -164,7 +164,10 @@ def fix_basis(previous: DataFrame, by: tuple[str, ...] = ("idx",)) -> DataFrame:
 
 
 def fix_prompt(config: JobConfig, initial: Column) -> Column:
-    """Next prompt from a ``fix_basis`` row (and c_code, for the strategy that needs it)."""
+    """Next prompt from a ``fix_basis`` row (and c_code, for the strategy that needs it).
+
+    A prompt type without a form for code that compiled fails at such a record; the others get the compile fix.
+    """
     failed_predict = F.coalesce(F.nullif(F.col("failed.predict"), F.lit("")), F.col("first_predict"))
     compile_part = compile_fix(initial, failed_predict, F.coalesce("failed.error", F.lit("")))
     assembly = normalize_listing(F.col("best.assembly"), remove_comments=config.remove_comments)
@@ -174,7 +177,7 @@ def fix_prompt(config: JobConfig, initial: Column) -> Column:
         # The assembly stands in the place of the prediction here.
         run_part = execution_fix_with_c(initial, assembly, F.col("c_code"))
     else:
-        raise ValueError(f"no fix prompt for prompt type {config.prompt_type}")
+        run_part = F.raise_error(F.lit(f"no fix prompt for prompt type {config.prompt_type}"))
     return F.when(F.col("n_compiled") == 0, compile_part).otherwise(run_part)
 
 

@@ -8,7 +8,7 @@ executors re-read files, and a run that was cut off resumes where it stopped.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +20,10 @@ from irquarry.operators.outcomes import (
     first_executed,
     record_summary,
     round_summary,
+    target_flags,
 )
 from irquarry.operators.prompts import analysis_fix, analysis_prompt, fix_basis, fix_prompt
-from irquarry.operators.stages import cached_stage, read_store
+from irquarry.operators.stages import cached_stage, read_store, unanswered
 from irquarry.schemas import EVALUATIONS, PROMPTS, RESPONSES
 
 ROUND = ["retry"]
@@ -177,11 +178,42 @@ def rescore(spark, run: RepairRun, num_retry: int | None = None) -> DataFrame:
     return run.evaluate(responses.select("idx", "retry", "choice", code.alias("llvm_ir")))
 
 
-def rerun_compiled_only(records: DataFrame, previous_run: DataFrame, run: RepairRun) -> DataFrame:
-    """Repair again the records that compiled but never executed."""
+def rerun_compiled_only(
+    records: DataFrame, previous_run: DataFrame, run: RepairRun, fix_prompt_type: str = "llm-fix"
+) -> DataFrame:
+    """Repair again, with the two-stage fix, the records that compiled but never executed."""
     summary = record_summary(previous_run)
     ids = summary.where("any_compile and not any_execution").select("idx")
-    return repair_loop(records.join(ids, "idx", "left_semi"), run)
+    again = replace(run, config=replace(run.config, fix_prompt_type=fix_prompt_type))
+    return repair_loop(records.join(ids, "idx", "left_semi"), again)
+
+
+def quarantined_prompts(spark, run: RepairRun) -> DataFrame:
+    """Prompts of the run that no stored response answers."""
+    asked = read_store(spark, run.path("prompts"), PROMPTS)
+    return unanswered(asked, read_store(spark, run.path("responses"), RESPONSES))
+
+
+def run_totals(evaluations: DataFrame, targets: DataFrame) -> DataFrame:
+    """Records of a run, those with a compiled and an executed choice, and the same of their targets."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    truth = target_flags(targets).select(
+        "idx", F.col("compile_success").alias("target_compile"), F.col("execution_success").alias("target_execution")
+    )
+    rows = record_summary(evaluations).join(truth, "idx", "left")
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_records"),
+        F.count_if("any_compile").alias("predict_compile_success"),
+        F.count_if("any_execution").alias("predict_execution_success"),
+        F.count_if(flag("target_compile")).alias("target_compile_success"),
+        F.count_if(flag("target_execution")).alias("target_execution_success"),
+    )
+
+
+def run_batch(records: DataFrame, run: RepairRun) -> DataFrame:
+    """The whole job: the repair loop over ``records`` (with target_ir), and the totals of its outcome."""
+    truth = evaluate_targets(records, run.evaluate)
+    return run_totals(repair_loop(records, run), truth)
 
 
 def evaluate_targets(records: DataFrame, evaluate: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Report tables.  Only ``write_markdown`` brings rows to the driver, for texts people read."""
+"""Report tables."""
 
 from __future__ import annotations
 
@@ -9,17 +9,20 @@ from irquarry.functions.text import preview
 
 
 def compiled_matrix(evaluations: DataFrame, num_retry: int = 10) -> DataFrame:
-    """Record by round matrix of compiled choices; a round that did not run is ``-``."""
-    rounds = [-1, *range(num_retry + 1)]
+    """Record by round matrix of compiled choices; a round that did not run is ``-``.
+
+    Rounds after ``num_retry`` are summed in ``retry_later``.
+    """
+    rounds = [-1, *range(num_retry + 2)]
     compiled = F.count_if(F.coalesce("compile_success", F.lit(False)))
     # Reduced to one row per (record, round) before it is turned into columns.
-    cells = evaluations.groupBy("idx", "retry").agg(compiled.alias("n"))
+    round_or_later = F.least("retry", F.lit(num_retry + 1)).alias("retry")
+    cells = evaluations.groupBy("idx", round_or_later).agg(compiled.alias("n"))
     wide = cells.groupBy("idx").pivot("retry", rounds).agg(F.first("n"))
 
     def cell(retry: int) -> Column:
-        return F.coalesce(F.col(f"`{retry}`").cast("string"), F.lit("-")).alias(
-            f"retry_{retry}".replace("-", "m")
-        )
+        name = "retry_later" if retry > num_retry else f"retry_{retry}".replace("-", "m")
+        return F.coalesce(F.col(f"`{retry}`").cast("string"), F.lit("-")).alias(name)
 
     return wide.select("idx", *[cell(r) for r in rounds])
 
@@ -44,16 +47,26 @@ def pass_table(pairs: DataFrame) -> DataFrame:
     )
 
 
-def generation_table(evaluations: DataFrame) -> DataFrame:
-    """Per generation: compiled, executed, and the start of its error text."""
-    return evaluations.select(
-        "idx",
-        "retry",
-        "choice",
-        F.coalesce("compile_success", F.lit(False)).alias("compiled"),
-        F.coalesce("execution_success", F.lit(False)).alias("executed"),
-        preview(F.coalesce("error_msg", F.lit(""))).alias("error"),
-    )
+def generation_table(evaluations: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Per generation: compiled, executed, and the start of its error text.
+
+    ``targets`` adds a line per target, which has no choice and no error text.
+    """
+
+    def lines(df: DataFrame, choice: Column, error: Column) -> DataFrame:
+        return df.select(
+            "idx",
+            "retry",
+            choice.alias("choice"),
+            F.coalesce("compile_success", F.lit(False)).alias("compiled"),
+            F.coalesce("execution_success", F.lit(False)).alias("executed"),
+            error.alias("error"),
+        )
+
+    table = lines(evaluations, F.col("choice"), preview(F.coalesce("error_msg", F.lit(""))))
+    if targets is None:
+        return table
+    return table.unionByName(lines(targets, F.lit(None).cast("int"), F.lit("")))
 
 
 def sample_report(functions: DataFrame, outcomes: DataFrame, idx: int) -> DataFrame:
@@ -79,14 +92,27 @@ def chart_rows(df: DataFrame, series: str, x: str, values: list[str]) -> DataFra
     return df.select(F.inline(pairs))
 
 
-def write_markdown(df: DataFrame, path: str, title: str = "", notes: str = "") -> None:
-    """Write a small ordered report table as one Markdown file."""
-    lines = [f"# {title}", ""] if title else []
-    lines.append("| " + " | ".join(df.columns) + " |")
-    lines.append("|" + "---|" * len(df.columns))
-    for row in df.toLocalIterator():
-        lines.append("| " + " | ".join("-" if v is None else str(v) for v in row) + " |")
-    if notes:
-        lines += ["", notes]
-    with open(path, "w", encoding="utf-8") as handle:
-        handle.write("\n".join(lines) + "\n")
+def markdown_lines(df: DataFrame, order: list[str], title: str = "", notes: str = "") -> DataFrame:
+    """A report table as the lines of a Markdown text, its rows in ``order``."""
+    head = [f"# {title}", ""] if title else []
+    head += ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    places = [F.col(c).alias(f"_by{i}") for i, c in enumerate(order)]
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in df.columns]
+    body = df.select(
+        F.lit(1).alias("_part"),
+        F.lit(0).alias("_line"),
+        *places,
+        F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"),
+    )
+    for part, fixed in ((0, head), (2, ["", notes] if notes else [])):
+        if fixed:
+            texts = F.posexplode(F.array(*map(F.lit, fixed))).alias("_line", "line")
+            body = body.unionByName(
+                df.sparkSession.range(1).select(F.lit(part).alias("_part"), texts), allowMissingColumns=True
+            )
+    return body.orderBy("_part", "_line", *[f"_by{i}" for i in range(len(order))]).select("line")
+
+
+def write_markdown(df: DataFrame, path: str, order: list[str], title: str = "", notes: str = "") -> None:
+    """Write a report table as Markdown; the files of the folder in name order are the text."""
+    markdown_lines(df, order, title, notes).write.mode("overwrite").text(path)

@@ -120,6 +120,15 @@ def shared_functions(sample: DataFrame, split: DataFrame, all_matches: bool) ->
     return sample.join(per_key, keys)
 
 
+def matching_rows(sample: DataFrame, split: DataFrame) -> DataFrame:
+    """All rows of a split that share path and head with a sample row.
+
+    With the sample's own path and head they are the matches in full; the pairs of a key are not written out.
+    """
+    keys = ["path", "func_head"]
+    return split.join(sample.select(*keys).distinct(), keys, "left_semi")
+
+
 def io_verdict(cases: DataFrame, record: str = "idx") -> DataFrame:
     """All cases of a record pass; ``cases`` holds arrays of expected and observed outputs."""
     pairs = F.arrays_zip(F.col("expected"), F.col("observed"))

@@ -242,11 +242,18 @@ def generation_stage(
     ).withColumn("reasoning", F.lit(None).cast("string"))
 
 
+def unanswered(prompts: DataFrame, responses: DataFrame) -> DataFrame:
+    """Prompts without any response: their calls failed, alone too."""
+    return prompts.join(responses.select("idx", "retry").distinct(), ["idx", "retry"], "left_anti")
+
+
 def read_store(spark, path: str, ddl: str) -> DataFrame:
     """A stored table, empty while nothing was written."""
     try:
         return spark.read.schema(ddl).parquet(path)
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], struct(ddl))
 
 
@@ -261,7 +268,7 @@ def cached_stage(
 ) -> DataFrame:
     """Derive only rows whose key the store lacks, append them, and read the store.
 
-    A job that dies leaves nothing half-written, and running it again appends nothing twice.
+    Files of a job that dies before its commit are not read; running it again appends what is still lacking.
     ``only`` restricts the stored rows looked at, e.g. to one round's partition.
     """
     spark = df.sparkSession

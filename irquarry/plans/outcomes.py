@@ -167,7 +167,7 @@ def failed_sets_both(spark, sf_dir):
 _CELLS = ", ".join(
     f"coalesce(CAST(sum(n) FILTER (retry = {r}) AS BIGINT)::VARCHAR, '-') AS retry_{str(r).replace('-', 'm')}"
     for r in range(-1, 11)
-)
+) + ", coalesce(CAST(sum(n) FILTER (retry > 10) AS BIGINT)::VARCHAR, '-') AS retry_later"
 
 
 @query(

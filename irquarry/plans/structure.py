@@ -245,9 +245,14 @@ def class_sizes(spark, sf_dir):
 
 
 def _with_info(spark, sf_dir):
-    """Records with analysis output as text; every eleventh one could not be parsed."""
+    """Records with analysis output as text; every eleventh one could not be parsed, every seventh has two functions."""
     rows = views.functions(spark, sf_dir)
-    text = F.when(F.col("idx") % 11 == 0, F.lit("parser stopped")).otherwise(F.to_json("func_info"))
+    twice = F.struct(F.concat("func_info.functions", "func_info.functions").alias("functions"))
+    text = (
+        F.when(F.col("idx") % 11 == 0, F.lit("parser stopped"))
+        .when(F.col("idx") % 7 == 0, F.to_json(twice))
+        .otherwise(F.to_json("func_info"))
+    )
     return records.attach_func_info(rows.withColumn("info", text), "info")
 
 
@@ -257,7 +262,7 @@ def _with_info(spark, sf_dir):
 SELECT idx, CASE WHEN idx % 11 = 0 THEN '' ELSE 'f' || idx END AS func_name,
   CASE WHEN idx % 11 = 0 THEN 0 ELSE n_called END AS n_called, CASE WHEN idx % 11 = 0 THEN 0 ELSE num_loops END AS num_loops,
   CASE WHEN idx % 11 = 0 THEN 0 ELSE n_unused END AS n_unused, idx % 11 <> 0 AND has_structs AS has_structs,
-  CAST(NULL AS VARCHAR) AS quarantine FROM fn"""
+  CASE WHEN idx % 11 <> 0 AND idx % 7 = 0 THEN 'functions: 2' END AS quarantine FROM fn"""
 )
 def function_info(spark, sf_dir):
     """Typed view of the parsed analysis output, the default entry where parsing failed."""

@@ -221,15 +221,15 @@ def error_rollup(spark, sf_dir):
     ctes("ev", "typed")
     + _CATEGORY
     + """, c AS (SELECT category, count(*) AS n FROM cat WHERE category IS NOT NULL GROUP BY 1),
-s AS (SELECT CASE WHEN n / sum(n) OVER () < 0.22 THEN 'other' ELSE category END AS slice, n FROM c
+s AS (SELECT CASE WHEN n / sum(n) OVER () < 0.2 THEN 'other' ELSE category END AS slice, n FROM c
   UNION ALL SELECT 'other', 0)
 SELECT slice, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY 1"""
 )
 def error_pie(spark, sf_dir):
-    """Category slices with the small ones folded; the threshold suits the five categories here."""
+    """Category slices with those below a fifth folded: the five categories here lie on both sides."""
     typed = error_stats.typed_errors(views.evaluations(spark, sf_dir))
     counts = error_stats.category_counts(error_stats.error_counts(typed))
-    return error_stats.folded_slices(counts, least=0.22)
+    return error_stats.folded_slices(counts, least=0.2)
 
 
 @query(

@@ -101,9 +101,11 @@ def evaluations(spark: SparkSession, sf_dir: str, run: str = "a") -> DataFrame:
     event = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     number = F.col("event_id")
     compiles = F.col("event_type").isin("purchase", "signup")
+    # every fourth record never executes in run a, every third never in run b
+    record = F.expr("div(event_id, 88)")
     executed = {
-        "a": (F.col("event_type") == "purchase") & (number % 6 == 0),
-        "b": (F.col("event_type") == "signup") & (number % 5 == 1),
+        "a": (F.col("event_type") == "purchase") & (number % 6 == 0) & (record % 4 != 3),
+        "b": (F.col("event_type") == "signup") & (number % 5 == 1) & (record % 3 != 0),
     }[run]
     place = F.concat(
         F.lit("/tmp/u"), F.col("user_id").cast("string"), F.lit("/predict.ll:"), (number % 90).cast("string"), F.lit(":5:")
@@ -246,8 +248,8 @@ ev AS (
   SELECT event_id // 88 AS idx, CAST((event_id % 88) // 8 - 1 AS INTEGER) AS retry,
          CAST(event_id % 8 AS INTEGER) AS choice,
          event_type IN ('purchase', 'signup') AS comp,
-         event_type = 'purchase' AND event_id % 6 = 0 AS exec_a,
-         event_type = 'signup' AND event_id % 5 = 1 AS exec_b,
+         event_type = 'purchase' AND event_id % 6 = 0 AND event_id // 88 % 4 <> 3 AS exec_a,
+         event_type = 'signup' AND event_id % 5 = 1 AND event_id // 88 % 3 <> 0 AS exec_b,
          CASE WHEN event_type IN ('purchase', 'signup') THEN '' ELSE
            'note' || chr(10) || '  ' ||
            CASE WHEN event_id % 6 = 5 THEN 'llc: error: input module cannot be verified' ELSE

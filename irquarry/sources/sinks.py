@@ -42,9 +42,12 @@ def save_results_json(results: DataFrame, path: str) -> None:
 
 
 def save_vectors(points: DataFrame, path: str) -> None:
-    """Replace the shards that ``points`` holds; other shards stay as they are."""
+    """Replace the shards that ``points`` holds; other shards stay as they are.
+
+    Rows are brought together by shard in pieces of the advisory size: a large shard gets many files.
+    """
     (
-        points.repartition("shard", F.pmod(F.xxhash64("point_id"), F.lit(64)))
+        points.hint("rebalance", F.col("shard"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("shard")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from irquarry.operators.ranking import keep_last
 from irquarry.operators.scoring import any_true, guard_target, match_predictions
 from irquarry.operators.stages import cached_stage
 from irquarry.schemas import PREDICTIONS
@@ -31,12 +32,18 @@ def scored(predictions: DataFrame, corpus: DataFrame, run: str) -> DataFrame:
     )
 
 
+def current_scores(scores: DataFrame) -> DataFrame:
+    """Of a key that several batches scored, the row with the greatest position."""
+    return keep_last(scores, ["run", "key"])
+
+
 def score_stream(
     spark: SparkSession, source: str, corpus: DataFrame, store: str, checkpoint: str, run: str
 ) -> StreamingQuery:
     """Follow a folder of prediction tables; each batch appends the scores its keys still lack.
 
-    A batch that is replayed after a failure finds its keys stored and appends nothing.
+    A batch that is replayed after a failure finds its keys stored and appends nothing.  A key that comes again
+    in a later batch keeps both rows; ``current_scores`` reads the last.
     """
 
     def each(batch: DataFrame, _epoch: int) -> None:

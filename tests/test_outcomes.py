@@ -113,15 +113,19 @@ def test_failed_sets(spark, evaluations):
 def test_matrix(evaluations):
     row = reports.compiled_matrix(evaluations).where("idx = 3").head()
     assert (row["retry_m1"], row["retry_0"], row["retry_1"], row["retry_9"]) == ("0", "0", "-", "2")
+    row = reports.compiled_matrix(evaluations, 1).where("idx = 3").head()
+    assert (row["retry_0"], row["retry_1"], row["retry_later"]) == ("0", "-", "2")
 
 
 def test_targets_and_reports(spark, evaluations, tmp_path):
     targets = spark.createDataFrame([(0, -1, True, True), (0, 0, False, False)], "idx long, retry int, compile_success boolean, execution_success boolean")
     assert [tuple(r) for r in outcomes.target_flags(targets).collect()] == [(0, True, True)]
     path = tmp_path / "report.md"
-    reports.write_markdown(reports.generation_table(evaluations).where("idx = 0").orderBy("choice"), str(path), "Run")
-    lines = path.read_text().splitlines()
-    assert lines[0] == "# Run" and lines[2].startswith("| idx | retry") and len(lines) == 6
+    report = reports.generation_table(evaluations).where("idx = 0")
+    reports.write_markdown(report, str(path), ["retry", "choice"], "Run", "end")
+    lines = [line for part in sorted(path.glob("part-*")) for line in part.read_text().splitlines()]
+    assert lines[0] == "# Run" and lines[2].startswith("| idx | retry") and len(lines) == 8
+    assert lines[4].startswith("| 0 | -1 | 0") and lines[-1] == "end"
     chart = reports.chart_rows(outcomes.round_summary(evaluations), "a", "retry", ["n_executed"])
     assert chart.columns == ["series", "x", "y"]
 

@@ -129,8 +129,14 @@ def test_targets_once(table):
 def test_unsupported_types_fail_early(table):
     with pytest.raises(ValueError):
         JobConfig(prompt_type="other")
-    with pytest.raises(ValueError):
-        prompts.fix_prompt(JobConfig(prompt_type="basic"), F.lit("x"))
+    basis = "n_compiled int, first_predict string, failed struct<predict: string, error: string>, "
+    basis += "best struct<llvm_ir: string, assembly: string>"
+    fix = prompts.fix_prompt(JobConfig(prompt_type="basic"), F.lit("x"))
+    rows = [(n, "p", {"predict": "p", "error": "e"}, {"llvm_ir": "p", "assembly": "a"}) for n in (0, 1)]
+    bases = table(rows, basis)
+    assert bases.where("n_compiled = 0").select(fix).head()[0].startswith("x")
+    with pytest.raises(Exception, match="no fix prompt"):
+        bases.select(fix).collect()
     df = table([("basic",), ("odd",)], "prompt_type string")
     with pytest.raises(Exception, match="unknown prompt type"):
         prompts.validated_types(df).collect()
