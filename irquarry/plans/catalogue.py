@@ -16,6 +16,7 @@ _MODULES = (
     "listings",
     "graphs",
     "repair",
+    "stores",
 )
 
 
