@@ -17,6 +17,7 @@ _MODULES = (
     "graphs",
     "repair",
     "stores",
+    "runs",
 )
 
 

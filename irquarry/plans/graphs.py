@@ -86,7 +86,7 @@ def isomorphic_graphs(spark, sf_dir):
     return graphs.isomorphic(views.cfg_edges(spark, sf_dir))
 
 
-def _cfg_json(spark, sf_dir):
+def cfg_json(spark, sf_dir):
     doc = views.table(spark, sf_dir, "documents").select("doc_id", "text")
     lines = newline_split(F.col("text"))
     n = F.size(lines)
@@ -120,7 +120,7 @@ SELECT doc_id, 'x86-64' AS arch, '0x' || hex(doc_id) AS address, src, dst FROM e
 )
 def cfg_from_json(spark, sf_dir):
     """Graphs parsed from program texts, as edges with their function's address."""
-    parsed = graphs.parse_cfg(_cfg_json(spark, sf_dir), "json")
+    parsed = graphs.parse_cfg(cfg_json(spark, sf_dir), "json")
     named = parsed.withColumns({"arch": F.col("cfg.arch"), "address": F.col("cfg.address")})
     return graphs.cfg_edges(named, ["doc_id", "arch", "address"])
 
