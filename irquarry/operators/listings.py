@@ -104,7 +104,10 @@ def function_spans(lines: Column, last_only: bool = True) -> Column:
     Each ``.globl`` line is looked at with the lines up to the next one, and each opening with the lines up to the
     next one, so the work grows with the lines.
     """
+    return let(lines, lambda bound: _spans(bound, last_only))
 
+
+def _spans(lines: Column, last_only: bool) -> Column:
     def numbered(line: Column, i: Column) -> Column:
         armed = F.regexp_extract(line, GLOBL_LINE, 1)
         return F.when(_is_globl(line), F.struct(armed.alias("name"), (i + 1).alias("line")))
@@ -180,6 +183,10 @@ def call_context(lines: Column, symbol: Column, arch: str = "amd64_sysv") -> Col
     They are the calls and the unbroken run of argument set-up lines directly above each.  The run is sought between a
     call and the one before it, whose own run lies above it.
     """
+    return let(lines, lambda bound: let(call_pattern(symbol), lambda calls: _runs(bound, calls, arch)))
+
+
+def _runs(lines: Column, pattern: Column, arch: str) -> Column:
     setup = setup_pattern(arch)
     marker = "%" if arch in ARGUMENT_REGISTERS else " "
 
@@ -196,11 +203,8 @@ def call_context(lines: Column, symbol: Column, arch: str = "amd64_sysv") -> Col
 
         return F.flatten(F.transform(calls, run))
 
-    def found(pattern: Column) -> Column:
-        numbers = F.transform(lines, lambda line, i: F.when(F.regexp_like(line, pattern), i + 1))
-        return let(F.filter(numbers, lambda n: n.isNotNull()), related)
-
-    return let(call_pattern(symbol), found)
+    numbers = F.transform(lines, lambda line, i: F.when(F.regexp_like(line, pattern), i + 1))
+    return let(F.filter(numbers, lambda n: n.isNotNull()), related)
 
 
 def _related_lines(lines: Column, symbol: Column, arch: str) -> Column:
