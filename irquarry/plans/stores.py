@@ -135,7 +135,8 @@ def _error_files(spark, sf_dir):
     return path
 
 
-_SUPPLIER = F.regexp_extract("file", r"/supplier=(\d+)/", 1).cast("long").alias("supplier")
+def _supplier():
+    return F.regexp_extract("file", r"/supplier=(\d+)/", 1).cast("long").alias("supplier")
 
 
 @query(
@@ -147,7 +148,7 @@ def error_file_tree(spark, sf_dir):
     files = readers.error_files(spark, _error_files(spark, sf_dir), "part-*.txt")
     lines = F.size(F.split(F.rtrim(F.col("error_msg"), F.lit("\n")), "\n"))
     return files.select(
-        _SUPPLIER, lines.cast("long").alias("n_lines"), F.contains("error_msg", F.lit("top-level")).alias("top_level")
+        _supplier(), lines.cast("long").alias("n_lines"), F.contains("error_msg", F.lit("top-level")).alias("top_level")
     )
 
 
@@ -160,13 +161,13 @@ FROM supplier WHERE s_suppkey % 3 = 0 OR s_suppkey % 4 = 1"""
 def error_index_of_manifests(spark, sf_dir):
     """Error types of the files that two manifests list; a file that both list counts once."""
     root = _error_files(spark, sf_dir)
-    listed = readers.error_files(spark, root, "part-*.txt").select("file", _SUPPLIER)
+    listed = readers.error_files(spark, root, "part-*.txt").select("file", _supplier())
     manifests = []
     for wanted in ("supplier % 3 = 0", "supplier % 4 = 1 OR supplier % 6 = 0"):
         manifests.append(new_work_path(spark, "manifest"))
         listed.where(wanted).select(F.concat(F.lit("  "), "file", F.lit(" \n"))).write.text(manifests[-1])
     messages = readers.manifest_errors(spark, manifests, root, "part-*.txt")
-    return error_stats.error_index(messages.select(_SUPPLIER, "error_msg"), ["supplier"])
+    return error_stats.error_index(messages.select(_supplier(), "error_msg"), ["supplier"])
 
 
 @query(ctes("ev") + " SELECT idx, retry, choice, comp AS compiled, exec_a AS executed, error_msg, llvm_ir FROM ev")
