@@ -115,11 +115,14 @@ def _spans(lines: Column, last_only: bool) -> Column:
     def opened(globls: Column) -> Column:
         def opening(g: Column, k: Column) -> Column:
             until = F.coalesce(F.get(globls, k + 1)["line"] - 1, F.size(lines))
-            label = F.concat(g["name"], F.lit(":"))
-            at = _place(
-                _between(lines, g["line"] + 1, until),
-                lambda line: line.contains(label) & (F.regexp_extract(line, LABEL_LINE, 1) == g["name"]),
-            )
+
+            def label_line(label: Column) -> Column:
+                return _place(
+                    _between(lines, g["line"] + 1, until),
+                    lambda line: line.contains(label) & (F.regexp_extract(line, LABEL_LINE, 1) == g["name"]),
+                )
+
+            at = let(F.concat(g["name"], F.lit(":")), label_line)
             return let(at, lambda n: F.when(n > 0, F.struct(g["name"].alias("name"), (g["line"] + n).alias("first"))))
 
         return F.filter(F.transform(globls, opening), lambda o: o.isNotNull())
