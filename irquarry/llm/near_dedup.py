@@ -11,6 +11,9 @@ whose ball its own ball meets: by the triangle inequality no other shard holds a
 same halving goes on over arrays until few pairs are left to compare.  A shard that is too large is dealt
 out as a grid of parts, so no task holds more than a bounded number of rows.
 
+``keep_one`` links texts by the exact Jaccard similarity of their shingle sets instead: texts that are similar lie up to 13
+bits apart, farther than a tree can prune, so min-hash bands give its candidates besides the links of the fingerprints.
+
 Shards give spanning edges instead of pairs; contraction rounds, each stored, join them into components.
 Only distinct fingerprints take part: exact copies, however many, are one row.
 
@@ -32,6 +35,12 @@ from pyspark.sql import functions as F
 from irquarry.llm.common import measured, named, stored
 
 SHINGLE_WORDS = 4
+#: Words of a shingle and least Jaccard similarity of ``keep_one``, and its min-hash bands.  At the least similarity a
+#: pair shares none with probability (1 - 0.8 ** 6) ** 30, about 0.0001.
+STAGE_WORDS = 5
+SIMILARITY = 0.8
+BANDS = 30
+BAND_ROWS = 6
 HASH_SEED = 42
 RADIUS = 4
 #: (shift, width) of the blocks of a fingerprint.
@@ -305,14 +314,122 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One document of each component: the one with the smallest id, null last, then the first row."""
-    prints = fingerprints(docs, docs.columns, text).withColumn("row_key", F.monotonically_increasing_id())
-    rows = stored(prints, "dedup-documents")
+def shingle_set(body: bytes, words_per_shingle: int = STAGE_WORDS, seed: int = HASH_SEED) -> np.ndarray:
+    """The sorted distinct hashes of the text's shingles; a shorter text is one shingle, one without words has none."""
+    words = body.lower().split()
+    if not words:
+        return np.array([], np.uint64)
+    digest = xxhash.xxh64_intdigest
+    last = max(1, len(words) - words_per_shingle + 1)
+    found = [digest(b" ".join(words[i : i + words_per_shingle]), seed) for i in range(last)]
+    return np.unique(np.array(found, dtype=np.uint64))
+
+
+def similar(left: np.ndarray, right: np.ndarray, least: float = SIMILARITY) -> bool:
+    """Whether the Jaccard similarity of two shingle sets is at least ``least``."""
+    if not len(left) or not len(right):
+        return len(left) == len(right)
+    common = len(np.intersect1d(left, right, assume_unique=True))
+    return common >= least * (len(left) + len(right) - common) - 1e-9
+
+
+_LAW = np.random.default_rng(HASH_SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64)
+_TIMES, _PLUS = (2 * _LAW[0] + np.uint64(1))[:, None], _LAW[1][:, None]
+
+
+def bands(shingles: np.ndarray) -> list[int]:
+    """A signed long per band, the digest of BAND_ROWS minima; two sets share one with probability J ** BAND_ROWS."""
+    if not len(shingles):
+        return []
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), 1024):
+        mixed = (shingles[None, at : at + 1024] ^ _PLUS) * _TIMES
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        np.minimum(least, (mixed >> np.uint64(16)).min(axis=1), out=least)
+    return [_signed(xxhash.xxh64_intdigest(row.tobytes(), band)) for band, row in enumerate(least.reshape(BANDS, -1))]
+
+
+def _similar_pairs(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The pairs (left, right) of nodes whose texts, from ``bodies`` (node, body), are similar."""
+    one = bodies.select(F.col("node").alias("left"), F.col("body").alias("left_body"))
+    two = bodies.select(F.col("node").alias("right"), F.col("body").alias("right_body"))
+    joined = pairs.join(two, "right").join(one, "left").select("left", "right", "left_body", "right_body")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: tuple[int | None, np.ndarray] = (None, np.array([], np.uint64))
+        for batch in batches:
+            lefts, found = batch.column(0).to_pylist(), []
+            for i, left in enumerate(lefts):
+                if left != known[0]:  # rows of one left side mostly follow each other
+                    known = (left, shingle_set(batch.column(2)[i].as_py()))
+                found.append(similar(known[1], shingle_set(batch.column(3)[i].as_py())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["left", "right"]).filter(
+                pa.array(found, pa.bool_())
+            )
+
+    return joined.mapInArrow(check, "left long, right long")
+
+
+def similar_components(rows: DataFrame) -> DataFrame:
+    """(node, label) of the nodes linked with another by texts of similarity SIMILARITY or more.
+
+    ``rows`` (stored; read several times) has row_key, node, print, bands and body.  Candidates are what SimHash links and what
+    shares a band, and every link is checked on both texts.  Members of a bucket meet its first member; what is still
+    apart after that meets in pairs, so a large group of copies is not compared pair by pair.
+    """
+    nodes = rows.groupBy("node").agg(F.min(F.struct("row_key", "print", "bands")).alias("it")).select("node", "it.*")
+    nodes = stored(nodes, "dedup-nodes")
+    firsts = nodes.groupBy("print").agg(F.min("node").alias("first"))
+    by_print = nodes.join(firsts, "print").select(F.col("first").alias("left"), F.col("node").alias("right"))
+    ends = [firsts.select(F.col("print").alias(side), F.col("first").alias(f"{side}_node")) for side in ("left", "right")]
+    linked = links(firsts.select("print")).join(ends[0], "left").join(ends[1], "right")
+    by_link = linked.select(F.least("left_node", "right_node").alias("left"), F.greatest("left_node", "right_node").alias("right"))
+
+    keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    sizes = keyed.groupBy("band", "key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
+    shared = stored(keyed.join(sizes, ["band", "key"]).select("band", "key", "node", "first"), "dedup-shared")
+    by_band = shared.select(F.col("first").alias("left"), F.col("node").alias("right"))
+    candidates = by_print.union(by_link).union(by_band).where("left <> right").distinct()
+    candidates = stored(candidates, "dedup-candidates")
+    asked = candidates.select(F.col("left").alias("node")).union(candidates.select("right")).union(shared.select("node"))
+    asked = nodes.select("node", "row_key").join(asked.distinct(), "node", "left_semi")
+    bodies = stored(rows.select("row_key", "body").join(asked, "row_key").select("node", "body"), "dedup-bodies")
+    edges = stored(_similar_pairs(candidates, bodies), "dedup-similar")
+
+    labels = components(edges)
+    placed = shared.join(labels, "node", "left").select("band", "key", "node", F.coalesce("label", "node").alias("label"))
+    apart = placed.groupBy("band", "key").agg((F.min("label") != F.max("label")).alias("apart")).where("apart")
+    placed = stored(placed.join(apart.drop("apart"), ["band", "key"]), "dedup-apart")
+    a = placed.select("band", "key", F.col("node").alias("left"), F.col("label").alias("left_label"))
+    b = placed.select("band", "key", F.col("node").alias("right"), F.col("label").alias("right_label"))
+    pairs = a.join(b, ["band", "key"]).where("left < right and left_label <> right_label").select("left", "right").distinct()
+    more = stored(_similar_pairs(pairs.join(candidates, ["left", "right"], "left_anti"), bodies), "dedup-similar")
+    return labels if more.isEmpty() else components(edges.union(more))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each class of similar texts: the one with the smallest id, null last, then the first row.
+
+    Texts are similar if the Jaccard similarity of their sets of STAGE_WORDS-word shingles is SIMILARITY or more.
+    """
+
+    def compute(bodies: list[bytes | None]) -> list[tuple]:
+        found = []
+        for body in bodies:
+            shingles = shingle_set(body or b"")
+            node = _signed(xxhash.xxh64_intdigest(shingles.tobytes(), HASH_SEED))
+            found.append((_signed(fingerprint(body or b"", STAGE_WORDS)), node, bands(shingles)))
+        return found
+
+    prints = measured(docs, text, "print long, node long, bands array<long>", compute, docs.columns)
+    rows = stored(prints.withColumn("row_key", F.monotonically_increasing_id()), "dedup-documents")
+    body = F.coalesce(F.col("row").getField(text).cast("binary"), F.lit(b""))
+    labels = similar_components(rows.select("row_key", "out.*", body.alias("body")))
     key = F.col("row").getField(doc_id)
     best = F.min(F.struct(key.isNull().alias("missing"), key.alias("id"), F.col("row_key").alias("row_key")))
-    firsts = rows.groupBy("print").agg(best.alias("best"))
-    winners = labelled(firsts, radius).groupBy("label").agg(F.min("best").alias("best"))
+    firsts = rows.groupBy(F.col("out.node").alias("node")).agg(best.alias("best")).join(labels, "node", "left")
+    winners = firsts.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("best").alias("best"))
     chosen = winners.select(F.col("best.row_key").alias("row_key"))
     kept = rows.join(chosen, "row_key", "left_semi")
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -180,6 +180,34 @@ def test_fingerprint_and_classes(odd):
     assert near_dedup.near_duplicates(odd.limit(0)).count() == near_dedup.keep_one(odd.limit(0)).count() == 0
 
 
+def test_keep_one_against_brute_force(table):
+    rng = random.Random(8)
+    texts = {}
+    for family in range(12):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.choice([8, 60, 150, 300]))]
+        for _ in range(12):
+            words = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 40))):
+                words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+            texts[len(texts)] = " ".join(words)
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, t in texts.items() for w in [t.split()]}
+    label = dict.fromkeys(sets)
+    for k in sets:
+        if label[k] is None:
+            open_, label[k] = [k], k
+            while open_:
+                a = open_.pop()
+                for b in sets:
+                    if label[b] is None and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                        label[b] = k
+                        open_.append(b)
+    docs = table(list(texts.items()), "doc_id long, text string")
+    kept = [r["doc_id"] for r in near_dedup.keep_one(docs).collect()]
+    assert sorted(kept) == sorted(set(label.values()))
+    prints = {k: near_dedup.fingerprint(t.encode()) for k, t in texts.items()}
+    assert any(label[a] == label[b] and (prints[a] ^ prints[b]).bit_count() > 4 for a in texts for b in texts)
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "left long, right long")
     assert near_dedup.components(edges).select("label").distinct().count() == 1
