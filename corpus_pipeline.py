@@ -20,8 +20,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def compression_bands(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what passes the base rule and the compression bands."""
-    return quality_rules.judged(docs).where("out.kept").select("row.*")
+    """Keeps what passes the base rule and the compression bands, fitted on the labels that may be learned from."""
+    raw = table(spark, sf_dir, "documents")
+    bands = quality_rules.fitted(raw, queries.learnable(table(spark, sf_dir, "labels"), "quality"))
+    return quality_rules.judged(docs, bands=bands).where("out.kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,6 +99,12 @@ def measured(
     return packed.mapInArrow(run, schema)
 
 
+def one_text(rows: DataFrame) -> DataFrame:
+    """One row per doc_id, the smallest ``body`` of those that are not null; the other columns follow the id."""
+    others = [c for c in rows.columns if c != "body"]
+    return rows.groupBy(*others).agg(F.min("body").alias("body"))
+
+
 def total_bytes(docs: DataFrame, text: str) -> int:
     """UTF-8 bytes of all texts."""
     return docs.agg(F.sum(F.octet_length(named(text)).cast("long"))).head()[0] or 0

@@ -80,7 +80,9 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and the verdict of the compression bands for every document."""
-    judged = quality_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    bands = quality_rules.fitted(docs, learnable(table(spark, sf_dir, "labels"), "quality"))
+    judged = quality_rules.judged(docs, ["doc_id"], bands=bands)
     return judged.select("row.doc_id", "out.*")
 
 

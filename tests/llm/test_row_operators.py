@@ -5,7 +5,9 @@ import zlib
 import numpy as np
 import pytest
 
-from irquarry.llm import quality_rules, rule_ensemble, tiff, toxicity
+from pyspark.sql import functions as F
+
+from irquarry.llm import common, quality_rules, queries, rule_ensemble, tiff, toxicity
 from irquarry.llm.common import measured
 
 
@@ -37,6 +39,34 @@ def test_tiff_broken_files(spark, table):
     assert tiff.pages(files.limit(0)).count() == 0
 
 
+def test_fitted_bands_tell_held_out_labels_apart(spark):
+    folder = "/root/testdata/sf0.1"
+    docs = common.table(spark, folder, "documents").select("doc_id", "text")
+    labels = common.table(spark, folder, "labels").select("doc_id", "quality")
+    bands = quality_rules.fitted(docs, queries.learnable(common.table(spark, folder, "labels"), "quality"))
+    rows = quality_rules.judged(docs, ["doc_id"], bands=bands).select("row.doc_id", "out.kept", "out.base_failed")
+    held = rows.join(labels, "doc_id").where(common.crc_remainder(rows["doc_id"], 4) == 2).where("not base_failed")
+    shares = {r["quality"]: (r["kept"], r["n"]) for r in held.groupBy("quality").agg(
+        F.count_if("kept").alias("kept"), F.count("*").alias("n")).collect()}
+    assert shares[1][0] >= 0.98 * shares[1][1]
+    assert shares[0][0] <= 0.25 * shares[0][1]
+
+
+def test_junk_in_a_fifth_of_a_text(table):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghijklmnoprstu"), rng.integers(2, 9))) for _ in range(400)]
+    prose = [" ".join(rng.choice(words, 1600)) for _ in range(60)]
+    junk = " ".join(rng.permutation(words[:12]).tolist() * 40)[:1800]
+    spoilt = prose[0][: 4 * len(prose[0]) // 5] + " " + junk
+    docs = table([*enumerate(prose), (99, spoilt)], "doc_id long, text string")
+    labels = table([(i, 1) for i in range(1, 60)], "doc_id long, label int")
+    bands = quality_rules.fitted(docs, labels)
+    rows = {r["row"]["doc_id"]: r["out"] for r in quality_rules.judged(docs, ["doc_id"], bands=bands).collect()}
+    assert rows[0]["kept"] and not rows[99]["kept"] and not rows[99]["base_failed"]
+    assert quality_rules.fitted(docs, labels.limit(0)) == quality_rules.WIDE
+    assert quality_rules.fitted(docs.limit(0), labels) == quality_rules.WIDE
+
+
 def test_compression_bands(table):
     rng = np.random.default_rng(3)
     words = ["".join(rng.choice(list("abcdefghijklmnoprstu"), rng.integers(2, 9))) for _ in range(300)]
