@@ -21,7 +21,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from irquarry.llm.common import measured, named, stored
+from irquarry.llm.common import measured, named, one_text, stored
 
 #: Labelled texts the model is fitted on, at most.
 SAMPLE = 20000
@@ -146,8 +146,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     marked = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     chosen = marked.groupBy("doc_id").agg(F.max("label").cast("double").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded: may be broadcast
-    rows = docs.select(named(doc_id).alias("doc_id"), named(text).alias("text"))
-    drawn = rows.join(F.broadcast(chosen), "doc_id").select("label", "text")
+    rows = docs.select(named(doc_id).alias("doc_id"), named(text).alias("body"))
+    drawn = one_text(rows.join(F.broadcast(chosen), "doc_id"))  # a repeated id counts once
+    drawn = drawn.select("label", F.col("body").alias("text"))
     known = stored(with_statistics(drawn, ["label"]).select("row.label", "out.*"), "rules-sample")
     known = known.coalesce(FIT_PARTITIONS)  # bounded as well
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from irquarry.llm.common import measured, named, sliced, stored, texts
+from irquarry.llm.common import measured, named, one_text, sliced, stored, texts
 
 #: Labelled texts the model is fitted on, at most.
 SAMPLE = 12000
@@ -131,7 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     chosen = marked.groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded: may be broadcast
     rows = docs.select(named(doc_id).alias("doc_id"), named(text).alias("body"))
-    drawn = stored(rows.join(F.broadcast(chosen), "doc_id").select("body", "label"), "toxicity-sample")
+    drawn = one_text(rows.join(F.broadcast(chosen), "doc_id"))  # a repeated id counts once
+    drawn = stored(drawn.select("body", "label"), "toxicity-sample")
     sizes = {r["label"]: r["count"] for r in drawn.groupBy("label").count().collect()}
     zeros, ones = sizes.get(0, 0), sizes.get(1, 0)
     if not zeros or not ones:

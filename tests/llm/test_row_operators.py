@@ -129,6 +129,16 @@ def test_rules_compile_to_columns(spark, table):
     assert empty.rules == () and empty.intercept == 0.0
 
 
+def test_a_repeated_id_weighs_as_one_text(table):
+    docs, labels = _labelled(table, lambda w: " ".join([*w, "zquix"]), lambda w: " ".join(x + "%%%" for x in w))
+    once = docs.where("doc_id < 1000")
+    often = once.union(once.where("doc_id = 4").crossJoin(once.sparkSession.range(300)).drop("id"))
+    one, many = toxicity.fit(once, labels), toxicity.fit(often, labels)
+    assert one.intercept == pytest.approx(many.intercept) and one.weights == pytest.approx(many.weights)
+    one, many = rule_ensemble.fit(once, labels), rule_ensemble.fit(often, labels)
+    assert one.intercept == pytest.approx(many.intercept, abs=0.2) and one.rules and many.rules
+
+
 def test_very_long_text_is_read_whole(table):
     text = "word " * 400_000 + "end"
     docs = table([(1, text)], "doc_id long, text string")
