@@ -7,6 +7,8 @@ best k per query.
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -22,6 +24,12 @@ BLOCK_ROWS = 8192
 TILE_ROWS = 512
 BUCKET_ROWS = 2048
 DIGITS = 9
+#: Approximate search: bits of a hash at most, queries it is tuned on, and share of their exact hits to find.
+MOST_BITS = 20
+TUNING_QUERIES = 256
+AIMED_RECALL = 0.95
+#: Bucket codes a task makes at once.
+CODES = 1 << 21
 COVERAGE_SCORE = 0.9
 SELF_SCORE = 0.95
 
@@ -215,6 +223,38 @@ def build_points(metadata: DataFrame, embedded: DataFrame) -> DataFrame:
         "shard", (F.col("_rank") - 1).alias("point_id"), "record_id", "path", "embedding"
     )
 
+def _flips(bits: int) -> np.ndarray:
+    """Sets of planes to cross, as bits by rank of the query's distance to them, likeliest first."""
+    masks, cost = np.arange(1 << bits), np.zeros(1 << bits)
+    for i in range(bits):
+        cost += ((masks >> i) & 1) * NormalDist().inv_cdf(0.5 + (i + 0.5) / (2 * bits)) ** 2
+    return masks[np.argsort(cost, kind="stable")]
+
+def _buckets(embeddings: pa.Array, planes: np.ndarray, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """Own bucket per vector and table, and the planes of each table from the nearest to the farthest."""
+    margins = np.nan_to_num(_matrix(embeddings)) @ planes.T
+    margins = margins.reshape(len(embeddings), tables, len(planes) // tables)
+    weights = 1 << np.arange(margins.shape[2], dtype=np.int64)
+    return (margins >= 0) @ weights, np.argsort(np.abs(margins), axis=2, kind="stable")
+
+def _probes_needed(queries, vectors, k: int, planes: np.ndarray, tables: int, flips: np.ndarray, skip_self: bool) -> int:
+    """Buckets per table that find AIMED_RECALL of the exact hits of a bounded sample of the queries."""
+    sample = queries.select("query_id", "embedding").where(F.size("embedding") > 0)
+    sample = sample.orderBy(F.xxhash64("query_id"), "query_id").limit(TUNING_QUERIES)
+    hits = topk(sample, vectors, k, skip_self=skip_self).select("query_id", "point_id")
+    asked = sample.withColumnRenamed("embedding", "q")
+    found = vectors.select("point_id", F.col("embedding").alias("v"))
+    pairs = hits.join(asked, "query_id").join(found, "point_id").select("q", "v").toArrow()
+    if pairs.num_rows == 0:
+        return 1
+    own, order = _buckets(pairs["q"], planes, tables)
+    apart = own ^ _buckets(pairs["v"], planes, tables)[0]
+    crossed = (((apart[:, :, None] >> order) & 1) << np.arange(order.shape[2])).sum(axis=2)
+    place = np.empty(len(flips), np.int64)
+    place[flips] = np.arange(len(flips))
+    needed = np.sort(place[crossed].min(axis=1)) + 1
+    return int(needed[int(np.ceil(AIMED_RECALL * len(needed))) - 1])
+
 def approximate_topk(
     queries: DataFrame,
     vectors: DataFrame,
@@ -229,34 +269,44 @@ def approximate_topk(
     """Approximate top k: exact top k inside the buckets of random hyperplane hashes.
 
     The hash gets a bit more each time the vectors double, so buckets keep about ``bucket_rows``
-    vectors.  A query also looks into the ``probes`` neighbouring buckets of each table across the planes it
-    lies nearest to.  Buckets are joined by blocks, so a bucket of many copies is split and never paired in
-    one task.  No candidate of a bucket is dropped.
+    vectors.  A query also looks into the buckets across the planes it lies nearest to: ``probes`` of them in each
+    table, or as many more as a sample of the queries needs to find AIMED_RECALL of its exact hits.  Buckets are
+    joined by blocks, so a bucket of many copies is split and never paired in one task.  No candidate of a bucket
+    is dropped.
     """
-    bits = max(0, (vectors.count() // bucket_rows).bit_length())
+    bits = min(MOST_BITS, (vectors.count() // bucket_rows).bit_length())
     planes = np.random.default_rng(seed).standard_normal((tables * bits, dim))
     weights = 1 << np.arange(bits, dtype=np.int64)
+    flips = _flips(bits)
+    looks = probes + 1
+    if bits:
+        looks = max(looks, _probes_needed(queries, vectors, k, planes, tables, flips, skip_self))
+    looks = min(looks, 1 << bits)
+
+    def signatures(looks: int):
+        crossed = (flips[:looks, None] >> np.arange(bits)) & 1
+        step = max(1, CODES // (tables * looks))
 
-    def signatures(probes: int):
         def sign(batches):
-            for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                margins = np.nan_to_num(_matrix(batch.column("embedding"))) @ planes.T
-                margins = margins.reshape(batch.num_rows, tables, bits)
-                own = ((margins >= 0) @ weights)[:, :, None]
-                nearest = np.argsort(np.abs(margins), axis=2, kind="stable")[:, :, :probes]
-                codes = np.concatenate([own, own ^ weights[nearest]], axis=2)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(codes.tolist(), pa.list_(pa.list_(pa.int64())))],
-                    names=["id", "embedding", "codes"],
-                )
+            for whole in batches:
+                for at in range(0, whole.num_rows, step):
+                    batch = whole.slice(at, step)
+                    own, order = _buckets(batch.column("embedding"), planes, tables)
+                    codes = own[:, :, None] ^ (weights[order] @ crossed.T)
+                    inner = pa.ListArray.from_arrays(
+                        pa.array(np.arange(0, codes.size + 1, looks, dtype=np.int32)), pa.array(codes.reshape(-1))
+                    )
+                    outer = pa.array(np.arange(0, len(inner) + 1, tables, dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0), batch.column(1), pa.ListArray.from_arrays(outer, inner)],
+                        names=["id", "embedding", "codes"],
+                    )
 
         return sign
 
-    def hashed(df: DataFrame, id_col: str, probes: int) -> DataFrame:
+    def hashed(df: DataFrame, id_col: str, looks: int) -> DataFrame:
         coded = df.select(F.col(id_col).cast("long").alias("id"), "embedding").mapInArrow(
-            signatures(probes), "id long, embedding array<float>, codes array<array<long>>"
+            signatures(looks), "id long, embedding array<float>, codes array<array<long>>"
         )
         per_table = coded.select("id", "embedding", F.posexplode("codes").alias("_table", "_buckets"))
         return per_table.select(
@@ -264,8 +314,8 @@ def approximate_topk(
         )
 
     partial = topk_blocks(
-        hashed(queries, "query_id", min(probes, bits)),
-        hashed(vectors, "point_id", 0),
+        hashed(queries, "query_id", looks),
+        hashed(vectors, "point_id", 1),
         k,
         ["_table", "_bucket"],
         skip_self,
