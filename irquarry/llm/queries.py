@@ -14,6 +14,9 @@ from pyspark.sql.types import StructType
 
 from irquarry.llm import (
     curriculum,
+    debruijn,
+    filter_audit,
+    lexical,
     lm_scoring,
     near_dedup,
     packing,
@@ -190,6 +193,36 @@ def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(_judged(F.col("score"), GOOD_FROM))
 
 
+def op11_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the windows of smaller ids."""
+    found = debruijn.repeated_spans(table(spark, sf_dir, "documents"), keep=["doc_id", "text"])
+    schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch, 1):
+                rows = []
+                for body, spans in zip(texts(part.column(1)), part.column(2).to_pylist()):
+                    words = (body or b"").split()
+                    kept = debruijn.kept_words(words, spans)
+                    rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+                arrays = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=schema.fieldNames())
+
+    return found.select("row.doc_id", "row.text", "spans").mapInArrow(digest, schema)
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters keep and lose in every order, per source."""
+    found = filter_audit.words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit.audit(found)
+
+
 QUERIES: dict[str, Plan] = {
     f.__name__: f
     for f in (
@@ -203,6 +236,9 @@ QUERIES: dict[str, Plan] = {
         op8_curriculum,
         op9_warc,
         op10_rule_ensemble,
+        op11_debruijn,
+        op12_lexical,
+        op13_filter_audit,
     )
 }
 
@@ -253,6 +289,89 @@ FROM y""",
 }
 
 
+ORACLE["op11_debruijn"] = r"""
+WITH d AS (
+  SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS w FROM documents),
+p AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
+g AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM p),
+f AS (
+  SELECT s, min(doc_id) AS first_id FROM g GROUP BY s),
+c AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM g JOIN f USING (s) WHERE first_id < doc_id),
+x AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+k AS (
+  SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) AS kept, count(*) AS n FROM x ANTI JOIN c ON x.doc_id = c.doc_id AND x.i = c.i
+  GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)"""
+
+ORACLE["op12_lexical"] = r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+q AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+qt AS (
+  SELECT item_id, term, count(*) AS qtf FROM q GROUP BY ALL),
+tf AS (
+  SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+n AS (
+  SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id),
+c AS (
+  SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS occurrences FROM n),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tf, c GROUP BY term, docs),
+s AS (
+  SELECT item_id, doc_id,
+         CAST(sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // occurrences)))) AS BIGINT) AS score
+  FROM qt JOIN tf USING (term) JOIN w USING (term) JOIN n USING (doc_id), c GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER o AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+QUALIFY row_number() OVER o <= 10"""
+
+ORACLE["op13_filter_audit"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+f AS (
+  SELECT d.doc_id, part,
+         [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+          100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text), regexp_matches(text, '[#$%&*|]'),
+          coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails
+  FROM d),
+b AS (
+  SELECT part, fails, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad
+  FROM f LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)),
+l AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (
+  SELECT filter_order, step, instr('ABCDE', filter_order[step]) AS place,
+         [instr('ABCDE', x) FOR x IN string_split(filter_order[1:step - 1], '') IF x <> ''] AS earlier
+  FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (
+  SELECT part, filter_order, step, place, fails[place] AS failed, len([i FOR i IN earlier IF fails[i]]) > 0 AS gone,
+         len([i FOR i IN [1, 2, 3, 4, 5] IF i <> place AND fails[i]]) = 0 AS others_pass, good, bad
+  FROM b, s),
+g AS (
+  SELECT part, filter_order, step, place, count(*) FILTER (NOT gone AND NOT failed) AS kept,
+         count(*) FILTER (NOT gone AND failed) AS removed, count(*) FILTER (gone AND failed) AS redundant,
+         count(*) FILTER (failed AND others_pass) AS unique_fails, count(*) FILTER (NOT gone AND failed AND good) AS good_lost,
+         count(*) FILTER (NOT gone AND failed AND bad) AS toxic_lost
+  FROM r GROUP BY part, filter_order, step, place)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, place) AS BIGINT) AS shapley
+FROM g"""
+
+
 def queries() -> dict[str, Plan]:
     return dict(QUERIES)
 
