@@ -68,28 +68,39 @@ def test_spans_cover_what_smaller_ids_have(table, k, chunk_bytes):
     assert sorted(got) == sorted(_brute_repeats(rows, k))
 
 
-def test_a_shared_passage_is_one_span_and_one_path(table):
+def test_a_shared_passage_keeps_its_coordinates(table):
     rng = random.Random(3)
     passage = [f"p{i}" for i in range(50)]
     rows = [(i, " ".join([*(f"x{rng.random()}" for _ in range(20)), *passage, *(f"y{rng.random()}" for _ in range(20))])) for i in range(30)]
     found = debruijn.repeated_spans(table(rows, "doc_id long, text string"), chunk_bytes=2000).collect()
     spans = {r["row"]["doc_id"]: [tuple(s) for s in r["spans"]] for r in found}
     assert spans.pop(0) == []
-    assert all(s == [(20, 50, 0, 20)] for s in spans.values())
+    for found in spans.values():  # pieces of one passage, along its source
+        assert {i for s in found for i in range(s[0], s[0] + s[1])} == set(range(20, 70))
+        assert all(s[2] < 30 and s[0] == s[3] for s in found)
 
 
 def test_paths_break_at_branching_nodes(table):
-    # a and c are followed by different words after b: the node "b" leaves twice
-    rows = [(0, "a b c d"), (1, "a b c d"), (2, "e b f g"), (3, "e b f g")]
-    edges = debruijn._Windows([t.encode() for _, t in rows], [i for i, _ in rows], 2)
-    schema = "chunk long, source long, target long, doc long, place int, last long"
-    doc = edges.owner.tolist()
-    made = table(
-        [(d, s, t, d, p, d) for d, s, t, p in zip(doc, edges.source.view(np.int64).tolist(), edges.target.view(np.int64).tolist(), edges.place.tolist())],
-        schema,
-    )
-    found = {(r["path_doc"], r["path_start"], r["offset"]) for r in debruijn.paths(debruijn.repeated_edges(made)).collect()}
-    assert found == {(0, 0, 0), (0, 1, 0), (0, 1, 1), (2, 0, 0), (2, 1, 0), (2, 1, 1)}
+    # segments of two windows: 0 and 1 share nodes 1-2-3, 2 and 3 share 4-2-5; node 2 is entered and left twice, 6-7-8 is one path
+    rows = []
+    for doc, nodes in ((0, (1, 2, 3)), (1, (1, 2, 3)), (2, (4, 2, 5)), (3, (4, 2, 5)), (4, (6, 7, 8, 9)), (5, (6, 7, 8))):
+        rows += [(a, b, a * 10 + b, 2, doc, doc, 2 * i) for i, (a, b) in enumerate(zip(nodes, nodes[1:]))]
+    made = table(rows, "source long, target long, digest long, number int, last long, doc long, place int")
+    made = made.selectExpr("source", "target", "digest", "number", "last", "struct(doc, place) as here")
+    segments = debruijn.with_source(made, ["source", "target", "digest", "number"])
+    found = {tuple(r) for r in debruijn.paths(segments).collect()}
+    assert found == {(0, 0, 0), (0, 2, 2), (2, 0, 0), (2, 2, 2), (4, 0, 0), (4, 2, 0)}
+
+
+def test_words_are_those_of_bytes():
+    rng = random.Random(6)
+    bodies = [b"", b" a  b\tc ", None, b"x", "\x1c\x85\u2003 y\x0bz\x0c".encode(), b"a\nb c", b"w" * 255 + b" " + b"w" * 256 + b" " + b"w" * 3000]
+    bodies += [bytes(rng.choice(b"ab\x00 \n\x0d") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    digests, lengths = debruijn._word_digests(bodies)
+    words = [w for b in bodies for w in (b or b"").split()]
+    assert lengths.tolist() == [len((b or b"").split()) for b in bodies]
+    assert len(set(zip(words, digests.tolist()))) == len(set(words)) == len(set(digests.tolist()))
+    assert debruijn._word_digests([])[0].tolist() == []
 
 
 def test_repeats_of_odd_rows(odd, spark):
