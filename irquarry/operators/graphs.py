@@ -6,15 +6,11 @@ that holds a large part of the edges is aggregated in the map tasks.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from irquarry.functions.instructions import byte_text, disassembly, normalize_instruction
+from irquarry.functions.text import let
 from irquarry.operators.ranking import chunked_rank
 from irquarry.schemas import CFG_FUNCTION
 from irquarry.operators.outcomes import first_executed
@@ -196,191 +192,183 @@ def wl_equal(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 3)
     Agreement is necessary for isomorphism, not sufficient.
     """
     colours = refine_colours(_stored_edges(edges), nodes, rounds, store_last=False)
-    return _compare(colours, F.col("colour")).select("graph_id", "wl_equal")
+    return _compare(colours, F.col("colour"), ["graph_id"]).select("graph_id", "wl_equal")
 
 
-def _compare(coloured: DataFrame, value: Column) -> DataFrame:
-    """Per graph: equal value multisets, the largest multiplicity of a value, and their number."""
-    classes = coloured.groupBy("graph_id", "side", value.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+def _compare(coloured: DataFrame, value: Column, by: list[str]) -> DataFrame:
+    """Per ``by``: whether both sides have equal value multisets, the largest multiplicity of a value, values and rows of a side."""
+    classes = coloured.groupBy(*by, "side", value.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     low, high = F.col("_v").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright("_v", 32)
-    per_side = classes.groupBy("graph_id", "side").agg(
+    per_side = classes.groupBy(*by, "side").agg(
         F.sum("_c").alias("_n"),
         F.sum(F.col("_c") * low).alias("_low"),
         F.sum(F.col("_c") * high).alias("_high"),
         F.max("_c").alias("_most"),
+        F.count(F.lit(1)).alias("_v"),
     )
-    digest = F.struct("_n", "_low", "_high")
-    pair = per_side.groupBy("graph_id").agg(
+    digest = F.struct("_n", "_low", "_high", "_v")
+    pair = per_side.groupBy(*by).agg(
         *[F.max(F.when(F.col("side") == code, digest)).alias(side) for code, side in enumerate(SIDES)],
         F.max("_most").alias("_most"),
+        F.max("_v").alias("_classes"),
+        F.max("_n").alias("_nodes"),
     )
     same = F.coalesce(F.col("predict") == F.col("target"), F.lit(False))
-    return pair.select("graph_id", same.alias("wl_equal"), "_most")
+    return pair.select(*by, same.alias("wl_equal"), "_most", "_classes", "_nodes")
+
+
+#: Rounds of refinement between two stored tables, and rows of coloured nodes that one graph's branches may take at once.
+ROUNDS_A_STEP = 4
+BRANCH_ROWS = 1 << 16
 
+_BRANCH = ["graph_id", "branch"]
 
-def isomorphic(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 3) -> DataFrame:
-    """Exact label-free equality.
 
-    Graphs with different colour multisets differ.  Graphs whose colours are all unique are equal
-    exactly when their coloured edges are.  The rest, symmetric graphs, are searched one by one,
-    whatever their size.
+def isomorphic(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Exact label-free equality of both sides of every graph.
+
+    Colours are refined until no class splits; graphs whose sides disagree differ.  Where every colour is unique on a side,
+    colours are a mapping of the nodes and the edges decide.  Other graphs branch: a node is singled out on one side
+    and, in a branch each, the nodes of its class on the other; branches are refined alike, all as rows of the same joins,
+    and those whose sides disagree end.  Before that, the whole class is paired by node number, which settles
+    interchangeable nodes and repeated pieces in one step.  A graph is equal if any branch maps its edges.
     """
     unique = _stored_edges(edges)
-    colours = refine_colours(unique, nodes, rounds)
-    key = ["graph_id", "side"]
-    src = colours.select(*key, F.col("node").alias("src"), F.col("colour").alias("cs"))
-    dst = colours.select(*key, F.col("node").alias("dst"), F.col("colour").alias("cd"))
-    coloured = _stored(unique.join(src, [*key, "src"]).join(dst, [*key, "dst"]), "coloured")
-    edge_equal = _compare(coloured, F.xxhash64("cs", "cd")).select(
-        "graph_id", F.col("wl_equal").alias("edges_equal")
-    )
-    state = _compare(colours, F.col("colour")).join(edge_equal, "graph_id", "left")
-    decided = state.select(
-        "graph_id",
-        F.when(~F.col("wl_equal"), F.lit(False))
-        .when(F.col("edges_equal").isNull(), F.lit(True))  # no edges on either side
-        .when(~F.col("edges_equal"), F.lit(False))
-        .when(F.col("_most") == 1, F.lit(True))
-        .alias("decided"),
-    )
-    to_search = decided.where(F.col("decided").isNull()).select("graph_id")
-    # One row per graph: the arcs of one function on both sides.
-    arc = F.struct("src", "dst", "cs", "cd")
-    packed = (
-        coloured.join(to_search, "graph_id", "left_semi")
-        .groupBy("graph_id")
-        .agg(
-            *[F.collect_list(F.when(F.col("side") == code, arc)).alias(side) for code, side in enumerate(SIDES)]
-        )
-    )
-    searched = packed.select("graph_id", _mapping_exists("predict", "target").alias("searched"))
-    return decided.join(searched, "graph_id", "left").select(
-        "graph_id", F.coalesce("decided", "searched").alias("isomorphic")
-    )
+    src, dst = F.col("src"), F.col("dst")
+    ends = F.array(*[F.struct(a.alias("node"), far.alias("far"), F.lit(way).cast("byte").alias("way")) for way, a, far in ((0, src, dst), (1, dst, src))])
+    arcs = _stored(unique.select("graph_id", "side", F.inline(ends)), "arcs")
+    known = arcs.select("graph_id", "side", "node")
+    if nodes is not None:
+        known = known.unionByName(_coded(nodes).select("graph_id", "side", "node"))
+    start = known.distinct().withColumns({"branch": F.lit(0).cast("long"), "colour": F.lit(0).cast("long")})
+    start = _stored(start, "colours")
+    equal = _search(unique, arcs, *_refined(arcs, start)).withColumn("isomorphic", F.lit(True))
+    graphs = start.select("graph_id").distinct().join(equal, "graph_id", "left")
+    return graphs.select("graph_id", F.coalesce("isomorphic", F.lit(False)).alias("isomorphic"))
 
 
-@F.pandas_udf(BooleanType())
-def _mapping_exists(predict: pd.Series, target: pd.Series) -> pd.Series:
-    return pd.Series([_search_mapping(p, t) for p, t in zip(predict, target)])
-
-
-class _Pair:
-    """Two graphs over nodes (side, name), with colourings that mean the same on both sides."""
-
-    def __init__(self, predict, target):
-        self.out: dict = {}
-        self.into: dict = {}
-        self.first: dict = {}
-        for side, arcs in enumerate((predict, target)):
-            for a in arcs:
-                src, dst = (side, a["src"]), (side, a["dst"])
-                for node, colour in ((src, a["cs"]), (dst, a["cd"])):
-                    self.first[node] = colour
-                    self.out.setdefault(node, set())
-                    self.into.setdefault(node, set())
-                self.out[src].add(dst)
-                self.into[dst].add(src)
-
-    def components(self) -> list[tuple[int, list]]:
-        """(side, nodes) of each connected piece, directions ignored."""
-        seen: set = set()
-        found = []
-        for start in self.out:
-            if start in seen:
-                continue
-            seen.add(start)
-            piece = [start]
-            for node in piece:
-                for near in self.out[node] | self.into[node]:
-                    if near not in seen:
-                        seen.add(near)
-                        piece.append(near)
-            found.append((start[0], piece))
-        return found
-
-    def refined(self, colour: dict) -> dict:
-        """The coarsest stable colouring below the given one."""
-        classes = len(set(colour.values()))
-        while True:
-            numbers: dict = {}
-            signed = {
-                n: (
-                    c,
-                    tuple(sorted(colour[m] for m in self.out[n])),
-                    tuple(sorted(colour[m] for m in self.into[n])),
-                )
-                for n, c in colour.items()
-            }
-            colour = {n: numbers.setdefault(s, len(numbers)) for n, s in signed.items()}
-            if len(numbers) == classes:
-                return colour
-            classes = len(numbers)
-
-    def same(self, left: list, right: list) -> bool:
-        """Two connected pieces are equal: single out a node on the left, try each like it on the right, refine.
-
-        Nodes with the same neighbours are interchangeable, so classes of such nodes need no trial.
-        """
-        stack: list[Iterator[dict]] = [iter([{n: self.first[n] for n in [*left, *right]}])]
-        while stack:
-            colour = next(stack[-1], None)
-            if colour is None:
-                stack.pop()
-                continue
-            colour = self.refined(colour)
-            if Counter(colour[n] for n in left) != Counter(colour[n] for n in right):
-                continue
-            classes: dict = {}
-            for n in [*left, *right]:
-                classes.setdefault(colour[n], ([], []))[n[0]].append(n)
-            open_classes = [c for c in classes.values() if not (self._twins(c[0]) and self._twins(c[1]))]
-            if not open_classes:
-                return True
-            own, others = min(open_classes, key=lambda c: len(c[0]))
-            stack.append(({**colour, own[0]: -1, other: -1} for other in others))
-        return False
-
-    def _twins(self, nodes: list) -> bool:
-        out, into = self.out[nodes[0]], self.into[nodes[0]]
-        return all(self.out[n] == out and self.into[n] == into for n in nodes)
-
-
-def _search_mapping(predict, target) -> bool:
-    """Exact equality of one graph pair: every piece of one side finds an equal piece of the other."""
-    pair = _Pair(predict, target)
-    colour = pair.refined(pair.first)
-    free: dict = {}
-    wanted = []
-    for side, piece in pair.components():
-        sign = tuple(sorted(Counter(colour[n] for n in piece).items()))
-        if side:
-            free.setdefault(sign, []).append(piece)
-        else:
-            wanted.append((sign, piece))
-    # equality is an equivalence, so the first equal piece is as good as any
-    for sign, piece in wanted:
-        others = free.get(sign, [])
-        match = next((i for i, other in enumerate(others) if pair.same(piece, other)), None)
-        if match is None:
-            return False
-        others.pop(match)
-    return not any(free.values())
+def _round(arcs: DataFrame, colours: DataFrame) -> DataFrame:
+    """Every node's colour from its own and the multiset of those at the far ends of its arcs, in every branch."""
+    key = [*_BRANCH, "side", "node"]
+    far = colours.withColumnsRenamed({"node": "far", "colour": "far_colour"})
+    seen = arcs.join(far, ["graph_id", "side", "far"]).select(*key, F.xxhash64("way", "far_colour").alias("_h"))
+    own = colours.select(*key, F.xxhash64(F.lit(2).cast("byte"), "colour").alias("_h"))
+    refined = seen.unionByName(own).groupBy(*key).agg(*_digest(F.col("_h")))
+    return refined.select(*key, F.xxhash64("_n", "_low", "_high").alias("colour"))
+
+
+def _refined(arcs: DataFrame, colours: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stable colours of the branches whose sides agree, and their largest class (``_most``) and nodes a side (``_nodes``).
+
+    A branch leaves the rounds when its sides disagree or no class has split.
+    """
+    done: list[tuple[DataFrame, DataFrame]] = []
+    last = None
+    while True:
+        for _ in range(ROUNDS_A_STEP):
+            colours = _round(arcs, colours)
+        colours = _stored(colours, "colours")
+        state = _stored(_compare(colours, F.col("colour"), _BRANCH).where("wl_equal"), "branches")
+        moving = state.where("_most > 1")
+        if last is not None:
+            before = last.select(*_BRANCH, F.col("_classes").alias("_before"))
+            moving = moving.join(before, _BRANCH).where("_classes > _before").drop("_before")
+        moving = _stored(moving, "moving")
+        resting = state.join(moving, _BRANCH, "left_anti")
+        done.append((colours.join(resting, _BRANCH, "left_semi"), resting.select(*_BRANCH, "_most", "_nodes")))
+        if moving.isEmpty():
+            break
+        colours, last = colours.join(moving, _BRANCH, "left_semi"), moving
+    parts = [list(side) for side in zip(*done)]
+    for side in parts:
+        while len(side) > 1:
+            side.append(side.pop(0).unionByName(side.pop(0)))
+    return _stored(parts[0][0], "colours"), _stored(parts[1][0], "branches")
+
+
+def _mapped(edges: DataFrame, colours: DataFrame, branches: DataFrame) -> DataFrame:
+    """graph_id of the graphs with a branch of unique colours that maps the edges of one side onto those of the other."""
+    leaves = branches.where("_most = 1").select(*_BRANCH)
+    mine = colours.join(leaves, _BRANCH, "left_semi")
+    ends = [
+        mine.select(*_BRANCH, "side", F.col("node").alias(end), F.col("colour").alias(f"{end}_colour"))
+        for end in ("src", "dst")
+    ]
+    coloured = edges.join(ends[0], ["graph_id", "side", "src"]).join(ends[1], [*_BRANCH, "side", "dst"])
+    both = coloured.groupBy(*_BRANCH, "src_colour", "dst_colour").agg(F.countDistinct("side").alias("_sides"))
+    wrong = both.where("_sides = 1").select(*_BRANCH)
+    return leaves.join(wrong, _BRANCH, "left_anti").select("graph_id").distinct()
+
+
+def _search(edges: DataFrame, arcs: DataFrame, colours: DataFrame, branches: DataFrame) -> DataFrame:
+    """graph_id of the graphs that one of these branches, or one below them, shows to be equal."""
+    found = _stored(_mapped(edges, colours, branches), "equal")
+    waiting = branches.where("_most > 1")
+    nth = Window.partitionBy("graph_id").orderBy("branch")
+    waiting = _stored(waiting.withColumn("_nth", F.row_number().over(nth)), "branches")
+    first, width = 1, 1
+    while True:
+        waiting = waiting.where(F.col("_nth") >= first).join(found, "graph_id", "left_anti")
+        if waiting.isEmpty():
+            return found
+        # equal branches are many in symmetric graphs: few are tried first, then more
+        now = waiting.where(F.col("_nth") < first + width)
+        mine = _stored(colours.join(now, _BRANCH, "left_semi"), "colours")
+        found = _tried(edges, arcs, mine, now, found)
+        first, width = first + width, 4 * width
+
+
+def _tried(edges: DataFrame, arcs: DataFrame, colours: DataFrame, branches: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` and the graphs that are equal below these branches: the smallest shared class is paired, then singled out."""
+    key = [*_BRANCH, "side", "node"]
+    classes = colours.where("side = 0").groupBy(*_BRANCH, "colour").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    cell = classes.groupBy(*_BRANCH).agg(F.min(F.struct("_n", "colour")).alias("_cell"))
+    cell = cell.select(*_BRANCH, "_cell.*")
+    members = colours.join(cell, [*_BRANCH, "colour"]).select(*key, "_n")
+    members = _stored(chunked_rank(members, "node", "_rank", by=[*_BRANCH, "side"]), "members")
+    marked = colours.join(members.select(*key, "_rank"), key, "left")
+
+    paired = F.when(F.col("_rank").isNull(), F.col("colour")).otherwise(F.xxhash64("colour", "_rank"))
+    below = _search(edges, arcs, *_refined(arcs, marked.select(*key, paired.alias("colour"))))
+    found = _stored(found.unionByName(below).distinct(), "equal")
+
+    at_once = F.greatest(F.lit(1), F.floor(F.lit(BRANCH_ROWS) / F.col("_nodes")))
+    trials = members.where("side = 1").join(branches.select(*_BRANCH, "_nodes"), _BRANCH)
+    trials = trials.select(*_BRANCH, F.col("_rank").alias("_trial"), F.ceil(F.col("_rank") / at_once).alias("_turn"))
+    trials = _stored(trials, "trials")
+    turn = 1
+    while True:
+        now = trials.where(F.col("_turn") == turn).join(found, "graph_id", "left_anti")
+        if now.isEmpty():
+            return found
+        single = (F.col("_rank") == F.when(F.col("side") == 0, F.lit(1)).otherwise(F.col("_trial")))
+        colour = F.when(F.coalesce(single, F.lit(False)), F.xxhash64("colour", F.lit(-1))).otherwise(F.col("colour"))
+        child = marked.join(now, _BRANCH).select(
+            "graph_id", F.xxhash64("branch", "_trial").alias("branch"), "side", "node", colour.alias("colour")
+        )
+        below = _search(edges, arcs, *_refined(arcs, child))
+        found = _stored(found.unionByName(below).distinct(), "equal")
+        turn += 1
 
 
 def block_features(blocks: DataFrame, keys: list[str], instructions: str = "instructions") -> DataFrame:
     """Feature row per block from its instruction list (mnemonic, operands, address, bytes)."""
-    col = F.col(instructions)
-    raw = F.unhex(F.array_join(F.transform(col, lambda i: F.hex(i["bytes"])), ""))
-    packed = byte_text(raw)
-    return blocks.select(
-        *keys,
-        packed["bb_len"].alias("bb_len"),
-        F.transform(col, lambda i: F.lower(i["mnemonic"])).alias("bb_mnems"),
-        F.transform(col, lambda i: normalize_instruction(i["mnemonic"], i["operands"])).alias("bb_norm"),
-        F.transform(col, lambda i: disassembly(i["mnemonic"], i["operands"])).alias("bb_disasm"),
-        packed["b64_bytes"].alias("b64_bytes"),
-        F.transform(col, lambda i: i["address"]).alias("bb_heads"),
-    )
+
+    def features(found: Column) -> Column:
+        raw = F.unhex(F.array_join(F.transform(found, lambda i: F.hex(i["bytes"])), ""))
+        return let(
+            byte_text(raw),
+            lambda packed: F.struct(
+                packed["bb_len"].alias("bb_len"),
+                F.transform(found, lambda i: F.lower(i["mnemonic"])).alias("bb_mnems"),
+                F.transform(found, lambda i: normalize_instruction(i["mnemonic"], i["operands"])).alias("bb_norm"),
+                F.transform(found, lambda i: disassembly(i["mnemonic"], i["operands"])).alias("bb_disasm"),
+                packed["b64_bytes"].alias("b64_bytes"),
+                F.transform(found, lambda i: i["address"]).alias("bb_heads"),
+            ),
+        )
+
+    return blocks.select(*keys, let(F.col(instructions), features).alias("_features")).select(*keys, "_features.*")
 
 
 def compare_first_executed(evaluations: DataFrame, targets: DataFrame, cfg_json: str, target_json: str) -> DataFrame:

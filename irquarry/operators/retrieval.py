@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from irquarry.functions.text import normalize_listing
 from irquarry.operators.prompts import candidate_preference
@@ -80,19 +81,12 @@ def best_of(partial: DataFrame, k: int, by: list[str]) -> DataFrame:
     order = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "point_id")
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-def topk_blocks(
-    queries: DataFrame,
-    vectors: DataFrame,
-    k: int,
-    on: list[str],
-    skip_self: bool = False,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Best k per query among vectors equal in ``on``, by pairs of bounded blocks.
+def paired_blocks(
+    queries: DataFrame, vectors: DataFrame, on: list[str], block_rows: int = BLOCK_ROWS, holds: str = "embedding"
+) -> PandasCogroupedOps:
+    """Query blocks (columns prefixed ``q_``) and vector blocks of each ``on`` group, cogrouped pair by pair.
 
-    Each ``on`` group is cut into query blocks and vector blocks by hash; a task multiplies one
-    pair of blocks.  A group holding a large part of all rows becomes many blocks.  For a given
-    query set the copies grow in proportion to the vectors.
+    Vectors carry the column ``holds``.  Blocks are cut by hash and hold about ``block_rows`` rows.
     """
     n_blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.lit(1)).cast("int")
     counts = {"_nv": vectors.groupBy(*on).agg(n_blocks.alias("_nv"))}
@@ -103,20 +97,38 @@ def topk_blocks(
             return df.withColumns({n: counts[n].scalar() for n in counts})
         return df.join(counts["_nv"].join(counts["_nq"], on), on)
 
-    def blocks(df: DataFrame, id_col: str, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
+    def blocks(df: DataFrame, id_col: str, held: str, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
         return (
-            sized(df.select(id_col, "embedding", *on))
+            sized(df.select(id_col, held, *on))
             .withColumn(own, F.pmod(F.xxhash64(id_col), F.col(n_own)).cast("int"))
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
             .drop("_nv", "_nq")
         )
 
     keys = [*on, "_qb", "_vb"]
-    left = blocks(queries, "query_id", "_qb", "_nq", "_vb", "_nv")
+    left = blocks(queries, "query_id", "embedding", "_qb", "_nq", "_vb", "_nv")
     # Fresh names: both sides may come from one table.
     left = left.select(*[F.col(c).alias(f"q_{c}") for c in left.columns])
     left = left.groupBy(*[f"q_{c}" for c in keys])
-    right = blocks(vectors, "point_id", "_vb", "_nv", "_qb", "_nq").groupBy(*keys)
+    right = blocks(vectors, "point_id", holds, "_vb", "_nv", "_qb", "_nq").groupBy(*keys)
+    return left.cogroup(right)
+
+
+def topk_blocks(
+    queries: DataFrame,
+    vectors: DataFrame,
+    k: int,
+    on: list[str],
+    skip_self: bool = False,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Best k per query among vectors equal in ``on``, by pairs of bounded blocks.
+
+    Each ``on`` group is cut into query blocks and vector blocks by hash; a task multiplies one
+    pair of blocks.  A group holding a large part of all rows becomes many blocks.  For a given
+    query set the copies grow in proportion to the vectors.
+    """
+    cogrouped = paired_blocks(queries, vectors, on, block_rows)
     types = [f"{f.name} {f.dataType.simpleString()}" for f in vectors.select(*on).schema]
 
     def pair(key, q: pa.Table, v: pa.Table) -> pa.Table:
@@ -135,7 +147,7 @@ def topk_blocks(
         cols += [pa.repeat(value, len(ids)) for value in key[: len(on)]]
         return pa.Table.from_arrays(cols, names=["query_id", "point_id", "score", *on])
 
-    return left.cogroup(right).applyInArrow(pair, ", ".join([_OUT, *types]))
+    return cogrouped.applyInArrow(pair, ", ".join([_OUT, *types]))
 
 def topk(
     queries: DataFrame,

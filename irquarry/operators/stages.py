@@ -7,8 +7,11 @@ of single rows become values of the row, never failures of the task.
 from __future__ import annotations
 
 import os
+import queue
 import subprocess
 import tempfile
+import threading
+import time
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -193,6 +196,43 @@ def _isolated(call: Callable[[list[str]], list], texts: list[str]) -> list:
         return [None] if len(texts) == 1 else [r for t in texts for r in _isolated(call, [t])]
 
 
+def with_deadline(call: Callable[[list[str]], list], deadline: float, hedge: float | None = None) -> Callable[[list[str]], list]:
+    """``call`` that raises TimeoutError after ``deadline`` seconds; a second attempt starts beside it after ``hedge`` seconds.
+
+    The first answer counts.  An attempt that comes late runs on in a thread of its own, and what it returns is dropped.
+    """
+    hedge = deadline / 2 if hedge is None else hedge
+
+    def bounded(texts: list[str]) -> list:
+        answers: queue.SimpleQueue = queue.SimpleQueue()
+
+        def attempt() -> None:
+            try:
+                answers.put((list(call(texts)), None))
+            except Exception as failure:
+                answers.put((None, failure))
+
+        end, running, started = time.monotonic() + deadline, 0, 0
+        while True:
+            if started < 2 and (not started or running):
+                threading.Thread(target=attempt, daemon=True).start()
+                started, running = started + 1, running + 1
+            wait = end - time.monotonic()
+            try:
+                answer, failure = answers.get(timeout=max(min(wait, hedge) if started < 2 else wait, 0))
+            except queue.Empty:
+                if time.monotonic() >= end:
+                    raise TimeoutError(f"no answer within {deadline} s") from None
+                continue
+            running -= 1
+            if failure is None:
+                return answer
+            if not running:
+                raise failure
+
+    return bounded
+
+
 def embedding_stage(
     df: DataFrame,
     text: str,
@@ -220,14 +260,18 @@ def generation_stage(
     generate: Callable[[list[str]], list[list[str]]],
     batch_size: int = 64,
     tasks: int | None = None,
+    timeout: float = Timeouts.generation,
+    hedge: float | None = None,
 ) -> DataFrame:
     """Generate choices per prompt: ``prompts(idx, retry, prompt)`` to one row per choice.
 
-    ``tasks`` spreads the slow calls by hash of the record first.  A prompt whose call fails, alone too, gives no row,
-    so a later run of the stage asks again.
+    ``tasks`` spreads the slow calls by hash of the record first.  A call has ``timeout`` seconds, and after ``hedge`` (half of
+    them unless given) a second attempt starts beside it.  A batch that fails or comes late is asked again prompt by prompt; a prompt
+    whose call fails or hangs, alone too, gives no row, so a later run of the stage asks again.
     """
     if tasks:
         prompts = prompts.repartition(tasks, "idx")
+    generate = with_deadline(generate, timeout, hedge)
 
     def compute(batch: pa.RecordBatch) -> list:
         texts = batch.column("prompt").to_pylist()

@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from irquarry.operators import retrieval, scoring, stages
+from irquarry.operators import retrieval, scoring, stages, vector_index
 from irquarry.plans import views
 from irquarry.plans.registry import query
 from irquarry.plans.sqltext import UNCOMMENTED
@@ -196,3 +196,42 @@ def approx_topk_recall(spark, sf_dir):
     exact = retrieval.topk(queries, vectors, 3, skip_self=True)
     found = retrieval.approximate_topk(queries, vectors, 3, dim=64, bucket_rows=125, skip_self=True)
     return retrieval.recall(exact, found)
+
+
+@query(
+    _PAIRS
+    + """
+, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM pairs)
+SELECT query_id, point_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3"""
+)
+def topk_cosine_pruned(spark, sf_dir):
+    """The same search over blocks by direction, those passed over that cannot hold a better score."""
+    hits, _ = vector_index.pruned_topk(_queries(spark, sf_dir), views.vectors(spark, sf_dir), 3, skip_self=True)
+    return _shown(hits)
+
+
+@query(
+    """
+SELECT CAST(3 * count(*) FILTER (vec_id % 20 = 0) AS BIGINT) AS n_exact, TRUE AS recall_reached, TRUE AS few_scored
+FROM embeddings"""
+)
+def indexed_neighbours(spark, sf_dir):
+    """The three nearest vectors of ids divisible by 20 from the index: nine tenths found, at most a tenth of the vectors scored."""
+    vectors = views.vectors(spark, sf_dir)
+    queries = _queries(spark, sf_dir).where("query_id % 20 = 0")
+    exact = retrieval.topk(queries, vectors, 3, skip_self=True)
+    index = vector_index.fit(vectors)
+    probes, count = vector_index.tuned(index, queries, vectors, 3, skip_self=True)
+    candidates = index.candidates(queries, index.entries(vectors), probes, count, skip_self=True)
+    found = vector_index.rescored(candidates, queries, vectors, 3)
+    row = retrieval.recall(exact, found).withColumns(
+        {
+            "n_scored": candidates.agg(F.count(F.lit(1))).scalar(),
+            "n_pairs": queries.agg(F.count(F.lit(1))).scalar() * vectors.agg(F.count(F.lit(1))).scalar(),
+        }
+    )
+    return row.select(
+        "n_exact",
+        (F.col("n_found") >= 0.9 * F.col("n_exact")).alias("recall_reached"),
+        (F.col("n_scored") <= 0.1 * F.col("n_pairs")).alias("few_scored"),
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -428,6 +429,24 @@ def quarantined_prompts(spark, sf_dir):
     return repair.quarantined_prompts(spark, run).select("idx", "retry", "prompt")
 
 
+@query("SELECT item_id AS idx, CAST(-1 AS INTEGER) AS retry, md5(text) AS prompt FROM benchmark WHERE md5(text) < '10'")
+def late_prompts(spark, sf_dir):
+    """Prompts at which the generator hangs: the call ends at its deadline, the other prompts of the call keep their answers."""
+
+    def generate(batch):
+        if any(p < "10" for p in batch):
+            time.sleep(600)
+        return [[p] for p in batch]
+
+    store = new_work_path(spark, "run")
+    items = views.table(spark, sf_dir, "benchmark")
+    asked = items.select(F.col("item_id").alias("idx"), F.lit(-1).alias("retry"), F.lit("basic").alias("prompt_type"), F.md5("text").alias("prompt"))
+    run = repair.RepairRun(store, JobConfig(num_retry=0), lambda df: stages.generation_stage(df, generate, tasks=8, timeout=1.0), lambda df: df)
+    asked.write.partitionBy("retry").parquet(run.path("prompts"))
+    stages.cached_stage(asked, ["idx", "retry"], run.path("responses"), repair.RESPONSES, run.generate, ["retry"])
+    return repair.quarantined_prompts(spark, run).select("idx", "retry", "prompt")
+
+
 @query(
     ctes("fn")
     + """

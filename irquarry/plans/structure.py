@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from irquarry.functions.code import dependency_text
-from irquarry.operators import dedup, histograms, predicates, records
+from irquarry.functions.text import newline_split
+from irquarry.operators import clusters, dedup, histograms, predicates, records
 from irquarry.plans import views
 from irquarry.plans.registry import query
 from irquarry.plans.views import ctes
@@ -244,6 +245,64 @@ def class_sizes(spark, sf_dir):
     return dedup.class_sizes(views.functions(spark, sf_dir), **DEDUP_BOUNDS)
 
 
+def _line_functions(spark, sf_dir):
+    """Every line of every document as a one-block function: each word is computed from the one before it."""
+    doc = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = doc.select("doc_id", F.posexplode(newline_split(F.col("text"))).alias("line", "words"))
+    words = F.transform(F.split("words", " ", -1), lambda w: F.concat(F.lit("w"), F.regexp_replace(w, "[^A-Za-z]", "")))
+    rows = rows.withColumn("words", words)
+
+    def step(word, i):
+        before = F.when(i > 0, F.get("words", i - 1)).otherwise(F.lit("entry"))
+        return F.concat(F.lit("  %"), word, F.lit(" = add i32 %"), before, F.lit(", 1 ; step "), i.cast("string"))
+
+    text = F.array_join(
+        F.concat(
+            F.array(F.lit("; ModuleID = 'x'"), F.concat(F.lit("define i32 @"), F.get("words", F.lit(0)), F.lit("() {")), F.lit("entry:")),
+            F.transform("words", step),
+            F.array(F.lit("  ret void, !dbg !7"), F.lit("}")),
+        ),
+        "\n",
+    )
+    count = F.struct(F.lit("f").alias("func_name"), F.lit(1).alias("bbcount"), F.array(F.size("words")).alias("bb_list_size"))
+    return rows.select(
+        (F.col("doc_id") * 1_000_000 + F.col("line")).alias("idx"),
+        F.struct(F.array(text).alias("code"), count.alias("bb_count")).alias("llvm_ir"),
+    )
+
+
+@query(
+    """
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+f AS (SELECT doc_id * 1000000 + generate_subscripts(ls, 1) - 1 AS idx, string_split(unnest(ls), ' ') AS ws FROM l),
+w AS (SELECT idx, list_transform(ws, lambda x: 'w' || regexp_replace(x, '[^A-Za-z]', '', 'g')) AS ws FROM f WHERE len(ws) <= 9),
+t AS (SELECT idx, len(ws) AS inst_count, ['entry'] || flatten(list_transform(ws, lambda x, i: [x, CASE WHEN i > 1 THEN ws[i - 1] ELSE 'entry' END])) AS names FROM w)
+SELECT inst_count, count(*) AS n, min(idx) AS first_idx FROM t
+GROUP BY inst_count, list_transform(names, lambda x: list_position(names, x))"""
+)
+def canonical_classes(spark, sf_dir):
+    """Classes of functions that agree after a one-to-one renaming."""
+    sizes = dedup.class_sizes(_line_functions(spark, sf_dir), "canonical")
+    return sizes.withColumn("inst_count", F.col("inst_count").cast("long"))
+
+
+@query(
+    """
+WITH RECURSIVE d AS (SELECT doc_id, list_distinct(string_split(text, ' ')) AS w, len(string_split(text, ' ')) AS n FROM documents),
+link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM d a JOIN d b ON a.n = b.n AND a.doc_id <> b.doc_id
+  WHERE len(list_intersect(a.w, b.w)) >= 0.8 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) - 0.000001),
+reach AS (SELECT doc_id AS idx, doc_id AS seen FROM d UNION SELECT idx, b FROM reach JOIN link ON seen = a)
+SELECT idx, min(seen) AS first FROM reach GROUP BY idx"""
+)
+def fuzzy_classes(spark, sf_dir):
+    """Documents of one word count linked by four fifths of their words."""
+    doc = views.table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ", -1).alias("words"))
+    sets = doc.select(
+        F.col("doc_id").alias("idx"), F.size("words").alias("block"), F.transform("words", lambda w: F.xxhash64(w)).alias("elements")
+    )
+    return clusters.similar_classes(sets, 0.8)
+
+
 def _with_info(spark, sf_dir):
     """Records with analysis output as text; every eleventh one could not be parsed, every seventh has two functions."""
     rows = views.functions(spark, sf_dir)

@@ -167,32 +167,31 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = table(spark, sf_dir, "documents").select("doc_id", "text")
 
     def callee(line: Column) -> Column:
-        return F.concat(F.lit("g_"), F.regexp_replace(F.split_part(line, F.lit(" "), F.lit(1)), "[^A-Za-z]", ""))
+        return F.concat(F.lit("g_"), F.regexp_replace(F.substring_index(line, " ", 1), "[^A-Za-z]", ""))
 
     def body(line: Column, i: Column) -> Column:
-        return let(_words(line), lambda words: function(line, i, words))
+        words = F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1
+        return let(words, lambda n: function(line, i, n))
 
     def function(line: Column, i: Column, words: Column) -> Column:
         name = F.concat(F.lit("f"), (words % 5).cast("string"), F.lit("_"), (i % 4).cast("string"))
         return F.concat(
-            F.array(
-                F.concat(F.lit("\t.globl\t"), name),
-                F.concat(name, F.lit(":")),
-                F.concat(F.lit("\tmovl\t$"), words.cast("string"), F.lit(", %edi")),
+            F.lit("\t.globl\t"),
+            name,
+            F.lit("\n"),
+            name,
+            F.lit(":\n\tmovl\t$"),
+            words.cast("string"),
+            F.when(words % 2 == 0, F.lit(", %edi\n\tleaq\t8(%rsp), %rsi\n\tcallq\t")).otherwise(
+                F.lit(", %edi\n\tnop\n\tmovq\t%rax, %rdx\n\tcallq\t")
             ),
-            F.when(words % 2 == 0, F.array(F.lit("\tleaq\t8(%rsp), %rsi"))).otherwise(
-                F.array(F.lit("\tnop"), F.lit("\tmovq\t%rax, %rdx"))
-            ),
-            F.array(F.concat(F.lit("\tcallq\t"), callee(line), F.lit("@PLT"))),
-            F.when(words % 3 != 0, F.array(F.lit("\t.cfi_endproc"))).otherwise(F.array(F.lit("\tretq"))),
-            F.array(F.lit("\t.size\tx")),
+            callee(line),
+            F.when(words % 3 != 0, F.lit("@PLT\n\t.cfi_endproc\n\t.size\tx")).otherwise(F.lit("@PLT\n\tretq\n\t.size\tx")),
         )
 
     lines = newline_split(F.col("text"))
-    listing = F.array_join(F.flatten(F.transform(lines, body)), "\n")
-    return doc.select(
-        "doc_id", listing.alias("listing"), callee(F.get(lines, F.lit(0))).alias("symbol")
-    )
+    listing = F.array_join(F.transform(lines, body), "\n")
+    return doc.select("doc_id", listing.alias("listing"), callee(F.get(lines, F.lit(0))).alias("symbol"))
 
 
 def cfg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

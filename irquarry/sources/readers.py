@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from irquarry.functions.text import strip
 from irquarry.operators.ranking import chunked_rank
 from irquarry.operators.stages import read_store
 from irquarry.schemas import EVALUATIONS, FUNCTIONS, PREDICTIONS, RESPONSES
+from irquarry.session import new_work_path
 
 
 def positioned(spark: SparkSession, paths: str | list[str], schema: str | None = None) -> DataFrame:
@@ -86,23 +89,77 @@ def _as_array(text: Column, element: str) -> Column:
     return F.when(text.startswith("["), F.coalesce(many, one)).when(text.isNotNull(), one)
 
 
+def json_array_elements(spark: SparkSession, path: str) -> DataFrame:
+    """(file, element, text) of the objects in files that hold one JSON array each; ``element`` counts within the file.
+
+    Spark's splittable text reader cuts the files at closing braces.  A piece's quotes and braces say how it changes the state, inside
+    a string or not and how deep, for either state it may start in; running sums over pieces, then over splits (one row each), settle
+    the state everywhere, and an object ends where a brace outside of strings closes the last open one.  No file is
+    read by one task, and what an element's text spans only decides which pieces are joined.
+    """
+    pieces = spark.read.option("lineSep", "}").text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        "value",
+    )
+    parts = F.split(F.regexp_replace("value", r"(?s)\\.", ""), '"', -1)
+    pieces = pieces.withColumn("_parts", parts)
+
+    def opened(inside: int) -> Column:
+        text = F.array_join(F.filter("_parts", lambda p, i: i % 2 == inside), "")
+        return F.length(text) - F.length(F.replace(text, F.lit("{")))
+
+    flips = (F.size("_parts") - 1) % 2
+    pieces = pieces.withColumns(
+        {"_flips": flips} | {f"_d{inside}": opened(inside) - (flips == inside).cast("int") for inside in (0, 1)}
+    ).drop("_parts")
+
+    split = Window.partitionBy("file", "block").orderBy("at")
+    before, upto = (split.rowsBetween(Window.unboundedPreceding, last) for last in (-1, 0))
+    pieces = pieces.withColumn("_state", F.coalesce(F.sum("_flips").over(before), F.lit(0)) % 2)
+    changed = {start: F.when(F.col("_state") == start, F.col("_d0")).otherwise(F.col("_d1")) for start in (0, 1)}
+    pieces = pieces.withColumns({f"_r{start}": F.sum(change).over(upto) for start, change in changed.items()})
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = pieces.groupBy("file", "block").agg(
+        (F.sum("_flips") % 2).alias("_flips"), F.max_by("_r0", "at").alias("_r0"), F.max_by("_r1", "at").alias("_r1")
+    )
+    blocks = blocks.withColumn("_start", F.coalesce(F.sum("_flips").over(earlier), F.lit(0)) % 2)
+    moved = F.when(F.col("_start") == 0, F.col("_r0")).otherwise(F.col("_r1"))
+    blocks = blocks.select("file", "block", "_start", F.coalesce(F.sum(moved).over(earlier), F.lit(0)).alias("_depth"))
+
+    placed = pieces.join(blocks, ["file", "block"])
+    depth = F.col("_depth") + F.when(F.col("_start") == 0, F.col("_r0")).otherwise(F.col("_r1"))
+    outside = (F.col("_start") + F.col("_state") + F.col("_flips")) % 2 == 0
+    placed = placed.withColumn("_ends", (outside & (depth == 0)).cast("long"))
+    ended = placed.groupBy("file", "block").agg(F.sum("_ends").alias("_n"))
+    ended = ended.select("file", "block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
+    numbered = placed.join(ended, ["file", "block"]).withColumn(
+        "element", F.col("_first") + F.coalesce(F.sum("_ends").over(before), F.lit(0))
+    )
+    found = numbered.groupBy("file", "element").agg(
+        F.sort_array(F.collect_list(F.struct("block", "at", "value"))).alias("_pieces"), F.max("_ends").alias("_whole")
+    )
+    text = F.concat(F.array_join("_pieces.value", "}"), F.lit("}"))
+    return found.where("_whole = 1").select("file", "element", F.regexp_replace(text, r"^[^{]*", "").alias("text"))
+
+
 def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Prediction files holding one JSON array each; scalars and lists become arrays.
+    """Prediction files holding one JSON array of objects each; scalars and lists become arrays.
 
     ``idx`` counts through all files, in name order.
     """
     fields = "file STRING, func_head_types STRING, input STRING, instruction STRING, output STRING, "
     fields += "predict STRING, predict_compile_success STRING, predict_execution_success STRING, "
     fields += "target_compile_success BOOLEAN, target_execution_success BOOLEAN"
-    documents = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("_file"), "value"
+    elements = json_array_elements(spark, path)
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = elements.groupBy("file").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    rows = elements.join(offsets, "file").select(
+        (F.col("_offset") + F.col("element")).alias("idx"), F.from_json("text", fields).alias("_r")
     )
-    parsed = documents.select("_file", F.from_json("value", f"array<struct<{_colons(fields)}>>").alias("_rows"))
-    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = parsed.select("_file", F.coalesce(F.size("_rows"), F.lit(0)).cast("long").alias("_n"))
-    offsets = sizes.select("_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    rows = parsed.join(offsets, "_file").select("_offset", F.posexplode("_rows").alias("_pos", "_r"))
-    return _unioned(rows.select((F.col("_offset") + F.col("_pos")).alias("idx"), "_r.*"))
+    return _unioned(rows.select("idx", "_r.*"))
 
 
 def predictions_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -114,10 +171,6 @@ def predictions_lines(spark: SparkSession, path: str) -> DataFrame:
     return _unioned(spark.read.schema(fields).json(path))
 
 
-def _colons(ddl: str) -> str:
-    return ", ".join(part.replace(" ", ": ", 1) for part in ddl.split(", "))
-
-
 def _unioned(rows: DataFrame) -> DataFrame:
     strings = ("output", "predict")
     flags = ("predict_compile_success", "predict_execution_success")
@@ -127,14 +180,17 @@ def _unioned(rows: DataFrame) -> DataFrame:
     ).select(*[c.split()[0] for c in PREDICTIONS.split(", ")])
 
 
+def _named_files(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True)
+
+
+def _texts_of(files: DataFrame) -> DataFrame:
+    return files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("error_msg"))
+
+
 def error_files(spark: SparkSession, root: str, name: str = "error_predict.error") -> DataFrame:
     """All files of one exact name below a folder: (file, text) rows."""
-    return (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", name)
-        .text(root, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("error_msg"))
-    )
+    return _texts_of(_named_files(spark, root, name))
 
 
 def manifest_paths(spark: SparkSession, manifests: str | list[str]) -> DataFrame:
@@ -142,19 +198,44 @@ def manifest_paths(spark: SparkSession, manifests: str | list[str]) -> DataFrame
     return spark.read.text(manifests).select(strip(F.col("value")).alias("file")).where("file <> ''")
 
 
-def manifest_errors(spark: SparkSession, manifests: str | list[str], root: str, name: str = "*") -> DataFrame:
-    """Texts of the files a manifest lists, below ``root``.
+#: Listed files that are read at once.
+MANIFEST_BATCH = 10_000
+
+
+def _uris(path: str, root: str) -> list[str]:
+    """The ways the path of a listed file may be spelled by Spark."""
+    scheme = root.split("://")[0] + "://" + root.split("://")[1].split("/")[0] if "://" in root else "file://"
+    bare = re.sub(r"^(?:file:)?/+", "/", path)
+    if not bare.startswith("/"):
+        return [bare, quote(bare, safe="/:=")]
+    names = {bare, quote(bare, safe="/=:@!$&'()*+,;~")}
+    return [prefix + name for name in names for prefix in ("", scheme, "file:", "file://")]
 
-    The folder is listed by Spark and semi-joined with the manifest, so the list itself is never
-    brought to the driver.
+
+def listed_files(files: DataFrame, paths: list[str], root: str) -> DataFrame:
+    """Rows of those files only: the filter on the path is settled when files are listed, so no other file is opened."""
+    return files.where(F.col("_metadata.file_path").isin([u for p in paths for u in _uris(p, root)]))
+
+
+def manifest_errors(
+    spark: SparkSession, manifests: str | list[str], root: str, name: str = "*", batch: int = MANIFEST_BATCH
+) -> DataFrame:
+    """Texts of the files below ``root`` that manifests list, each once; listed files that do not exist are passed over.
+
+    ``root`` is listed once.  The list comes to the driver in batches of about ``batch`` paths, and a batch's texts are stored before
+    the next one comes; only listed files are opened.  Runs jobs.
     """
-    listed = manifest_paths(spark, manifests).select(
-        F.regexp_replace("file", r"^(?:file:)?/+", "/").alias("_path")
-    )
-    found = error_files(spark, root, name).withColumn(
-        "_path", F.regexp_replace("file", r"^(?:file:)?/+", "/")
-    )
-    return found.join(listed.distinct(), "_path", "left_semi").drop("_path")
+    files = _named_files(spark, root, name)
+    listed = manifest_paths(spark, manifests).select(F.regexp_replace("file", r"^(?:file:)?/+", "/").alias("path")).distinct()
+    stored = new_work_path(spark, "manifest-texts")
+    batches = listed.count() // batch + 1
+    rows = _texts_of(files)
+    rows.limit(0).write.parquet(stored)
+    for turn in range(batches):
+        paths = [r["path"] for r in listed.where(F.pmod(F.xxhash64("path"), F.lit(batches)) == turn).collect()]
+        if paths:
+            _texts_of(listed_files(files, paths, root)).write.mode("append").parquet(stored)
+    return spark.read.schema(rows.schema).parquet(stored)
 
 
 def run_results(spark: SparkSession, run_dir: str) -> DataFrame:

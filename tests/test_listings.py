@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from irquarry.functions.text import split_lines
-from irquarry.operators import listings
+from irquarry.operators import listing_chunks, listings
 
 
 def functions_by_lines(text):
@@ -88,3 +88,33 @@ def test_report(table):
     assert len(rows) == 1 and rows[0]["undefined"] == ["h"] and rows[0]["under_test"] == "f" and rows[0]["has_main"]
     calls = listings.callers_of(df.where("doc = 0"), "doc", "listing", "wrapper").collect()
     assert [(r["caller"], r["line"].strip()) for r in calls] == [("main", "movl $1, %edi"), ("main", "callq f")]
+
+
+def test_listings_of_many_chunks(table):
+    texts = random_listings(3, 250)
+    df = table([(i, t, "f") for i, t in enumerate(texts)], "doc long, text string, symbol string")
+    for size in (1, 3, 7):
+        chunks = listing_chunks.line_chunks(df, "doc", "text", ["symbol"], size)
+        assert chunks.agg(F.max(F.size("lines"))).head()[0] == size
+        got, firsts = {}, {}
+        for r in listing_chunks.functions(chunks, "doc", size).collect():
+            got.setdefault(r["doc"], {})[r["name"]] = r["lines"]
+        assert got == {i: w for i, t in enumerate(texts) if (w := functions_by_lines(t))}
+        for r in listing_chunks.names(chunks, "doc", False, size).collect():
+            firsts.setdefault(r["doc"], []).append((r["first"], r["name"]))
+        assert {i: min(f)[1] for i, f in firsts.items()} == {i: next(iter(w)) for i, t in enumerate(texts) if (w := functions_by_lines(t))}
+        for arch in ("amd64_sysv", "amd64_win", "x86"):
+            lines = {}
+            for r in listing_chunks.call_lines(chunks, "doc", "symbol", arch).collect():
+                lines.setdefault(r["doc"], []).append(r["line_no"] - 1)
+                assert texts[r["doc"]].splitlines()[r["line_no"] - 1] == r["line"]
+            want = {i: context_by_lines(t.splitlines(), "f", listings.setup_pattern(arch)) for i, t in enumerate(texts)}
+            assert {i: sorted(n) for i, n in lines.items()} == {i: n for i, n in want.items() if n}
+
+
+def test_set_up_lines_reach_over_chunks_without_other_lines(table):
+    text = "\n".join(["nop", *["\tmovl\t$1, %edi"] * 20, "\tcallq\tf", *["\tmovl\t$1, %edi"] * 5, "nop"])
+    df = table([(0, text, "f"), (1, None, "f"), (2, "", "f")], "doc long, text string, symbol string")
+    chunks = listing_chunks.line_chunks(df, "doc", "text", ["symbol"], 4)
+    got = sorted(r["line_no"] for r in listing_chunks.call_lines(chunks, "doc", "symbol", "amd64_sysv").collect())
+    assert got == list(range(2, 23))

@@ -1,6 +1,7 @@
 """Stages: commands, compiler presets, chains, embedding, generation, caching."""
 
 import shutil
+import time
 
 import pytest
 
@@ -81,6 +82,45 @@ def test_cached_stage_appends_once(spark, table, tmp_path):
     assert seen.value == 3
 
 
+def test_a_hanging_call_ends_at_its_deadline(table):
+    prompts = table([(i, -1, "hang" if i == 3 else "slow once" if i == 5 else f"p{i}") for i in range(8)], "idx long, retry int, prompt string")
+
+    def generate(texts):
+        if "hang" in texts:
+            time.sleep(60)
+        return [[t.upper()] for t in texts]
+
+    start = time.monotonic()
+    answers = stages.generation_stage(prompts.coalesce(1), generate, batch_size=4, timeout=1.0).cache()
+    assert sorted((r["idx"], r["content"]) for r in answers.collect()) == sorted((i, "SLOW ONCE" if i == 5 else f"P{i}") for i in range(8) if i != 3)
+    assert time.monotonic() - start < 30
+    assert [r["idx"] for r in stages.unanswered(prompts, answers).collect()] == [3]
+    answers.unpersist()
+
+
+def test_the_second_attempt_answers_for_a_hanging_first():
+    calls = []
+
+    def call(texts):
+        calls.append(texts)
+        if len(calls) == 1:
+            time.sleep(60)
+        return [t + "!" for t in texts]
+
+    assert stages.with_deadline(call, 20, 0.1)(["a"]) == ["a!"] and len(calls) == 2
+    with pytest.raises(TimeoutError):
+        stages.with_deadline(lambda texts: time.sleep(5), 0.2)(["a"])
+    failures = []
+
+    def broken(texts):
+        failures.append(texts)
+        raise ValueError("no")
+
+    with pytest.raises(ValueError):
+        stages.with_deadline(broken, 20, 0.1)(["a"])
+    assert len(failures) == 1
+
+
 def test_strategy_outcomes(table):
     df = table([(0, True, None, True, False, None)], "idx long, predict_compile_success boolean, predict_execution_success boolean, target_compile_success boolean, target_execution_success boolean, error string")
     assert tuple(stages.strategy_outcomes(df).head()) == (0, True, False, True, False, "")
