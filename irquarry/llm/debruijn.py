@@ -417,7 +417,9 @@ def repeated_spans(
     segments = with_source(_segments(dealt, answers, windows, bits), ["source", "target", "digest", "number"])
     own = segments.where("first.doc = here.doc and last >= here.doc").select("here.chunk", "here.doc", "here.tag", "here.place")
     edges = with_source(_edges(dealt, answers, own, windows, bits), ["source", "target"])
-    by_segment = _lost(segments.where("last >= here.doc"), "number").join(paths(segments), ["first_doc", "first_place"])
+    lost = segments.where("last >= here.doc and (here.spots is not null or here.doc > first.doc)")
+    lost = lost.withColumns({"first_doc": F.col("first.doc"), "first_place": F.col("first.place")})
+    by_segment = _lost(lost.join(paths(segments), ["first_doc", "first_place"]), "number", "path_start")
     # windows of segments that are marked in part run along their source
     by_window = _lost(edges).withColumns({"number": F.lit(1), "path_start": F.lit(-1)})
     found = by_segment.unionByName(by_window)

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from irquarry.llm.common import measured, named, stored
+from irquarry.operators.clusters import similar_blocks
 
 SHINGLE_WORDS = 4
 #: Words of a shingle and least Jaccard similarity of ``keep_one``, and its min-hash bands.  At the least similarity a
@@ -43,6 +44,10 @@ BANDS = 30
 BAND_ROWS = 6
 HASH_SEED = 42
 RADIUS = 4
+#: Pairs that a left text meets in one task; members and bytes of a part of a group of near copies.
+PAIR_ROWS = 4096
+CELL_ROWS = 4096
+CELL_BYTES = 16 << 20
 #: (shift, width) of the blocks of a fingerprint.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 #: Fingerprints a shard is meant to hold, rows a task is given, and fingerprints the upper tree is fitted on.
@@ -351,10 +356,15 @@ def bands(shingles: np.ndarray) -> list[int]:
 
 
 def _similar_pairs(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The pairs (left, right) of nodes whose texts, from ``bodies`` (node, body), are similar."""
-    one = bodies.select(F.col("node").alias("left"), F.col("body").alias("left_body"))
-    two = bodies.select(F.col("node").alias("right"), F.col("body").alias("right_body"))
-    joined = pairs.join(two, "right").join(one, "left").select("left", "right", "left_body", "right_body")
+    """The pairs (left, right; a stored table) of nodes whose texts, from ``bodies`` (node, body), are similar.
+
+    A left text goes once to every part of its pairs, and parts are as many as bound the pairs of one.
+    """
+    parts = pairs.count() // PAIR_ROWS + 1
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("right"), F.lit(parts)))
+    one = dealt.select("left", "part").distinct().join(bodies.withColumnsRenamed({"node": "left", "body": "left_body"}), "left")
+    two = bodies.withColumnsRenamed({"node": "right", "body": "right_body"})
+    joined = dealt.join(two, "right").join(one, ["left", "part"]).select("left", "right", "left_body", "right_body")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple[int | None, np.ndarray] = (None, np.array([], np.uint64))
@@ -371,12 +381,46 @@ def _similar_pairs(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     return joined.mapInArrow(check, "left long, right long")
 
 
+def cells(members: DataFrame, bodies: DataFrame) -> DataFrame:
+    """``members`` (node, label, group) with their texts, dealt into cells: all of a small group, a pair of parts of a large one.
+
+    A member has one row for each part of its group, and a part holds about CELL_ROWS members or CELL_BYTES of text.
+    """
+    rows = members.join(bodies, "node")
+    size = F.greatest(F.ceil(F.count("*") / CELL_ROWS), F.ceil(F.sum(F.octet_length("body").cast("long")) / CELL_BYTES), F.lit(1))
+    sizes = rows.groupBy("group").agg(size.cast("int").alias("parts"))
+    rows = rows.join(sizes, "group").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.select("group", low.alias("row"), high.alias("col"), "part", "node", "label", "body")
+
+
+def _similar_in_groups(members: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Spanning edges (left, right) of the similar members of each group, labels included."""
+
+    def compare(cell: pa.Table) -> pa.Table:
+        node, label, part = (cell[c].to_numpy() for c in ("node", "label", "part"))
+        sets = [shingle_set(b) for b in cell["body"].to_pylist()]
+        row, col = cell["row"][0].as_py(), cell["col"][0].as_py()
+        sides = [np.flatnonzero(part == p) for p in (row, col)]
+        forest = _Forest(np.concatenate([node, label]))
+        forest.add(node, label)
+        if len(sides[0]) and len(sides[1]):
+            for a, b in similar_blocks(*([sets[i] for i in side] for side in sides), SIMILARITY):
+                forest.add(node[sides[0][a]], node[sides[1][b]])
+        left, right = forest.edges()
+        return pa.table({"left": left, "right": right})
+
+    return cells(members, bodies).groupBy("group", "row", "col").applyInArrow(compare, "left long, right long")
+
+
 def similar_components(rows: DataFrame) -> DataFrame:
     """(node, label) of the nodes linked with another by texts of similarity SIMILARITY or more.
 
     ``rows`` (stored; read several times) has row_key, node, print, bands and body.  Candidates are what SimHash links and what
-    shares a band, and every link is checked on both texts.  Members of a bucket meet its first member; what is still
-    apart after that meets in pairs, so a large group of copies is not compared pair by pair.
+    shares a band, and every link is checked on both texts.  Members of a bucket meet its first member; labels that still share
+    a bucket make a group, whose members are compared within bounded cells.  Each step has a row per member and bucket at
+    most, and a cell hands on spanning edges only; a group of n members costs n rows, or n for each CELL_ROWS members of a large one.
     """
     nodes = rows.groupBy("node").agg(F.min(F.struct("row_key", "print", "bands")).alias("it")).select("node", "it.*")
     nodes = stored(nodes, "dedup-nodes")
@@ -399,13 +443,15 @@ def similar_components(rows: DataFrame) -> DataFrame:
 
     labels = components(edges)
     placed = shared.join(labels, "node", "left").select("band", "key", "node", F.coalesce("label", "node").alias("label"))
-    apart = placed.groupBy("band", "key").agg((F.min("label") != F.max("label")).alias("apart")).where("apart")
-    placed = stored(placed.join(apart.drop("apart"), ["band", "key"]), "dedup-apart")
-    a = placed.select("band", "key", F.col("node").alias("left"), F.col("label").alias("left_label"))
-    b = placed.select("band", "key", F.col("node").alias("right"), F.col("label").alias("right_label"))
-    pairs = a.join(b, ["band", "key"]).where("left < right and left_label <> right_label").select("left", "right").distinct()
-    more = stored(_similar_pairs(pairs.join(candidates, ["left", "right"], "left_anti"), bodies), "dedup-similar")
-    return labels if more.isEmpty() else components(edges.union(more))
+    apart = placed.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    placed = stored(placed.join(apart.drop("high"), ["band", "key"]), "dedup-apart")
+    if placed.isEmpty():
+        return labels
+    groups = components(placed.select(F.col("low").alias("left"), F.col("label").alias("right")))
+    groups = groups.select(F.col("node").alias("label"), F.col("label").alias("group"))
+    members = stored(placed.select("node", "label").distinct().join(groups, "label"), "dedup-members")
+    more = stored(_similar_in_groups(members, bodies), "dedup-similar")
+    return components(edges.union(more))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
