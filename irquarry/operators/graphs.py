@@ -227,7 +227,7 @@ _BRANCH = ["graph_id", "branch"]
 def isomorphic(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Exact label-free equality of both sides of every graph.
 
-    Colours are refined until no class splits; graphs whose sides disagree differ.  Where every colour is unique on a side,
+    Sides that agree without renaming are equal.  For others colours are refined until no class splits; graphs whose sides disagree differ.  Where every colour is unique on a side,
     colours are a mapping of the nodes and the edges decide.  Other graphs branch: a node is singled out on one side
     and, in a branch each, the nodes of its class on the other; branches are refined alike, all as rows of the same joins,
     and those whose sides disagree end.  Before that, the whole class is paired by node number, which settles
@@ -240,10 +240,22 @@ def isomorphic(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     known = arcs.select("graph_id", "side", "node")
     if nodes is not None:
         known = known.unionByName(_coded(nodes).select("graph_id", "side", "node"))
-    start = known.distinct().withColumns({"branch": F.lit(0).cast("long"), "colour": F.lit(0).cast("long")})
-    start = _stored(start, "colours")
+    known = _stored(known.distinct(), "nodes")
+    # sides that agree as they are need no mapping, sides of different sizes have none
+    sides = known.groupBy("graph_id", "node").agg(F.count(F.lit(1)).alias("_in"), F.sum(F.when(F.col("side") == 0, 1).otherwise(-1)).alias("_more"))
+    nodes_alike = sides.groupBy("graph_id").agg((F.min("_in") == 2).alias("_same"), (F.sum("_more") == 0).alias("_fits"))
+    pairs = unique.groupBy("graph_id", "src", "dst").agg(F.count(F.lit(1)).alias("_in"), F.sum(F.when(F.col("side") == 0, 1).otherwise(-1)).alias("_more"))
+    edges_alike = pairs.groupBy("graph_id").agg((F.min("_in") == 2).alias("_same_edges"), (F.sum("_more") == 0).alias("_fit_edges"))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(True))
+    graphs = nodes_alike.join(edges_alike, "graph_id", "left").select(
+        "graph_id", (F.col("_same") & yes("_same_edges")).alias("_same"), (F.col("_fits") & yes("_fit_edges")).alias("_fits")
+    )
+    graphs = _stored(graphs, "graphs")
+    start = known.join(graphs.where("_fits and not _same"), "graph_id", "left_semi")
+    start = start.withColumns({"branch": F.lit(0).cast("long"), "colour": F.lit(0).cast("long")})
+    start = _stored(start.select("graph_id", "branch", "side", "node", "colour"), "colours")
     equal = _search(unique, arcs, *_refined(arcs, start)).withColumn("isomorphic", F.lit(True))
-    graphs = start.select("graph_id").distinct().join(equal, "graph_id", "left")
+    graphs = graphs.join(equal, "graph_id", "left").withColumn("isomorphic", F.coalesce("isomorphic", "_same"))
     return graphs.select("graph_id", F.coalesce("isomorphic", F.lit(False)).alias("isomorphic"))
 
 
