@@ -40,9 +40,7 @@ WHOLE_BANDS = (
 #: Least and largest ratio of a chunk, and the percentage of chunks that may lie outside.
 CHUNK_BAND = (0.30, 0.76)
 MAX_ODD_CHUNKS_PERCENT = 10
-#: Good texts the limits are fitted on, at most; the share of them left outside on either side, of texts and of chunks;
-#: and texts or chunks that a class of lengths needs.
-SAMPLE = 20000
+#: The share of good texts left outside on either side, of texts and of chunks, and texts or chunks that a class of lengths needs.
 WHOLE_TAIL = 0.005
 CHUNK_TAIL = 0.002
 MIN_KNOWN = 8
@@ -141,17 +139,16 @@ def verdict(body: bytes, bands: Bands = WIDE) -> tuple:
     return len(words), chars, symbols, duplicate_lines(body), repeats, failed, whole, odd, chunks, kept
 
 
-def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Bands:
-    """Limits from the texts that ``labels`` (doc_id, label) calls good (1) and the base rule passes.
+def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Bands:
+    """Limits from all texts that ``labels`` (doc_id, label) calls good (1) and the base rule passes.
 
     Per class of lengths the outer quantiles of the ratio, moved away from the median by a share that shrinks with the
     number of texts known.
     """
     known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     chosen = known.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("label").alias("least"))
-    chosen = chosen.where("least = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded: may be broadcast
     rows = docs.select(named(doc_id).alias("doc_id"), named(text).alias("body"))
-    drawn = one_text(rows.join(F.broadcast(chosen.select("doc_id")), "doc_id"))
+    good = one_text(rows.join(chosen.where("least = 1").select("doc_id"), "doc_id"))
 
     def compute(bodies: list[bytes | None]) -> list[tuple]:
         found = []
@@ -165,7 +162,7 @@ def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             found.append(([dict(zip(("whole", "class", "ratio"), c)) for c in cells],))
         return found
 
-    cells = measured(drawn, "body", "cells array<struct<whole: boolean, class: int, ratio: double>>", compute, [])
+    cells = measured(good, "body", "cells array<struct<whole: boolean, class: int, ratio: double>>", compute, [])
     cells = cells.select(F.inline("out.cells"))
     quantiles = {
         "whole_low": WHOLE_TAIL,

@@ -67,6 +67,18 @@ def test_junk_in_a_fifth_of_a_text(table):
     assert quality_rules.fitted(docs.limit(0), labels) == quality_rules.WIDE
 
 
+def test_bands_are_fitted_on_every_good_text(spark, table):
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdefghijklmnoprstu"), 5)) for _ in range(120)]
+    prose = [" ".join(rng.permutation(words).tolist()) for _ in range(8)]
+    known = {quality_rules.whole_class(len(p.encode())) for p in prose}
+    rows = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
+    rows = rows.unionByName(table([(-1 - i, p) for i, p in enumerate(prose)], "doc_id long, text string"))
+    labels = rows.select("doc_id", F.lit(1).alias("label"))
+    bands = quality_rules.fitted(rows, labels)
+    assert len(known) == 1 and set(bands.wholes) == known
+
+
 def test_compression_bands(table):
     rng = np.random.default_rng(3)
     words = ["".join(rng.choice(list("abcdefghijklmnoprstu"), rng.integers(2, 9))) for _ in range(300)]
