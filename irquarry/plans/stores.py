@@ -118,6 +118,10 @@ def results_as_lines(spark, sf_dir):
     )
 
 
+#: Small files that one task writes, about.
+FILES_A_TASK = 256
+
+
 def _error_files(spark, sf_dir):
     """One error file per supplier, in a folder of its nation."""
     number = F.col("s_suppkey")
@@ -131,7 +135,9 @@ def _error_files(spark, sf_dir):
     )
     rows = views.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), number.alias("supplier"), text)
     path = new_work_path(spark, "errors")
-    rows.write.partitionBy("nation", "supplier").text(path)
+    # a file costs far more than its row, so a small table is still many tasks
+    tasks = rows.count() // FILES_A_TASK + 1
+    rows.repartition(tasks, "nation", "supplier").write.partitionBy("nation", "supplier").text(path)
     return path
 
 
@@ -161,7 +167,7 @@ FROM supplier WHERE s_suppkey % 3 = 0 OR s_suppkey % 4 = 1"""
 def error_index_of_manifests(spark, sf_dir):
     """Error types of the files that two manifests list; a file that both list counts once."""
     root = _error_files(spark, sf_dir)
-    listed = readers.error_files(spark, root, "part-*.txt").select("file", _supplier())
+    listed = readers.error_paths(spark, root, "part-*.txt").select("file", _supplier())
     manifests = []
     for wanted in ("supplier % 3 = 0", "supplier % 4 = 1 OR supplier % 6 = 0"):
         manifests.append(new_work_path(spark, "manifest"))

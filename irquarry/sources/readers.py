@@ -180,8 +180,20 @@ def _unioned(rows: DataFrame) -> DataFrame:
     ).select(*[c.split()[0] for c in PREDICTIONS.split(", ")])
 
 
-def _named_files(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True)
+#: Tasks that list the folders of one level.
+LISTING_TASKS = 64
+_LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+def _named_files(spark: SparkSession, root: str, name: str, source: str = "text") -> DataFrame:
+    """Files of one name below a folder.  A task lists many folders: a task for each is what Spark does with up to 10,000 of them."""
+    before = spark.conf.get(_LISTING)
+    spark.conf.set(_LISTING, str(min(int(before), LISTING_TASKS)))
+    try:
+        reader = spark.read.format(source).option("recursiveFileLookup", True).option("pathGlobFilter", name)
+        return reader.options(**({"wholetext": True} if source == "text" else {})).load(root)
+    finally:
+        spark.conf.set(_LISTING, before)
 
 
 def _texts_of(files: DataFrame) -> DataFrame:
@@ -193,6 +205,11 @@ def error_files(spark: SparkSession, root: str, name: str = "error_predict.error
     return _texts_of(_named_files(spark, root, name))
 
 
+def error_paths(spark: SparkSession, root: str, name: str = "error_predict.error") -> DataFrame:
+    """The paths of the same files, of which none is opened."""
+    return _named_files(spark, root, name, "binaryFile").select(F.col("_metadata.file_path").alias("file"))
+
+
 def manifest_paths(spark: SparkSession, manifests: str | list[str]) -> DataFrame:
     """File paths of one or more manifests, one per line, stripped."""
     return spark.read.text(manifests).select(strip(F.col("value")).alias("file")).where("file <> ''")
@@ -217,24 +234,35 @@ def listed_files(files: DataFrame, paths: list[str], root: str) -> DataFrame:
     return files.where(F.col("_metadata.file_path").isin([u for p in paths for u in _uris(p, root)]))
 
 
+def listed_files(files: DataFrame, paths: list[str], root: str) -> DataFrame:
+    """Rows of those files only: the filter on the path is settled when files are listed, so no other file is opened."""
+    return files.where(F.col("_metadata.file_path").isin([u for p in paths for u in _uris(p, root)]))
+
+
 def manifest_errors(
     spark: SparkSession, manifests: str | list[str], root: str, name: str = "*", batch: int = MANIFEST_BATCH
 ) -> DataFrame:
     """Texts of the files below ``root`` that manifests list, each once; listed files that do not exist are passed over.
 
-    ``root`` is listed once.  The list comes to the driver in batches of about ``batch`` paths, and a batch's texts are stored before
-    the next one comes; only listed files are opened.  Runs jobs.
+    Which listed files exist is settled by a join with the paths below ``root``, as Spark spells them.  Those that do come to the driver
+    in batches of about ``batch`` paths, and a batch's texts are stored before the next one comes; only listed files are opened.  Runs jobs.
     """
     files = _named_files(spark, root, name)
     listed = manifest_paths(spark, manifests).select(F.regexp_replace("file", r"^(?:file:)?/+", "/").alias("path")).distinct()
+    spelled = F.udf(lambda path: _uris(path, root), "array<string>")
+    uris = listed.select(F.explode(spelled("path")).alias("file")).distinct()
+    found = new_work_path(spark, "manifest-files")
+    error_paths(spark, root, name).join(uris, "file", "left_semi").write.parquet(found)
+    known = spark.read.schema("file string").parquet(found)
     stored = new_work_path(spark, "manifest-texts")
-    batches = listed.count() // batch + 1
+    batches = known.count() // batch + 1
     rows = _texts_of(files)
     rows.limit(0).write.parquet(stored)
     for turn in range(batches):
-        paths = [r["path"] for r in listed.where(F.pmod(F.xxhash64("path"), F.lit(batches)) == turn).collect()]
+        paths = [r["file"] for r in known.where(F.pmod(F.xxhash64("file"), F.lit(batches)) == turn).collect()]
         if paths:
-            _texts_of(listed_files(files, paths, root)).write.mode("append").parquet(stored)
+            chosen = files.where(F.col("_metadata.file_path").isin(paths))
+            _texts_of(chosen).write.mode("append").parquet(stored)
     return spark.read.schema(rows.schema).parquet(stored)
 
 

@@ -5,6 +5,9 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from irquarry.plans import stores
 from irquarry.sources import readers
 
 
@@ -80,3 +83,27 @@ def test_only_listed_files_are_opened(spark, tmp_path):
         assert sorted(r["error_msg"] for r in rows) == sorted(names[:5])
     (tmp_path / "none").write_text("\n")
     assert readers.manifest_errors(spark, str(tmp_path / "none"), str(tmp_path), "*.txt").count() == 0
+
+
+def test_error_files_are_written_and_listed_by_several_tasks(spark, tmp_path, monkeypatch):
+    rows = spark.range(90).select(F.col("id").alias("s_suppkey"), (F.col("id") % 3).alias("s_nationkey"), F.lit("s").alias("s_name"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    monkeypatch.setattr(stores, "FILES_A_TASK", 10)
+    before = spark.conf.get(readers._LISTING)
+    found = stores.error_file_tree(spark, str(tmp_path)).collect()
+    assert sorted(r["supplier"] for r in found) == list(range(90)) and {r["n_lines"] for r in found} == {3}
+    files = [r["file"] for r in readers.error_paths(spark, stores._error_files(spark, str(tmp_path)), "part-*.txt").collect()]
+    assert len(files) == 90 and len({f.split("/part-")[1][:5] for f in files}) > 4
+    assert spark.conf.get(readers._LISTING) == before
+
+
+def test_a_batch_asks_for_each_found_file_once(spark, tmp_path, monkeypatch):
+    for i in range(6):
+        (tmp_path / f"e{i}.txt").write_text(str(i))
+    (tmp_path / "list").write_text("\n".join(str(tmp_path / f"e{i}.txt") for i in range(9)))
+    asked = []
+    isin = type(F.lit(1)).isin
+    monkeypatch.setattr(type(F.lit(1)), "isin", lambda self, *paths: asked.extend(paths[0]) or isin(self, *paths))
+    rows = readers.manifest_errors(spark, str(tmp_path / "list"), str(tmp_path), "*.txt").collect()
+    assert sorted(r["error_msg"] for r in rows) == [str(i) for i in range(6)]
+    assert len(asked) == 6
