@@ -54,14 +54,15 @@ def _search(probes: DataFrame, cells: DataFrame, step: int, with_blocks: bool, r
         )
         right = right.withColumn("_b", F.expr(f"div(c_bb, {reach})"))
         keys.append("_b")
-    best = F.min(F.struct(F.col("_level").alias("level"), F.col("c_idx").alias("idx")))
-    return (
+    # plain numbers are reduced by hash as they are joined; only a row per level is left to the structs, which need a sort
+    levels = (
         left.join(right, keys)
-        .withColumn("_level", _level(step, with_blocks))
-        .where(F.col("_level") < reach)
-        .groupBy("p_bb", "p_tok")
-        .agg(best.alias("best"))
+        .withColumn("level", _level(step, with_blocks))
+        .where(F.col("level") < reach)
+        .groupBy("p_bb", "p_tok", "level")
+        .agg(F.min("c_idx").alias("idx"))
     )
+    return levels.groupBy("p_bb", "p_tok").agg(F.min(F.struct("level", "idx")).alias("best"))
 
 
 def _stored(df: DataFrame, name: str, ddl: str) -> tuple[DataFrame, int]:

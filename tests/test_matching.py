@@ -147,3 +147,15 @@ def test_structural_fingerprint(spark):
     df = _functions(spark, [(0, a, [2]), (1, b, [2]), (2, a.replace("add", "sub"), [2])])
     assert sorted(r["idx"] for r in dedup.blocked_dedup(df).collect()) == [0, 1, 2]
     assert sorted(r["idx"] for r in dedup.blocked_dedup(df, "structural").collect()) == [0, 2]
+
+
+def test_joined_rows_are_reduced_without_a_sort(table):
+    """Pairs of cells that meet are many; they are aggregated by hash, and only a row per level is sorted."""
+    probes = table([(1, 100)], "p_bb long, p_tok long")
+    cells = table([(1, 100 + i, i) for i in range(5)], "c_bb long, c_tok long, c_idx long")
+    best = matching._search(probes, cells, 10, True, 8)
+    assert best.head()["best"] == (0, 0)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    above_join = plan[: plan.index("Join")].rstrip().splitlines()
+    assert any("HashAggregate(keys=[p_bb" in line and "level" in line for line in above_join)
+    assert "HashAggregate(keys=[p_bb" in [line for line in above_join if "Aggregate" in line][-1]
