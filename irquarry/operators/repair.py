@@ -25,6 +25,7 @@ from irquarry.operators.outcomes import (
 from irquarry.operators.prompts import analysis_fix, analysis_prompt, fix_basis, fix_prompt
 from irquarry.operators.stages import cached_stage, read_store, unanswered
 from irquarry.schemas import EVALUATIONS, PROMPTS, RESPONSES
+from irquarry.session import new_work_path
 
 ROUND = ["retry"]
 RECORD_ROUND = ["idx", "retry"]
@@ -125,17 +126,26 @@ def _analysis_prompts(run: RepairRun, records: DataFrame, failed: DataFrame, spa
     return rows.join(first, "idx").select("idx", prompt.alias("next_prompt"))
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = new_work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def repair_loop(records: DataFrame, run: RepairRun) -> DataFrame:
     """Run the first attempt and up to ``num_retry`` repair rounds; returns all evaluations.
 
     ``records(idx, prompt, target_assembly[, c_code])``.  A record leaves the loop when a choice
     executed, in whichever round, the last one included.  The records are stored first: their
-    prompts may come from a search, which must not run again in every round.
+    prompts may come from a search, which must not run again in every round.  A round hands on the
+    records that failed, so later ones do not read and shuffle the texts of the solved.
     """
     spark = records.sparkSession
     config = run.config
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in records.schema)
     records = cached_stage(records, ["idx"], run.path("records"), ddl, lambda df: df)
+    if config.fix_prompt_type != "llm-fix":
+        records = records.drop("target_assembly")
     first = records.select(
         "idx",
         F.lit(-1).alias("retry"),
@@ -143,13 +153,16 @@ def repair_loop(records: DataFrame, run: RepairRun) -> DataFrame:
         "prompt",
     )
     previous = _run_round(run, first, -1)
+    still_open = records
     for retry in range(config.num_retry):
         if previous is None:
             break
         basis = _failed_basis(run, previous)
-        rows = records.join(basis, "idx")
+        rows = _stored(still_open.join(basis, "idx"), "open")
+        still_open = rows.select(*records.columns)
+        basis = rows.select(*basis.columns)
         if config.fix_prompt_type == "llm-fix":
-            analysed = _analysis_prompts(run, records, basis.select("idx"), spark, retry)
+            analysed = _analysis_prompts(run, still_open, basis.select("idx"), spark, retry)
             rows = rows.join(analysed, "idx", "left")
             # Records without any compiled candidate get the compile fix.
             prompt = F.coalesce("next_prompt", fix_prompt(config, F.col("prompt")))

@@ -12,7 +12,7 @@ import subprocess
 import tempfile
 import threading
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
@@ -76,13 +76,27 @@ def run_command(
         return call(command, None, target)
 
 
+#: Bytes of a batch whose results are held at once.
+PART_BYTES = 4 << 20
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of at most PART_BYTES, a row that is larger alone."""
+    if batch.num_rows <= 1 or batch.nbytes <= PART_BYTES:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from _parts(batch.slice(0, half))
+        yield from _parts(batch.slice(half))
+
+
 def _with_column(df: DataFrame, name: str, ddl: str, compute: Callable[[pa.RecordBatch], list]) -> DataFrame:
-    """Append a column computed from whole batches; None entries drop nothing."""
+    """Append a column computed from parts of batches; None entries drop nothing."""
     schema = StructType(list(df.schema.fields)).add(name, struct(f"x {ddl}")["x"].dataType)
     arrow_type = to_arrow_type(schema[name].dataType)
 
     def each(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             values = pa.array(compute(batch) if batch.num_rows else [], type=arrow_type)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, values], names=[*batch.schema.names, name]
@@ -291,14 +305,19 @@ def unanswered(prompts: DataFrame, responses: DataFrame) -> DataFrame:
     return prompts.join(responses.select("idx", "retry").distinct(), ["idx", "retry"], "left_anti")
 
 
-def read_store(spark, path: str, ddl: str) -> DataFrame:
-    """A stored table, empty while nothing was written."""
+def _found_store(spark, path: str, ddl: str) -> DataFrame | None:
     try:
         return spark.read.schema(ddl).parquet(path)
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], struct(ddl))
+        return None
+
+
+def read_store(spark, path: str, ddl: str) -> DataFrame:
+    """A stored table, empty while nothing was written."""
+    found = _found_store(spark, path, ddl)
+    return spark.createDataFrame([], struct(ddl)) if found is None else found
 
 
 def cached_stage(
@@ -321,7 +340,9 @@ def cached_stage(
         table = read_store(spark, store, ddl)
         return table if only is None else table.where(only)
 
-    todo = df.join(stored().select(*keys).distinct(), keys, "left_anti")
+    # a store not written yet lacks every row: none is shuffled to find that out
+    new = _found_store(spark, store, ddl) is None
+    todo = df if new else df.join(stored().select(*keys).distinct(), keys, "left_anti")
     names = struct(ddl).fieldNames()
     writer = derive(todo).select(*names).write.mode("append")
     if partition_by:

@@ -155,3 +155,27 @@ def test_trace_prompt(evaluate):
     assert got == "I" + prompt_texts.TRACE_FIX.format(
         predict_llvm_ir="P", predict_assembly="A", target_execution_trace="B", predict_execution_trace="C"
     )
+
+
+def test_a_round_reads_only_the_records_still_open(spark, tmp_path):
+    """Each round hands on the records that failed; a store not written yet is not joined."""
+
+    def generate(df):
+        return df.select("idx", "retry", F.lit(0).alias("choice"), F.lit("x").alias("content"), F.lit(None).cast("string").alias("reasoning"))
+
+    def evaluate(df):
+        ok = F.col("idx") <= F.col("retry") + 1
+        return df.withColumns(
+            {"compile_success": ok, "execution_success": ok, "error_msg": F.lit("e"), "assembly": F.lit("a")}
+        )
+
+    records = spark.range(4).select(F.col("id").alias("idx"), F.lit("p").alias("prompt"), F.lit("t").alias("target_assembly"))
+    run = repair.RepairRun(store=str(tmp_path / "run"), config=JobConfig(), generate=generate, evaluate=evaluate)
+    stored, write = [], repair._stored
+    repair._stored = lambda df, name: stored.append(write(df, name)) or stored[-1]
+    try:
+        rows = repair.repair_loop(records, run)
+    finally:
+        repair._stored = write
+    assert sorted((r["idx"], r["retry"]) for r in rows.collect()) == [(i, r - 1) for i in range(4) for r in range(i + 1)]
+    assert [df.count() for df in stored] == [3, 2, 1, 0]
