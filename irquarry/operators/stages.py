@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import os
 import queue
+import select
 import subprocess
 import tempfile
 import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import ExitStack
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -35,6 +38,55 @@ def _text(raw: bytes | str | None) -> str:
     return raw.decode("utf-8", "replace") if isinstance(raw, bytes) else raw
 
 
+def _scratch(name: str) -> BinaryIO:
+    """A file of no name, in memory where the system has that."""
+    if hasattr(os, "memfd_create"):
+        return open(os.memfd_create(name), "w+b", buffering=0)
+    return tempfile.TemporaryFile(buffering=0)
+
+
+def _ended(process: subprocess.Popen, timeout: float) -> bool:
+    """Whether the process ends in time; waits on its handle where the system has one, not in steps."""
+    try:
+        handle = os.pidfd_open(process.pid)
+    except (AttributeError, OSError):
+        try:
+            process.wait(timeout)
+        except subprocess.TimeoutExpired:
+            return False
+        return True
+    try:
+        waiting = select.poll()
+        waiting.register(handle, select.POLLIN)
+        return bool(waiting.poll(None if timeout is None else timeout * 1000))
+    finally:
+        os.close(handle)
+
+
+def _finished(command: list[str], stdin: bytes | None, timeout: float) -> tuple[int | None, bytes, bytes]:
+    """Exit code (null when time ran out), output and errors; streams are files, as pipes to a short command take longer than itself."""
+    with ExitStack() as files:
+        source = None
+        if stdin is not None:
+            source = files.enter_context(_scratch("stdin"))
+            rest = memoryview(stdin)
+            while rest:
+                rest = rest[source.write(rest) :]
+            source.seek(0)
+        out, err = (files.enter_context(_scratch(name)) for name in ("stdout", "stderr"))
+        process = subprocess.Popen(command, stdin=source, stdout=out, stderr=err)
+        in_time = False
+        try:
+            in_time = _ended(process, timeout)
+        finally:
+            if not in_time:
+                process.kill()
+            process.wait()
+        for stream in (out, err):
+            stream.seek(0)
+        return process.returncode if in_time else None, out.read(), err.read()
+
+
 def run_command(
     argv: Sequence[str], text: str | None, timeout: float, work_dir: str | None = None
 ) -> dict:
@@ -47,16 +99,8 @@ def run_command(
     def call(command: Sequence[str], stdin: str | None, output: str | None) -> dict:
         result = dict(rc=None, stdout="", stderr="", output=None, timed_out=False)
         try:
-            done = subprocess.run(
-                list(command),
-                input=None if stdin is None else stdin.encode("utf-8"),
-                capture_output=True,
-                timeout=timeout,
-                check=False,
-            )
-            result.update(rc=done.returncode, stdout=_text(done.stdout), stderr=_text(done.stderr))
-        except subprocess.TimeoutExpired as late:
-            result.update(stdout=_text(late.stdout), stderr=_text(late.stderr), timed_out=True)
+            rc, out, err = _finished(list(command), None if stdin is None else stdin.encode("utf-8"), timeout)
+            result.update(rc=rc, stdout=_text(out), stderr=_text(err), timed_out=rc is None)
         except OSError as broken:
             result.update(stderr=str(broken))
         if output is not None and os.path.exists(output):

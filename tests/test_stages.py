@@ -5,6 +5,8 @@ import time
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from irquarry.operators import stages
 
 GOOD_IR = "define i32 @f(i32 %x) {\n  %y = add i32 %x, 1\n  ret i32 %y\n}\n"
@@ -124,3 +126,21 @@ def test_the_second_attempt_answers_for_a_hanging_first():
 def test_strategy_outcomes(table):
     df = table([(0, True, None, True, False, None)], "idx long, predict_compile_success boolean, predict_execution_success boolean, target_compile_success boolean, target_execution_success boolean, error string")
     assert tuple(stages.strategy_outcomes(df).head()) == (0, True, False, True, False, "")
+
+
+def test_commands_read_and_write_files(table):
+    """No pipes, whose set-up takes longer than a short command; large texts need no reader beside the writer."""
+    kinds = stages.run_command(["stat", "-L", "-c", "%F", "/dev/stdin", "/dev/stdout"], "x", 10)
+    assert kinds["rc"] == 0 and all(line.startswith("regular") for line in kinds["stdout"].splitlines())
+    text = "é" * (1 << 20)
+    assert stages.run_command(["cat"], text, 10)["stdout"] == text
+    late = stages.run_command(["sh", "-c", "echo early; exec sleep 9"], "x", 0.3)
+    assert (late["rc"], late["stdout"], late["timed_out"]) == (None, "early\n", True)
+
+
+def test_batches_are_computed_in_bounded_parts(spark):
+    """Many long texts of one batch are never held with all their results."""
+    df = spark.range(0, 64, 1, 1).select("id", F.repeat(F.lit("x"), 1 << 18).alias("text"))
+    seen = stages._with_column(df, "rows", "LONG", lambda batch: [batch.num_rows] * batch.num_rows)
+    sizes = [r["rows"] for r in seen.select("id", "rows").orderBy("id").collect()]
+    assert len(sizes) == 64 and max(sizes) <= stages.PART_BYTES >> 18
