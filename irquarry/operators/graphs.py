@@ -191,8 +191,41 @@ def wl_equal(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 3)
 
     Agreement is necessary for isomorphism, not sufficient.
     """
-    colours = refine_colours(_stored_edges(edges), nodes, rounds, store_last=False)
-    return _compare(colours, F.col("colour"), ["graph_id"]).select("graph_id", "wl_equal")
+    unique = _stored_edges(edges)
+    graphs = _stored(_first_round(unique, nodes), "graphs")
+    still_open = graphs.where("_alike and not _same").select("graph_id")
+    unique = _stored(unique.join(still_open, "graph_id", "left_semi"), "edges")
+    if nodes is not None:
+        nodes = nodes.join(still_open, "graph_id", "left_semi")
+    colours = refine_colours(unique, nodes, rounds, store_last=False)
+    refined = _compare(colours, F.col("colour"), ["graph_id"]).select("graph_id", "wl_equal")
+    # nodes of no graph (null) meet in no join: for them the first round is the last
+    settled = F.when(F.col("graph_id").isNull(), F.col("_alike")).otherwise(F.col("_same"))
+    return graphs.join(refined, "graph_id", "left").select("graph_id", F.coalesce("wl_equal", settled).alias("wl_equal"))
+
+
+def _first_round(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Per graph whether both sides agree as they are (``_same``) and in the colours of the first round (``_alike``), without a join.
+
+    Sides that differ in these colours differ in those of all later rounds.
+    """
+    key = ["graph_id", "side", "node"]
+    arc = lambda a, far, way: F.struct(F.col(a).alias("node"), F.col(far).alias("far"), F.lit(way).cast("byte").alias("way"))
+    arcs = edges.select("graph_id", "side", F.inline(F.array(arc("src", "dst", 0), arc("dst", "src", 1))))
+    seen = arcs.select(*key, F.xxhash64("way").alias("_h"), F.xxhash64("way", "far").alias("_named"))
+    if nodes is not None:
+        none = [F.lit(None).cast("long").alias(c) for c in ("_h", "_named")]
+        seen = seen.unionByName(_coded(nodes).select(*key, *none))
+    of_node = seen.groupBy(*key).agg(
+        F.xxhash64(*_digest(F.col("_h"))).alias("colour"), F.xxhash64(*_digest(F.col("_named"))).alias("_named")
+    )
+
+    def agree(value: Column) -> Column:
+        sides = [F.struct(*_digest(F.when(F.col("side") == code, value))) for code in range(len(SIDES))]
+        return sides[0] == sides[1]
+
+    same = agree(F.xxhash64("node", "_named"))
+    return of_node.groupBy("graph_id").agg(agree(F.col("colour")).alias("_alike"), same.alias("_same"))
 
 
 def _compare(coloured: DataFrame, value: Column, by: list[str]) -> DataFrame:
@@ -251,7 +284,11 @@ def isomorphic(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         "graph_id", (F.col("_same") & yes("_same_edges")).alias("_same"), (F.col("_fits") & yes("_fit_edges")).alias("_fits")
     )
     graphs = _stored(graphs, "graphs")
-    start = known.join(graphs.where("_fits and not _same"), "graph_id", "left_semi")
+    # nor have sides whose nodes differ in their numbers of arcs; the rounds read the arcs of the graphs that are left
+    alike = _first_round(unique, nodes).where("_alike").select("graph_id")
+    still_open = _stored(graphs.where("_fits and not _same").select("graph_id").join(alike, "graph_id", "left_semi"), "open")
+    unique, arcs = (_stored(df.join(still_open, "graph_id", "left_semi"), name) for df, name in ((unique, "edges"), (arcs, "arcs")))
+    start = known.join(still_open, "graph_id", "left_semi")
     start = start.withColumns({"branch": F.lit(0).cast("long"), "colour": F.lit(0).cast("long")})
     start = _stored(start.select("graph_id", "branch", "side", "node", "colour"), "colours")
     equal = _search(unique, arcs, *_refined(arcs, start)).withColumn("isomorphic", F.lit(True))
