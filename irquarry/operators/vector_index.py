@@ -20,7 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from irquarry.operators.retrieval import DIGITS, TILE_ROWS, _first_k, _matrix, best_of, paired_blocks, topk, topk_blocks
+from irquarry.operators.retrieval import (
+    BLOCK_ROWS,
+    DIGITS,
+    TILE_ROWS,
+    _first_k,
+    _matrix,
+    best_of,
+    by_span,
+    paired_blocks,
+    spans_of,
+    topk,
+    topk_lists,
+)
 from irquarry.session import new_work_path
 
 #: Vectors that centres and code books are learned from, at most about so many, and rounds of learning.
@@ -136,7 +148,7 @@ class VectorIndex:
             columns = [pa.array(np.concatenate(c)) for c in zip(*found)]
             return pa.table(columns, names=["query_id", "point_id", "score"])
 
-        pairs = paired_blocks(self.asked(queries, probes), entries, ["list"], holds="codes")
+        pairs = paired_blocks(self.asked(queries, probes), entries, ["list"], holds="codes", span_rows=BLOCK_ROWS)
         best = best_of(pairs.applyInArrow(run, "query_id long, point_id long, score double"), count, [])
         return best.select("query_id", "point_id", "rank")
 
@@ -317,13 +329,14 @@ SLACK = 1e-8
 FIRST_BLOCKS = 2
 
 
-def _looking(queries: DataFrame, blocks: Directions, first: bool) -> DataFrame:
-    """query_id, embedding, list and whether it is looked into: in the first round the blocks of the highest bounds, in the second
+def _looking(queries: DataFrame, blocks: Directions, first: bool, spans: int) -> DataFrame:
+    """query_id, embedding, span and the lists of it that are looked into: in the first round the blocks of the highest bounds, in the second
     those of the others that may hold a score as good as the query's k-th (``kth``)."""
+    step = max(1, (1 << 22) // len(blocks.cosines))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = blocks.cosines > 1
-        for batch in batches:
+        for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
             rows, real = _unit(batch.column(1))
             if not len(rows):
                 continue
@@ -339,14 +352,12 @@ def _looking(queries: DataFrame, blocks: Directions, first: bool) -> DataFrame:
             else:
                 kth = whole.column(2).to_numpy(zero_copy_only=False)
                 chosen = [np.flatnonzero(~e & ~empty & (b >= (-2 if np.isnan(t) else t) - SLACK)) for e, b, t in zip(early, bound, kth)]
-            lists = pa.array([c.tolist() for c in chosen], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([whole.column(0), whole.column(1), lists], names=["query_id", "embedding", "lists"])
+            yield by_span(whole, chosen, spans)
 
     rows = _with_length(queries).select(
         F.col("query_id").cast("long"), F.col("embedding").cast("array<double>"), *([] if first else [F.col("kth")])
     )
-    found = rows.mapInArrow(run, "query_id long, embedding array<double>, lists array<int>")
-    return found.select("query_id", "embedding", F.explode("lists").alias("list"))
+    return rows.mapInArrow(run, "query_id long, embedding array<double>, span int, lists array<int>")
 
 
 def pruned_topk(
@@ -363,20 +374,21 @@ def pruned_topk(
         none = spark.createDataFrame([], "n_looked long, n_skipped long")
         return topk(queries, vectors, k, skip_self=skip_self), none
     blocks, placed = made
+    spans = spans_of(placed)
 
     def searched(looking: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         paths = [new_work_path(spark, f"{name}-{part}") for part in ("looking", "hits")]
         looking.write.parquet(paths[0])
         looking = spark.read.schema(looking.schema).parquet(paths[0])
-        hits = topk_blocks(looking, placed, k, ["list"], skip_self).select("query_id", "point_id", "score")
+        hits = topk_lists(looking, placed, k, spans, skip_self).select("query_id", "point_id", "score")
         hits.write.parquet(paths[1])
         return looking, spark.read.schema(hits.schema).parquet(paths[1])
 
-    first, near = searched(_looking(queries, blocks, True), "first")
+    first, near = searched(_looking(queries, blocks, True, spans), "first")
     best = best_of(near, k, [])
     kth = best.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
-    second, rest = searched(_looking(queries.join(kth, "query_id", "left"), blocks, False), "second")
-    looked = first.select("query_id").unionByName(second.select("query_id")).agg(F.count(F.lit(1)).alias("n_looked"))
+    second, rest = searched(_looking(queries.join(kth, "query_id", "left"), blocks, False, spans), "second")
+    looked = first.select("lists").unionByName(second.select("lists")).agg(F.coalesce(F.sum(F.size("lists")), F.lit(0)).alias("n_looked"))
     pairs = _with_length(queries).agg(F.count(F.lit(1))).scalar() * int((blocks.cosines <= 1).sum())
     counts = looked.select("n_looked", (pairs - F.col("n_looked")).alias("n_skipped"))
     return best_of(near.unionByName(rest), k, []), counts
