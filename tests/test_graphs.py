@@ -134,3 +134,21 @@ def test_block_features(spark):
     row = graphs.block_features(df, ["g"]).head()
     assert row["bb_len"] == 3 and row["b64_bytes"] == "uAHD" and row["bb_heads"] == [16, 18]
     assert row["bb_norm"] == ["mov_EAX,himm", "ret"] and row["bb_disasm"] == ["mov EAX, 0x1", "ret"]
+
+
+def test_settled_graphs_leave_the_rounds(spark, monkeypatch):
+    """Sides that agree as they are, or differ in the arcs of their nodes, are not refined any further."""
+    both = lambda g, predict, target: [(g, s, a, b) for s, es in (("predict", predict), ("target", target)) for a, b in es]
+    path = [(1, 2), (2, 3), (3, 4)]
+    rows = both(1, path, path) + both(2, path, [(1, 2), (1, 3), (1, 4)]) + both(3, path, [(5, 6), (6, 7), (7, 8)]) + both(4, path, [])
+    edges = spark.createDataFrame(rows, "graph_id long, side string, src long, dst long")
+    refined, refine = set(), graphs.refine_colours
+
+    def seen(rest, *more, **named):
+        refined.update(r["graph_id"] for r in rest.select("graph_id").distinct().collect())
+        return refine(rest, *more, **named)
+
+    monkeypatch.setattr(graphs, "refine_colours", seen)
+    got = {r["graph_id"]: r["wl_equal"] for r in graphs.wl_equal(edges).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False} and refined == {3}
+    assert {r["graph_id"]: r["isomorphic"] for r in graphs.isomorphic(edges).collect()} == got
