@@ -62,6 +62,45 @@ def test_similar_classes(table, monkeypatch, least, cell):
     assert {r["idx"]: r["first"] for r in got.collect()} == dict(enumerate(want))
 
 
+def test_only_rows_that_may_be_similar_are_compared(table, monkeypatch):
+    """Rare words in common make chains of whole blocks; only sets that can be similar are handed on and compared."""
+    words = random.Random(1).sample(range(1 << 40), 4100)
+    rows = [(i, 0, words[20 * i : 20 * i + 40]) for i in range(200)]
+    rows += [(200, 0, rows[7][2][:-1] + [1]), (201, 1, rows[7][2])]
+    compared, cells = [], clusters.cells
+
+    def seen(members):
+        compared.extend(r["node"] for r in members.select("node").collect())
+        return cells(members)
+
+    monkeypatch.setattr(clusters, "cells", seen)
+    got = clusters.similar_classes(table(rows, "idx long, block int, elements array<long>"), 0.8)
+    assert {r["idx"]: r["first"] for r in got.collect()} == {i: 7 if i == 200 else i for i in range(202)}
+    assert sorted(compared) == [7, 200]
+
+
+def test_crowded_meetings(spark, table, monkeypatch):
+    """Rows of a key that spread over batches, or are too many to be compared in one task, lose no link."""
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = _sets(150, 5)
+        found = {}
+        for most in (3, 2048):
+            monkeypatch.setattr(clusters, "MEETING_ROWS", most)
+            got = clusters.similar_classes(table(rows, "idx long, block int, elements array<long>"), 0.8)
+            found[most] = {r["idx"]: r["first"] for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    linked = [
+        (a, b)
+        for a, block, x in rows
+        for b, other, y in rows
+        if a < b and block == other and (set(x) == set(y) or set(x) and len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y)) - 1e-9)
+    ]
+    assert found[3] == found[2048] == dict(enumerate(_classes(len(rows), linked)))
+
+
 def test_rows_grow_with_a_group(table):
     found = {}
     for n in (300, 600):
