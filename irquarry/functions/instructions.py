@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Stands between operands that are normalised at once.
+SEPARATOR = "\x01"
+
 # The immediate placeholder and what it replaces.
 IMMEDIATE = "himm"
 HEX_IMMEDIATE = r"0x[0-9a-fA-F]+"
@@ -19,6 +22,25 @@ def normalize_operands(operands: Column) -> Column:
     return F.replace(out, F.lit(",_"), F.lit(","))
 
 
+def normalized_at_once(operands: Column) -> Column:
+    """``normalize_operands`` of the texts of an array, null as empty, joined and cut again: more parts where a text holds the separator."""
+    return F.split(normalize_operands(F.array_join(operands, SEPARATOR, "")), SEPARATOR, -1)
+
+
+def normalized_each(operands: Column, parts: Column) -> Column:
+    """The ``normalized_at_once`` parts if there is one for each of the operands, otherwise each normalised alone."""
+    return F.when(F.size(parts) == F.size(operands), parts).otherwise(F.transform(operands, normalize_operands))
+
+
+def with_operands(opcodes: Column, operands: Column, between: str) -> Column:
+    """Each opcode followed by its operands, if it has any; arrays of one length."""
+
+    def text(opcode: Column, rest: Column) -> Column:
+        return F.when(rest != "", F.concat_ws(between, opcode, rest)).otherwise(F.coalesce(opcode, F.lit("")))
+
+    return F.zip_with(opcodes, operands, text)
+
+
 def normalize_instruction(mnemonic: Column, operands: Column) -> Column:
     rest = F.nullif(normalize_operands(operands), F.lit(""))
     return F.concat_ws("_", F.lower(mnemonic), rest)
@@ -42,10 +64,15 @@ def arch_label(language_id: Column) -> Column:
     )
 
 
+def base64_text(raw: Column) -> Column:
+    """Base64 form on one line."""
+    return F.replace(F.base64(raw), F.lit("\r\n"), F.lit(""))
+
+
 def byte_text(raw: Column) -> Column:
     """Length, base64 (on one line) and hex form of a block's bytes."""
     return F.struct(
         F.octet_length(raw).alias("bb_len"),
-        F.replace(F.base64(raw), F.lit("\r\n"), F.lit("")).alias("b64_bytes"),
+        base64_text(raw).alias("b64_bytes"),
         F.lower(F.hex(raw)).alias("hex_bytes"),
     )

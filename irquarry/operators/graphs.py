@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from irquarry.functions.instructions import byte_text, disassembly, normalize_instruction
+from irquarry.functions.instructions import base64_text, normalized_at_once, normalized_each, with_operands
 from irquarry.functions.text import let
 from irquarry.operators.ranking import chunked_rank
 from irquarry.schemas import CFG_FUNCTION
@@ -403,21 +403,28 @@ def _tried(edges: DataFrame, arcs: DataFrame, colours: DataFrame, branches: Data
 def block_features(blocks: DataFrame, keys: list[str], instructions: str = "instructions") -> DataFrame:
     """Feature row per block from its instruction list (mnemonic, operands, address, bytes)."""
 
-    def features(found: Column) -> Column:
-        raw = F.unhex(F.array_join(F.transform(found, lambda i: F.hex(i["bytes"])), ""))
-        return let(
-            byte_text(raw),
-            lambda packed: F.struct(
-                packed["bb_len"].alias("bb_len"),
-                F.transform(found, lambda i: F.lower(i["mnemonic"])).alias("bb_mnems"),
-                F.transform(found, lambda i: normalize_instruction(i["mnemonic"], i["operands"])).alias("bb_norm"),
-                F.transform(found, lambda i: disassembly(i["mnemonic"], i["operands"])).alias("bb_disasm"),
-                packed["b64_bytes"].alias("b64_bytes"),
-                F.transform(found, lambda i: i["address"]).alias("bb_heads"),
-            ),
-        )
-
-    return blocks.select(*keys, let(F.col(instructions), features).alias("_features")).select(*keys, "_features.*")
+    def field(name: str) -> Column:
+        return F.col(instructions)[name]
+
+    # strings hold any bytes: joined as they are
+    raw = F.array_join(field("bytes").cast("array<string>"), "").cast("binary")
+    parts = blocks.select(
+        *keys,
+        raw.alias("_raw"),
+        F.transform(field("mnemonic"), F.lower).alias("bb_mnems"),
+        field("operands").alias("_operands"),
+        normalized_at_once(field("operands")).alias("_normalized"),
+        field("address").alias("bb_heads"),
+    )
+    return parts.select(
+        *keys,
+        F.octet_length("_raw").alias("bb_len"),
+        "bb_mnems",
+        with_operands(F.col("bb_mnems"), normalized_each(F.col("_operands"), F.col("_normalized")), "_").alias("bb_norm"),
+        with_operands(F.col("bb_mnems"), F.col("_operands"), " ").alias("bb_disasm"),
+        base64_text(F.col("_raw")).alias("b64_bytes"),
+        "bb_heads",
+    )
 
 
 def compare_first_executed(evaluations: DataFrame, targets: DataFrame, cfg_json: str, target_json: str) -> DataFrame:

@@ -5,7 +5,9 @@ import json
 import random
 import time
 
+from pyspark.sql import functions as F
 
+from irquarry.functions.instructions import disassembly, normalize_instruction
 from irquarry.operators import graphs
 
 EDGES = "graph_id long, side string, src long, dst long"
@@ -136,6 +138,29 @@ def test_block_features(spark):
     assert row["bb_norm"] == ["mov_EAX,himm", "ret"] and row["bb_disasm"] == ["mov EAX, 0x1", "ret"]
 
 
+def test_block_features_normalise_a_block_at_once(spark):
+    """The rows of the expressions per instruction, whose patterns are looked for in a block's joined operands instead."""
+    texts = ["EAX, 0x1F", "", None, "0x", "#-3, 0xffg", "a\x01b 0x1", "\x01", " , _", ",", "#", "é 0xé", "-3", "x\n#1"]
+    literal = lambda t: "null" if t is None else "'" + t.replace("\x01", "\\u0001").replace("\n", "\\n") + "'"
+    item = lambda i, t: (
+        f"named_struct('mnemonic', {literal(['MOV', None, '', 'Ä'][i % 4])}, 'operands', {literal(t)}, 'address', {i}L, 'bytes', {['X\'B8FF\'', 'null', 'X\'\''][i % 3]})"
+    )
+    blocks = [texts, texts[:5], [*texts[:5], *texts[7:]], texts[5:6], texts[1:3], texts[2:7], []]
+    arrays = ["array(" + ", ".join(item(i, t) for i, t in enumerate(b)) + ")" for b in blocks]
+    arrays[-1] = f"slice({arrays[0]}, 1, 0)"
+    arrays += [f"if(true, null, {arrays[0]})", f"array({item(0, 'q 0x2')}, null, {item(1, 'r')})"]
+    df = spark.sql(" union all ".join(f"select {g} as g, {a} as instructions" for g, a in enumerate(arrays)))
+    each = df.select(
+        "g",
+        F.transform("instructions", lambda i: normalize_instruction(i["mnemonic"], i["operands"])).alias("bb_norm"),
+        F.transform("instructions", lambda i: disassembly(i["mnemonic"], i["operands"])).alias("bb_disasm"),
+        F.unhex(F.array_join(F.transform("instructions", lambda i: F.hex(i["bytes"])), "")).alias("raw"),
+    ).withColumns({"bb_len": F.octet_length("raw"), "b64_bytes": F.base64("raw")})
+    names = ["g", "bb_norm", "bb_disasm", "bb_len", "b64_bytes"]
+    got = graphs.block_features(df, ["g"])
+    assert sorted(map(repr, got.select(*names).collect())) == sorted(map(repr, each.select(*names).collect()))
+
+
 def test_settled_graphs_leave_the_rounds(spark, monkeypatch):
     """Sides that agree as they are, or differ in the arcs of their nodes, are not refined any further."""
     both = lambda g, predict, target: [(g, s, a, b) for s, es in (("predict", predict), ("target", target)) for a, b in es]
