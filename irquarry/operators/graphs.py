@@ -6,6 +6,8 @@ that holds a large part of the edges is aggregated in the map tasks.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -250,6 +252,8 @@ def _compare(coloured: DataFrame, value: Column, by: list[str]) -> DataFrame:
     return pair.select(*by, same.alias("wl_equal"), "_most", "_classes", "_nodes")
 
 
+#: Rows (edges and isolated nodes of both sides) of a graph that is compared within a row, at most.
+SMALL_GRAPH = 64
 #: Rounds of refinement between two stored tables, and rows of coloured nodes that one graph's branches may take at once.
 ROUNDS_A_STEP = 4
 BRANCH_ROWS = 1 << 16
@@ -260,6 +264,165 @@ _BRANCH = ["graph_id", "branch"]
 def isomorphic(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Exact label-free equality of both sides of every graph.
 
+    Graphs of at most SMALL_GRAPH rows become one row each after a single shuffle, and almost all of them are settled there (``_settled``).
+    Larger ones, those with nulls, and what that leaves open go to ``_searched``, as edge tables.
+    """
+    edges = _stored(edges.select("graph_id", "side", "src", "dst"), "edges")
+    isolated = nodes if nodes is None else _stored(nodes.select("graph_id", "side", "node"), "nodes")
+    parts = [_coded(df) for df in (edges, isolated) if df is not None]
+    odd = lambda df: reduce(Column.__or__, [F.col(c).isNull() for c in df.columns])
+    counted = reduce(DataFrame.unionByName, [df.select("graph_id", odd(df).alias("_odd")) for df in parts])
+    sizes = counted.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_n"), F.max("_odd").alias("_odd"))
+    large = _stored(sizes.where((F.col("_n") > SMALL_GRAPH) | F.col("_odd")).select("graph_id"), "large")
+    if not large.isEmpty():
+        parts = [_of_graphs(df, large, "left_anti") for df in parts]
+    settled = _stored(_small_equal(*parts), "graphs")
+    rest = _stored(large.unionByName(settled.where("isomorphic is null").select("graph_id")), "open")
+    if rest.isEmpty():
+        return settled
+    edges = _of_graphs(edges, rest, "left_semi")
+    isolated = isolated if isolated is None else _of_graphs(isolated, rest, "left_semi")
+    return settled.where("isomorphic is not null").unionByName(_searched(edges, isolated))
+
+
+def _of_graphs(df: DataFrame, graphs: DataFrame, how: str) -> DataFrame:
+    """Rows of these graphs, or of all others; null is a graph, too."""
+    asked = graphs.select(F.col("graph_id").alias("_graph"))
+    return df.join(asked, F.col("graph_id").eqNullSafe(F.col("_graph")), how)
+
+
+def _small_equal(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """``isomorphic`` of graphs without nulls that have few coded rows, null where it stays open."""
+    none = lambda df, *names: [F.lit(None).cast(dict(df.dtypes)[n]).alias(n) for n in names]
+    rows = edges.select("graph_id", "side", "src", "dst", *([F.lit(None).cast("long").alias("node")] if nodes is None else none(nodes, "node")))
+    if nodes is not None:
+        rows = rows.unionByName(nodes.select("graph_id", "side", *none(edges, "src", "dst"), "node"))
+    sets = {}
+    for code in range(len(SIDES)):
+        mine = F.col("side") == code
+        sets[f"edges{code}"] = F.collect_set(F.when(mine & F.col("src").isNotNull(), F.struct("src", "dst")))
+        if nodes is not None:
+            sets[f"nodes{code}"] = F.collect_set(F.when(mine, F.col("node")))
+    found = rows.groupBy("graph_id").agg(*[held.alias(name) for name, held in sets.items()])
+    fields = []
+    for code in range(len(SIDES)):
+        held = F.sort_array(f"edges{code}")
+        ends = [F.col(f"edges{code}.src"), F.col(f"edges{code}.dst"), *([F.col(f"nodes{code}")] if nodes is not None else [])]
+        fields += [held.alias(f"edges{code}"), F.sort_array(F.array_distinct(F.concat(*ends))).alias(f"nodes{code}")]
+    return found.select("graph_id", let(F.struct(*fields), _settled).alias("isomorphic"))
+
+
+def _settled(graph: Column) -> Column:
+    """Whether two small graphs (sorted edges and nodes of each side) are equal, null if that stays open.
+
+    Sides that agree as they are, or differ in size, need no more.  For others the nodes of both sides, numbered in one sequence, are
+    coloured anew round by round from their own colour and the multisets of those at the far ends of their arcs.  Sides that disagree
+    differ; where every colour is unique the edges decide; where no class has split, a node of the smallest class is singled out on
+    both sides, at first with each node of the class on the other side in turn, later with the first one only: so a graph that differs in
+    every turn is open if a turn singled out twice.
+    """
+    n = F.size(graph["nodes0"])
+    fits = (n == F.size(graph["nodes1"])) & (F.size(graph["edges0"]) == F.size(graph["edges1"]))
+    same = (graph["edges0"] == graph["edges1"]) & (graph["nodes0"] == graph["nodes1"])
+
+    def place(code: int, node: Column) -> Column:
+        return (F.array_position(graph[f"nodes{code}"], node) - 1).cast("int") + (n if code else F.lit(0))
+
+    def placed(code: int) -> Column:
+        return F.transform(
+            graph[f"edges{code}"], lambda e: F.struct(place(code, e["src"]).alias("src"), place(code, e["dst"]).alias("dst"))
+        )
+
+    def far(code: int, arcs: Column, here: str, there: str, at: Column) -> Column:
+        return F.transform(F.filter(arcs[f"arcs{code}"], lambda e: e[here] == at), lambda e: e[there])
+
+    def neighbours(code: int, arcs: Column) -> Column:
+        both = lambda at: F.struct(far(code, arcs, "src", "dst", at).alias("out"), far(code, arcs, "dst", "src", at).alias("back"))
+        return F.transform(F.sequence(n * code, n * (code + 1) - 1), both)
+
+    def ends(arcs: Column) -> Column:
+        return F.concat(*[neighbours(code, arcs) for code in range(len(SIDES))])
+
+    def searched(arcs: Column, ends: Column) -> Column:
+        no, none = F.lit(False), F.lit(0)
+        # loops and arcs that go both ways tell nodes apart that refinement alone does not
+        own = lambda end, at: F.size(F.array_intersect(end["out"], end["back"])) * 2 + F.array_contains(end["out"], at).cast("int")
+        fields = [F.lit(1).alias("classes"), none.alias("guesses"), none.alias("choices"), no.alias("over"), no.alias("equal")]
+        start = F.struct(F.transform(ends, lambda end, at: own(end, at).cast("long")).alias("colours"), *fields)
+
+        def tried(trial: Column) -> Column:
+            # a step ends the search or makes a class more
+            steps = F.sequence(F.lit(1), n + 1)
+            return F.aggregate(steps, start, lambda state, _: F.when(state["over"], state).otherwise(step(arcs, ends, state, trial)))
+
+        def after(trial: Column, found: Column) -> Column:
+            sure = found["over"] & (found["equal"] | (found["guesses"] < 2))
+            over = found["equal"] | ~sure | (trial >= found["choices"])
+            return F.struct(over.alias("over"), sure.alias("sure"), found["equal"].alias("equal"))
+
+        begin = F.struct(*[no.alias(c) for c in ("over", "sure", "equal")])
+        last = F.aggregate(
+            F.sequence(F.lit(1), n),
+            begin,
+            lambda state, trial: F.when(state["over"], state).otherwise(let(tried(trial), lambda found: after(trial, found))),
+        )
+        return let(last, lambda state: F.when(state["over"] & state["sure"], state["equal"]))
+
+    def step(arcs: Column, ends: Column, state: Column, trial: Column) -> Column:
+        before = state["colours"]
+        colours_at = lambda places: F.sort_array(F.transform(places, lambda at: F.get(before, at)))
+        # the number between the two lists keeps them apart
+        refined = F.transform(
+            ends, lambda end, at: F.xxhash64(F.get(before, at), colours_at(end["out"]), F.lit(0), colours_at(end["back"]))
+        )
+        return let(refined, lambda colours: let(F.sort_array(F.slice(colours, 1, n)), lambda first: judged(arcs, state, colours, first, trial)))
+
+    def judged(arcs: Column, state: Column, colours: Column, first: Column, trial: Column) -> Column:
+        def end(equal: Column) -> Column:
+            return going(colours, state["classes"], state["guesses"], state["choices"], F.lit(True), equal)
+
+        def going(colours: Column, classes: Column, guesses: Column, choices: Column, over: Column = F.lit(False), equal: Column = F.lit(False)) -> Column:
+            named = dict(colours=colours, classes=classes, guesses=guesses, choices=choices, over=over, equal=equal)
+            return F.struct(*[value.alias(name) for name, value in named.items()])
+
+        def mapped(code: int) -> Column:
+            pairs = lambda e: F.struct(F.get(colours, e["src"]).alias("src"), F.get(colours, e["dst"]).alias("dst"))
+            return F.sort_array(F.transform(arcs[f"arcs{code}"], pairs))
+
+        def guessed(cell: Column, classes: Column) -> Column:
+            here = F.array_position(first_side, cell["c"]).cast("int") - 1
+            members = F.filter(F.sequence(n, 2 * n - 1), lambda at: F.get(colours, at) == cell["c"])
+            there = F.get(members, F.when(state["guesses"] == 0, trial - 1).otherwise(0))
+            single = lambda chosen: F.transform(
+                colours, lambda colour, at: F.when(F.array_contains(chosen, at), F.xxhash64(colour, F.lit(-1))).otherwise(colour)
+            )
+            choices = F.when(state["guesses"] == 0, cell["n"]).otherwise(state["choices"])
+            return going(let(F.array(here, there), single), classes + 1, state["guesses"] + 1, choices)
+
+        first_side = F.slice(colours, 1, n)
+        size_of = lambda colour: F.size(F.filter(first, lambda other: other == colour))
+        cells = lambda seen: F.transform(seen, lambda colour: F.struct(size_of(colour).alias("n"), colour.alias("c")))
+        smallest = lambda seen: F.array_min(F.filter(cells(seen), lambda cell: cell["n"] > 1))
+
+        def goes_on(seen: Column) -> Column:
+            k = F.size(seen)
+            return (
+                F.when(k == n, end(mapped(0) == mapped(1)))
+                .when(k > state["classes"], going(colours, k, state["guesses"], state["choices"]))
+                .otherwise(let(smallest(seen), lambda cell: guessed(cell, k)))
+            )
+
+        agree = first == F.sort_array(F.slice(colours, n + 1, n))
+        return F.when(agree, let(F.array_distinct(first), goes_on)).otherwise(end(F.lit(False)))
+
+    arcs = F.struct(*[placed(code).alias(f"arcs{code}") for code in range(len(SIDES))])
+    tried = let(arcs, lambda arcs: let(ends(arcs), lambda found: searched(arcs, found)))
+    return F.when(~fits, F.lit(False)).when(same, F.lit(True)).otherwise(tried)
+
+
+def _searched(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """The same for graphs of any size, as edge tables.
+
     Sides that agree without renaming are equal.  For others colours are refined until no class splits; graphs whose sides disagree differ.  Where every colour is unique on a side,
     colours are a mapping of the nodes and the edges decide.  Other graphs branch: a node is singled out on one side
     and, in a branch each, the nodes of its class on the other; branches are refined alike, all as rows of the same joins,

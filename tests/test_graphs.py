@@ -177,3 +177,45 @@ def test_settled_graphs_leave_the_rounds(spark, monkeypatch):
     got = {r["graph_id"]: r["wl_equal"] for r in graphs.wl_equal(edges).collect()}
     assert got == {1: True, 2: False, 3: True, 4: False} and refined == {3}
     assert {r["graph_id"]: r["isomorphic"] for r in graphs.isomorphic(edges).collect()} == got
+
+
+def test_small_graphs_are_settled_in_their_rows(table, monkeypatch):
+    """Graphs of few rows need no refinement rounds over edge tables, whatever their symmetry."""
+    rng = random.Random(11)
+    ring = lambda ns: {(x, y) for x, y in zip(ns, ns[1:] + ns[:1])}
+    pairs = {0: (ring([1, 2, 3]) | ring([4, 5, 6]), ring([1, 2, 3, 4, 5, 6])), 1: (ring([1, 2]) | ring([3]), ring([1, 2, 3]))}
+    pairs[2] = (ring([1, 2, 3]) | ring([4, 5, 6]), ring([11, 13, 15]) | ring([12, 14, 16]))
+    pairs[3] = ({(1, 2), (3, 2), (4, 2)}, set())
+    for g in range(10, 90):
+        n = rng.randint(2, 6)
+        a = {(x, rng.randint(1, n)) for x in range(1, n + 1)}
+        names = rng.sample(range(1, 9), n)
+        b = {(names[x - 1], names[y - 1]) for x, y in a} if g % 2 else {(x, rng.randint(1, n)) for x in range(1, n + 1)}
+        pairs[g] = (a, b)
+    # every edge twice
+    rows = [(g, s, x, y) for g, ab in pairs.items() for s, edges in zip(graphs.SIDES, ab) for x, y in edges] * 2
+
+    def refused(*_):
+        raise AssertionError("a small graph went to the rounds")
+
+    monkeypatch.setattr(graphs, "_refined", refused)
+    got = {r["graph_id"]: r["isomorphic"] for r in graphs.isomorphic(table(rows, EDGES)).collect()}
+    assert got == {g: same_shape(*ab) for g, ab in pairs.items()}
+
+
+def test_small_and_large_graphs_have_one_result(table, monkeypatch):
+    """In rows, as edge tables, or some of each: the same result, with nulls and nodes without edges as well."""
+    rng = random.Random(3)
+    rows, nodes = [], []
+    for g in [*range(24), None]:
+        for side in graphs.SIDES:
+            ends = [(rng.randint(1, 4), rng.randint(1, 4)) for _ in range(rng.randint(1, 4))]
+            rows += [(g, side, x, None if g and g % 8 == 7 else y) for x, y in ends]
+            nodes += [(g, side, rng.randint(1, 6)) for _ in range(rng.randint(0, 2))]
+    edges, nodes = table(rows, EDGES), table(nodes, "graph_id long, side string, node long")
+    for isolated in (None, nodes):
+        results = []
+        for limit in (0, 5, 64):
+            monkeypatch.setattr(graphs, "SMALL_GRAPH", limit)
+            results.append(sorted(map(repr, graphs.isomorphic(edges, isolated).collect())))
+        assert results[0] == results[1] == results[2] and len(results[0]) == 25
