@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from urllib.parse import quote
 
@@ -183,9 +184,52 @@ def _unioned(rows: DataFrame) -> DataFrame:
 #: Tasks that list the folders of one level.
 LISTING_TASKS = 64
 _LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+#: Files whose states the driver holds at once, about, and folders that are counted at once.
+LISTED_FILES = 20_000
+COUNTED_AT_ONCE = 8
 
 
-def _named_files(spark: SparkSession, root: str, name: str, source: str = "text") -> DataFrame:
+def _hidden(name: str) -> bool:
+    """Spark passes over what has such a name below a folder."""
+    if name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+
+
+def _folder_batches(spark: SparkSession, root: str) -> list[list[str]]:
+    """Paths that hold all files which Spark lists below a folder, in batches of about LISTED_FILES files, as patterns.
+
+    Folders are counted, not listed; one of more files is replaced by what lies in it.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def counted(status) -> tuple:
+        at = status.getPath()
+        return at, status.isDirectory(), fs.getContentSummary(at).getFileCount() if status.isDirectory() else 1
+
+    level, parts = list(fs.globStatus(path) or []), []
+    with ThreadPoolExecutor(COUNTED_AT_ONCE) as pool:
+        while level:
+            found, level = list(pool.map(counted, level)), []
+            if not parts and sum(n for *_, n in found) <= LISTED_FILES:
+                break
+            for at, folder, n in found:
+                if folder and n > LISTED_FILES:
+                    level += [child for child in fs.listStatus(at) if not _hidden(child.getPath().getName())]
+                elif n:
+                    parts.append((re.sub(r"([\\{}\[\]*?])", r"\\\1", at.toString()), n))
+    batches, held = [], 0
+    for part, n in parts:
+        if not batches or held + n > LISTED_FILES:
+            batches.append([])
+            held = 0
+        batches[-1].append(part)
+        held += n
+    return batches or [[root]]
+
+
+def _named_files(spark: SparkSession, root: str | list[str], name: str, source: str = "text") -> DataFrame:
     """Files of one name below a folder.  A task lists many folders: a task for each is what Spark does with up to 10,000 of them."""
     before = spark.conf.get(_LISTING)
     spark.conf.set(_LISTING, str(min(int(before), LISTING_TASKS)))
@@ -206,10 +250,24 @@ def error_files(spark: SparkSession, root: str, name: str = "error_predict.error
 
 
 def error_paths(spark: SparkSession, root: str, name: str = "error_predict.error") -> DataFrame:
-    """The paths of the same files, of which none is opened."""
+    """The paths of the same files, of which none is opened.  Runs jobs where they are too many to be listed at once."""
+    batches = _folder_batches(spark, root)
+    return _paths_below(spark, root, name) if len(batches) == 1 else _stored_paths(spark, batches, name).select("file")
+
+
+def _paths_below(spark: SparkSession, root: str | list[str], name: str) -> DataFrame:
     return _named_files(spark, root, name, "binaryFile").select(F.col("_metadata.file_path").alias("file"))
 
 
+def _stored_paths(spark: SparkSession, batches: list[list[str]], name: str) -> DataFrame:
+    """Paths of the files of all batches and the number of each one's batch (``part``); the driver lists a batch at a time."""
+    path = new_work_path(spark, "paths")
+    for part, folders in enumerate(batches):
+        paths = _paths_below(spark, folders, name).withColumn("part", F.lit(part))
+        paths.coalesce(LISTING_TASKS).write.mode("append").parquet(path)
+    return spark.read.schema("file string, part int").parquet(path)
+
+
 def manifest_paths(spark: SparkSession, manifests: str | list[str]) -> DataFrame:
     """File paths of one or more manifests, one per line, stripped."""
     return spark.read.text(manifests).select(strip(F.col("value")).alias("file")).where("file <> ''")
@@ -245,25 +303,28 @@ def manifest_errors(
     """Texts of the files below ``root`` that manifests list, each once; listed files that do not exist are passed over.
 
     Which listed files exist is settled by a join with the paths below ``root``, as Spark spells them.  Those that do come to the driver
-    in batches of about ``batch`` paths, and a batch's texts are stored before the next one comes; only listed files are opened.  Runs jobs.
+    in batches of about ``batch`` paths, and a batch's texts are stored before the next one comes; only listed files are opened.  The driver
+    holds the states of about LISTED_FILES files at a time, however many there are below ``root``.  Runs jobs.
     """
-    files = _named_files(spark, root, name)
+    folders = _folder_batches(spark, root)
     listed = manifest_paths(spark, manifests).select(F.regexp_replace("file", r"^(?:file:)?/+", "/").alias("path")).distinct()
     spelled = F.udf(lambda path: _uris(path, root), "array<string>")
     uris = listed.select(F.explode(spelled("path")).alias("file")).distinct()
     found = new_work_path(spark, "manifest-files")
-    error_paths(spark, root, name).join(uris, "file", "left_semi").write.parquet(found)
-    known = spark.read.schema("file string").parquet(found)
+    _stored_paths(spark, folders, name).join(uris, "file", "left_semi").write.parquet(found)
+    known = spark.read.schema("file string, part int").parquet(found)
     stored = new_work_path(spark, "manifest-texts")
-    batches = known.count() // batch + 1
-    rows = _texts_of(files)
-    rows.limit(0).write.parquet(stored)
-    for turn in range(batches):
-        paths = [r["file"] for r in known.where(F.pmod(F.xxhash64("file"), F.lit(batches)) == turn).collect()]
-        if paths:
-            chosen = files.where(F.col("_metadata.file_path").isin(paths))
-            _texts_of(chosen).write.mode("append").parquet(stored)
-    return spark.read.schema(rows.schema).parquet(stored)
+    schema = "file string, error_msg string"
+    spark.createDataFrame([], schema).write.parquet(stored)
+    for part, n in sorted(known.groupBy("part").count().collect()):
+        files, batches = _named_files(spark, folders[part], name), n // batch + 1
+        for turn in range(batches):
+            mine = known.where((F.col("part") == part) & (F.pmod(F.xxhash64("file"), F.lit(batches)) == turn))
+            paths = [r["file"] for r in mine.collect()]
+            if paths:
+                chosen = files.where(F.col("_metadata.file_path").isin(paths))
+                _texts_of(chosen).coalesce(LISTING_TASKS).write.mode("append").parquet(stored)
+    return spark.read.schema(schema).parquet(stored)
 
 
 def run_results(spark: SparkSession, run_dir: str) -> DataFrame:

@@ -107,3 +107,33 @@ def test_a_batch_asks_for_each_found_file_once(spark, tmp_path, monkeypatch):
     rows = readers.manifest_errors(spark, str(tmp_path / "list"), str(tmp_path), "*.txt").collect()
     assert sorted(r["error_msg"] for r in rows) == [str(i) for i in range(6)]
     assert len(asked) == 6
+
+
+def test_files_are_listed_by_batches_of_folders(spark, tmp_path, monkeypatch):
+    """However many files lie below a folder, only some are listed at once, and the same ones as in one piece."""
+    names = ["a/x/1.txt", "a/x/2.txt", "a/y/3.txt", "a/4.txt", "b/5.txt", "b/5.log", "c [1]{2}*/6 7.txt", "8.txt", "_a=b/9.txt", "e/.h/10.txt"]
+    names += ["_hidden/11.txt", "_12.txt", ".13.txt", "d/14.txt._COPYING_", *(f"many/{i}.txt" for i in range(100, 112))]
+    for name in names:
+        (tmp_path / "root" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "root" / name).write_text(name)
+    (tmp_path / "root" / "empty").mkdir()
+    root = str(tmp_path / "root")
+    whole = sorted(r["file"] for r in readers._paths_below(spark, root, "*.txt").collect())
+    assert len(whole) == 8 + 12
+    (tmp_path / "list").write_text("\n".join(f"{root}/{n}" for n in names))
+    listed, lists = [], readers._named_files
+
+    def counted(spark, root, name, source="text"):
+        files = lists(spark, root, "*", source)
+        listed.append(files.select("_metadata.file_path").count())
+        return lists(spark, root, name, source)
+
+    monkeypatch.setattr(readers, "_named_files", counted)
+    for most in (3, 1):
+        monkeypatch.setattr(readers, "LISTED_FILES", most)
+        assert sorted(r["file"] for r in readers.error_paths(spark, root, "*.txt").collect()) == whole
+        rows = readers.manifest_errors(spark, str(tmp_path / "list"), root, "*.txt", 2).collect()
+        assert sorted(r["file"] for r in rows) == whole
+        assert sorted(r["error_msg"] for r in rows) == sorted(n for n in names if (n.endswith(".txt") and "_hidden" not in n and "/." not in n and n[:2] not in ("_1", ".1")))
+        assert max(listed) <= most and len(listed) > 2 * len(whole) // most
+        listed.clear()
